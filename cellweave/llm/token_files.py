@@ -48,12 +48,12 @@ def encode(docs: DataFrame, end_id: int | None = 0, tokenizer: str | None = None
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids binary")
 
 
-def train(samples: list[bytes], size: int = DICTIONARY_BYTES) -> bytes:
+def train(samples: list[bytes], size: int = DICTIONARY_BYTES, **options: int) -> bytes:
     """A zstandard dictionary; where there is too little to train on, the samples themselves."""
     import zstandard
 
     try:
-        return zstandard.train_dictionary(size, samples).as_bytes()
+        return zstandard.train_dictionary(size, samples, **options).as_bytes()
     except zstandard.ZstdError:
         return b"".join(samples)[-size:]
 
