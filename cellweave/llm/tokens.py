@@ -10,14 +10,12 @@ from __future__ import annotations
 
 import array
 import os
-import re
 import sys
 from collections.abc import Iterator
 
 #: Parts that a worker keeps; when there are more, it starts anew.
 CACHE = 1_000_000
-_ODD = re.compile(r"^\s| \s|\s |\s$")
-_PUNCTUATION = ",.;:!?"
+_PUNCTUATION = frozenset(",.;:!?")
 _loaded: dict[str, Encoder] = {}
 
 
@@ -27,6 +25,13 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: printable ones for themselves, the rest from 256 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
 class Encoder:
     """Ids as little-endian bytes: 2 bytes an id if the vocabulary has at most 65,536 ids, else 4."""
 
@@ -36,11 +41,17 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.merge = self.tokenizer.model.tokenize
+        self.letters = _byte_letters()
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.code = "H" if self.width == 2 else "I"
         self.most = cache
+        self.clear()
+
+    def clear(self) -> None:
         self.after_space: dict[str, bytes] = {}
         self.at_start: dict[str, bytes] = {}
+        self.odd: set[str] = set()
 
     def pack(self, ids: list[int]) -> bytes:
         out = array.array(self.code, ids)
@@ -51,56 +62,61 @@ class Encoder:
     def direct(self, texts: list[str]) -> list[bytes]:
         return [self.pack(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    @staticmethod
-    def _atoms(part: str) -> list[tuple[bool, str]] | None:
-        """A part as words, punctuation marks and line ends, each a piece of its own; None if it isn't so plain."""
-        out: list[tuple[bool, str]] = []
-        for k, line in enumerate(part.split("\n")):
-            word = line[:-1] if line[-1:] in _PUNCTUATION else line
-            if not word.isalpha() or max(word) > "ɏ":
-                return None
-            if k:
-                out.append((False, "\n"))
-            out.append((k == 0, word))
-            if word is not line:
-                out.append((False, line[-1]))
-        return out
-
-    def _learn(self, parts: set[str], start: bool) -> None:
-        """Put parts into the cache; only words that it has not met go to the tokenizer."""
-        own = self.at_start if start else self.after_space
-        split = {p: self._atoms(p) for p in parts}
-        new: set[tuple[bool, str]] = set()
-        for p, atoms in split.items():
-            for lead, word in atoms or [(True, p)]:
-                lead = lead and not start
-                if word not in (self.after_space if lead else self.at_start):
-                    new.add((lead, word))
-        todo = list(new)
-        for (lead, word), ids in zip(todo, self.direct([" " + w if lead else w for lead, w in todo]), strict=True):
-            (self.after_space if lead else self.at_start)[word] = ids
-        for p, atoms in split.items():
-            if atoms and p not in own:
-                own[p] = b"".join([(self.after_space if lead and not start else self.at_start)[w] for lead, w in atoms])
+    def _piece(self, word: str, lead: bool) -> bytes:
+        """Ids of one piece, a word or a mark, by the tokenizer's merges alone."""
+        own = self.after_space if lead else self.at_start
+        ids = own.get(word)
+        if ids is None:
+            text = (" " + word if lead else word).encode().decode("latin-1").translate(self.letters)
+            ids = own[word] = self.pack([t.id for t in self.merge(text)])
+        return ids
+
+    def _learn(self, parts: set[str], lead: bool) -> None:
+        """Put parts into the cache. Words, marks and line ends are pieces of their own; all else goes through the whole tokenizer."""
+        own, piece, rest = self.after_space if lead else self.at_start, self._piece, []
+        for p in parts:
+            if p.isalpha() and (p.isascii() or max(p) <= "ɏ"):
+                piece(p, lead)
+            elif not p or p[0].isspace() or p[-1].isspace():
+                self.odd.add(p)
+            elif p.isascii() or max(p) <= "ɏ":
+                out, first = b"", lead
+                for line in p.split("\n"):
+                    mark = line[-1:]
+                    word = line[:-1] if mark in _PUNCTUATION else line
+                    if not word.isalpha():
+                        rest.append(p)
+                        break
+                    out += (b"" if first is lead and not out else piece("\n", False)) + piece(word, first) + (piece(mark, False) if word is not line else b"")
+                    first = False
+                else:
+                    own[p] = out
+            else:
+                rest.append(p)
+        for p, ids in zip(rest, self.direct([" " + p if lead else p for p in rest]), strict=True):
+            own[p] = ids
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text."""
-        if len(self.after_space) + len(self.at_start) > self.most:
-            self.after_space, self.at_start = {}, {}
-        odd = [k for k, t in enumerate(texts) if _ODD.search(t)]
-        out: list[bytes] = [b""] * len(texts)
-        for k, ids in zip(odd, self.direct([texts[k] for k in odd]), strict=True):
-            out[k] = ids
-        skip = set(odd)
-        cut = [(k, t.split(" ")) for k, t in enumerate(texts) if t and k not in skip]
-        later: set[str] = set()
-        for _, parts in cut:
+        if len(self.after_space) + len(self.at_start) + len(self.odd) > self.most:
+            self.clear()
+        cut = [t.split(" ") for t in texts]
+        first, later = {parts[0] for parts in cut}, set()
+        for parts in cut:
             later.update(parts[1:])
-        self._learn({parts[0] for _, parts in cut}.difference(self.at_start), True)
-        self._learn(later.difference(self.after_space), False)
-        get = self.after_space.__getitem__
-        for k, parts in cut:
-            out[k] = self.at_start[parts[0]] + b"".join(map(get, parts[1:]))
+        self._learn(first.difference(self.at_start, self.odd), False)
+        self._learn(later.difference(self.after_space, self.odd), True)
+        odd = self.odd & (first | later) if self.odd else self.odd
+        out: list[bytes] = []
+        get, whole = self.after_space.__getitem__, []
+        for k, parts in enumerate(cut):
+            if odd and not odd.isdisjoint(parts):
+                whole.append(k)
+                out.append(b"")
+            else:
+                out.append(self.at_start[parts[0]] + b"".join(map(get, parts[1:])))
+        for k, ids in zip(whole, self.direct([texts[k] for k in whole]), strict=True):
+            out[k] = ids
         return out
 
 
