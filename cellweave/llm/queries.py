@@ -26,6 +26,13 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .neighbours import fit, score
+
+    docs = _table(spark, sf_dir, "documents")
+    return score(docs, fit(docs, _table(spark, sf_dir, "labels")))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import fit, score
 
@@ -39,6 +46,13 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"))
 
 
+def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .topk import search
+
+    vectors = _table(spark, sf_dir, "embeddings")
+    return search(vectors, vectors.where("vec_id % 50 = 0"))
+
+
 def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .html_text import extract
 
@@ -52,7 +66,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_token_files, op2_quality_rules, op6_toxicity, op7_packing, op9_html_text, op10_mixing)
+    own = (op1_token_files, op2_quality_rules, op4_neighbours, op6_toxicity, op7_packing, op8_topk, op9_html_text, op10_mixing)
     return {f.__name__: f for f in own}
 
 
