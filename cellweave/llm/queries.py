@@ -33,6 +33,12 @@ def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, fit(docs, _table(spark, sf_dir, "labels")))
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard_join import join
+
+    return join(_table(spark, sf_dir, "documents"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import fit, score
 
@@ -66,7 +72,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_token_files, op2_quality_rules, op4_neighbours, op6_toxicity, op7_packing, op8_topk, op9_html_text, op10_mixing)
+    own = (op1_token_files, op2_quality_rules, op4_neighbours, op5_jaccard_join, op6_toxicity, op7_packing, op8_topk, op9_html_text, op10_mixing)
     return {f.__name__: f for f in own}
 
 
