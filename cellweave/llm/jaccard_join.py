@@ -238,7 +238,7 @@ def families(docs: DataFrame, plan: dict[int, tuple[int, int, bool]], buckets: i
         keep = np.arange(len(r)) - np.repeat(first, size) < np.repeat(left, size)
         out = np.zeros(int(keep.sum()), KEPT)
         out["sig"], out["set"] = r["sig"][keep], r["set"][keep]
-        return pa.Table.from_batches([_blobs(out["sig"] % np.uint64(buckets), out)])
+        return pa.Table.from_batches([_blobs(out["sig"] % np.uint64(fewer), out)])
 
     def linked(table: pa.Table) -> pa.Table:
         """A forest over the sets of each kept signature."""
@@ -249,10 +249,11 @@ def families(docs: DataFrame, plan: dict[int, tuple[int, int, bool]], buckets: i
         a, b = forest(a, b)
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
+    fewer = max(16, buckets // 16)  # few signatures are kept, and the more of them a task has, the fewer edges leave it
     own = docs.mapInArrow(sign, BLOBS)
     own = own.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(shared, BLOBS)
     own = own.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(spare, BLOBS)
-    return own.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(linked, "a long, b long")
+    return own.repartition(fewer, "bucket").groupBy("bucket").applyInArrow(linked, "a long, b long")
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

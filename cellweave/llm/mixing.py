@@ -42,7 +42,7 @@ def source_targets(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, total
     left = F.sum("weight").over(order.rowsBetween(0, Window.unboundedFollowing))
     per = per.withColumn("level", (F.sum("source_size").over(one) * float(total_share) - before) / left)
     per = per.withColumn("capped", F.col("level_of_cap") <= F.col("level"))
-    level = F.min(F.when(~F.col("capped"), F.col("level"))).over(one)
+    level = F.max(F.when(~F.col("capped"), F.col("level"))).over(one)  # of the first that is not capped
     target = F.when(F.col("capped"), F.col("cap")).otherwise(F.least("cap", F.col("weight") * level))
     return per.withColumn("target", target).select("source", "source_size", "source_rows", "weight", "target")
 
@@ -149,23 +149,38 @@ def mix(
     plan = plan.withColumn("left", F.when(F.col("rest") <= 0, F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.least(left, F.col("block_size").cast("double")))))
     plan = materialize(plan, "mix-plan")
 
-    in_part = F.sum(F.when(F.col("left") > 0, 1).otherwise(0)).cast("long")
-    quotas = plan.groupBy(F.col("_key").alias("source")).agg((F.max(F.col("whole") * F.col("source_blocks")) + in_part).alias("slots"))
+    in_part = F.coalesce(F.max(F.when(F.col("left") > 0, F.col("place") + 1)), F.lit(0))
+    quotas = plan.groupBy(F.col("_key").alias("source")).agg((F.max(F.col("whole") * F.col("source_blocks")) + in_part).cast("long").alias("slots"))
     shards = split_quotas(quotas, shard_levels, seed).groupBy(F.col("source").alias("_key")).agg(F.array_sort(F.collect_list(F.struct("first_slot", "slots", "shard"))).alias("ranges"))
 
     # The slots of a block, one for each pass that draws it, and the shard that owns each.
     passes = F.filter(F.transform(F.sequence(F.lit(0).cast("long"), F.col("whole")), lambda p: F.struct(p.alias("pass"), (p * F.col("source_blocks") + F.col("place")).alias("slot"))), lambda s: (s["pass"] < F.col("whole")) | (F.col("left") > 0))
     plan = plan.join(shards, "_key", "left").withColumn("_passes", passes)
     owner = lambda s: F.struct(F.filter("ranges", lambda r: (r.first_slot <= s.slot) & (s.slot < r.first_slot + r.slots))[0]["shard"].alias("shard"), s["pass"].alias("pass"))
-    plan = plan.select("_key", "_block", "source_size", "target", "whole", "left", "block_size", F.transform("_passes", owner).alias("_draws"))
+    last = F.element_at("ranges", -1)["shard"]
+    plan = plan.select("_key", "_block", "source_size", "target", "whole", "rest", "left", F.when(F.size("ranges") > 0, last).alias("_last"), F.transform("_passes", owner).alias("_draws"))
+    plan = materialize(plan, "mix-draws")
 
-    # Rows of a block in hash order: a block that is taken in part gives the rows that come nearest to its share.
+    # Rows of the block that is taken in part, in hash order, as long as they fit its share.
     inside = Window.partitionBy("_key", "_block").orderBy("_hash", "_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    until = F.col("_until").cast("double")
-    taken_in_part = (F.col("left") >= F.col("block_size")) | ((F.col("left") > 0) & (until - F.col("left") <= F.col("left") - (until - F.col("size"))))
-    out = own.withColumn("_until", F.sum("size").over(inside)).join(plan, ["_key", "_block"])
-    draws = F.filter("_draws", lambda d: (F.col("size") > 0) & ((d["pass"] < F.col("whole")) | taken_in_part))
-    out = out.withColumn("draws", draws).withColumn("taken", F.size("draws") * F.col("size"))
+    fits = (F.col("left") > 0) & (F.col("_until") <= F.col("left"))
+    out = own.withColumn("_until", F.sum("size").over(inside)).join(plan, ["_key", "_block"]).withColumn("_part", fits)
+
+    # What a source then lacks goes to the one of its other rows whose size comes nearest.
+    narrow = materialize(out.where("rest > 0 and size > 0").select("_key", "_hash", "size", "rest", "_part"), "mix-partial")
+    lack = narrow.groupBy("_key").agg((F.max("rest") - F.sum(F.when(F.col("_part"), F.col("size")).otherwise(0))).alias("lack"))
+    miss = F.struct(F.abs(F.col("size") - F.col("lack")).alias("miss"), F.col("_hash").alias("hash"))
+    extra = narrow.where(~F.col("_part")).join(lack, "_key").groupBy("_key").agg(F.min(miss).alias("best"), F.max("lack").alias("lack"))
+    extra = extra.where("best.miss < lack").select("_key", F.col("best.hash").alias("_extra"))
+    out = out.join(materialize(extra, "mix-extra"), "_key", "left")
+    # Rows that are alike share a hash; only the first of them is the extra one.
+    alike = F.row_number().over(Window.partitionBy("_key", "_block").orderBy("_hash", "_id", "size"))
+    before = F.lag("_hash").over(Window.partitionBy("_key", "_block").orderBy("_hash", "_id", "size"))
+    out = out.withColumn("_first", (alike == 1) | (before != F.col("_hash")))
+    is_extra = F.coalesce((F.col("_hash") == F.col("_extra")) & F.col("_first") & ~F.col("_part"), F.lit(False))
+    draws = F.filter("_draws", lambda d: (F.col("size") > 0) & ((d["pass"] < F.col("whole")) | F.col("_part")))
+    more = F.array(F.struct(F.coalesce("_last", F.lit(0).cast("long")).alias("shard"), F.col("whole").alias("pass")))
+    out = out.withColumn("draws", F.when(is_extra, F.concat(draws, more)).otherwise(draws)).withColumn("taken", F.size("draws") * F.col("size"))
     return out.select(F.col("_id").alias(id_col), *[F.col(f"_keep_{c}").alias(c) for c in carried], "size", "source_size", "target", "taken", "draws", F.col("_hash").alias("local_order"))
 
 

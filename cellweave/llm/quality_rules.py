@@ -73,7 +73,7 @@ def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 def host_verdicts(measured: DataFrame, host_col: str = "source", limit: float = HOST_LIMIT) -> DataFrame:
     """A row per host: documents, failures, shrunken rate and host_ok."""
-    hosts = measured.where(F.col(host_col).isNotNull()).groupBy(F.col(host_col).alias("_host")).agg(F.count(F.lit(1)).alias("host_docs"), F.count_if("base_failed").alias("host_failed"))
+    hosts = measured.where(F.col(host_col).isNotNull()).groupBy(F.col(host_col).alias("_host")).agg(F.count(F.lit(1)).alias("host_docs"), F.count_if(F.col("base_failed")).alias("host_failed"))
     hosts = materialize(hosts, "rules-hosts")
     n, f = F.col("host_docs"), F.col("host_failed")
     s = hosts.agg(F.count(F.lit(1)).alias("hosts"), F.sum(n).alias("n"), F.sum(f).alias("f"), F.sum(n * n).alias("nn"), F.sum(f * f / n).alias("ffn")).first()

@@ -26,6 +26,12 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op3_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lattice_lm import score
+
+    return score(_table(spark, sf_dir, "documents"))
+
+
 def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .neighbours import fit, score
 
@@ -72,7 +78,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_token_files, op2_quality_rules, op4_neighbours, op5_jaccard_join, op6_toxicity, op7_packing, op8_topk, op9_html_text, op10_mixing)
+    own = (op1_token_files, op2_quality_rules, op3_lattice_lm, op4_neighbours, op5_jaccard_join, op6_toxicity, op7_packing, op8_topk, op9_html_text, op10_mixing)
     return {f.__name__: f for f in own}
 
 

@@ -8,7 +8,7 @@ blocks      part, block, dict_hash, n_tokens, doc_ids, doc_tokens, doc_starts (w
 index       doc_id, part, block, frame_offset, frame_length, n_tokens, start, dict_hash: where a short document's
             frame is; doc_id ascends over the files, so a look-up reads one row group and one block
 
-The dictionary is trained on a bounded sample, the `sample_docs` documents of smallest id hash whose ids take at
+The dictionary is trained on a bounded sample, about `sample_docs` documents chosen by an id hash whose ids take at
 most `sample_bytes` each; it only helps compression and every document is stored in full.
 
 Defined results: null text is empty (only the end id, if one is asked for); null doc_ids sort first; documents with
@@ -72,8 +72,9 @@ def write(docs: DataFrame, path: str, end_id: int | None = 0, tokenizer: str | N
     encode(docs, end_id, tokenizer, **columns).write.option("compression", "zstd").parquet(raw_path)
     raw = spark.read.schema("doc_id long, n_tokens long, ids binary").parquet(raw_path)
 
-    picked = raw.where(F.octet_length("ids") <= sample_bytes).orderBy(F.xxhash64("doc_id"), "ids").limit(sample_docs)
-    dictionary = train([bytes(r.ids) for r in picked.select("ids").collect()])
+    every = max(1, raw.count() // sample_docs)
+    picked = raw.where((F.octet_length("ids") <= sample_bytes) & (F.pmod(F.xxhash64("doc_id", "n_tokens"), F.lit(every)) == 0)).limit(2 * sample_docs)
+    dictionary = train(sorted(bytes(r.ids) for r in picked.select("ids").collect()))
     digest = hashlib.sha256(dictionary).hexdigest()[:16]
     spark.createDataFrame([(digest, bytearray(dictionary), width)], "dict_hash string, bytes binary, width int").coalesce(1).write.parquet(f"{path}/dictionary")
 
