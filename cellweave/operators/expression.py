@@ -108,7 +108,7 @@ def coexpression_pairs(counts: DataFrame, n_cells: int, least_share: float = 0.0
     """
     on = counts.where("count > 0").select("cell", "gene", "count")
     common = on.groupBy("gene").agg(F.count("*").alias("n")).where(F.col("n") > least_share * n_cells)
-    own = on.join(common.select("gene"), "gene", "left_semi")
+    own = on.join(common.select("gene"), "gene", "left_semi").select("cell", "gene", "count")
     left, right = own.toDF("cell", "gene_1", "x"), own.toDF("cell", "gene_2", "y")
     pairs = left.join(right, "cell").where("gene_1 < gene_2")
     out = pairs.groupBy("gene_1", "gene_2").agg(F.count("*").alias("n_cells"), guarded_corr("x", "y").alias("r"))

@@ -4,6 +4,8 @@ import sys
 import pytest
 
 sys.path.insert(0, str(pathlib.Path(__file__).resolve().parents[1]))
+if pathlib.Path("/opt/tokenizers").exists():
+    sys.path.append("/opt/tokenizers")
 
 
 @pytest.fixture(scope="session")
