@@ -1,9 +1,10 @@
 """Main text of web pages by scoring the element tree.
 
 A page is read into a tree of elements and text. Every paragraph-like block gives points for its length and its commas
-to its parent and, halved, to its grandparent; a container's points are discounted by the share of its text that lies
-in links. The best container and those of its siblings that look like more of the same text are kept, without the parts
-that never are article text (scripts, menus, forms, adverts, comments by readers and so on).
+to its parent and, halved at each step, to all further ancestors; a container's points are discounted by the share of
+its text that lies in links. What is kept is the best container and, up to the article, main or body around it, every
+other container with enough points, and what stands between and beside them unless it is mostly links; never the parts
+that are no article text (scripts, menus, forms, adverts, comments by readers and so on).
 
 The whole page is read, however long; nothing nests deeper on Python's stack, since the tree is built and walked with
 explicit stacks.
@@ -30,6 +31,8 @@ NEVER = frozenset("head script style noscript template iframe svg math object na
 BLOCK = frozenset("address article aside blockquote body center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 CLOSES_P = BLOCK - {"html", "body", "td", "th", "tr", "tbody", "thead", "tfoot"}
 PARAGRAPH = frozenset("p pre td blockquote dd li h1 h2 h3 h4 h5 h6".split())
+HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
+CONTENT = frozenset("p pre blockquote table ul ol dl details address hr".split())
 UNLIKELY = re.compile(r"(?:^|[\s_-])(?:ad|ads|adv|advert\w*|banner\w*|sponsor\w*|promo\w*|sidebar\w*|side|menu\w*|nav|navbar|navigation|breadcrumb\w*|header|footer|masthead|cookie\w*|consent|gdpr|notice\w*|popup\w*|modal|newsletter\w*|subscribe\w*|social\w*|share\w*|sharing|related\w*|recommend\w*|comments?|comment-\w+|commentlist|disqus\w*|respond|reply|replies|pager|pagination|widget\w*|login|signup|search|tags|toolbar|skip\w*|copyright|legal|disclaimer)(?:$|[\s_-])", re.I)
 LIKELY = re.compile(r"(?:^|[\s_-])(?:article\w*|body|content|entry|hentry|main|page|post|story|text|blog)(?:$|[\s_-])", re.I)
 UNLIKELY_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
@@ -41,12 +44,12 @@ _SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("attributes", "children", "chars", "commas", "linked", "parent", "points", "tag")
+    __slots__ = ("attributes", "bonus", "children", "chars", "commas", "linked", "parent", "points", "tag")
 
     def __init__(self, tag: str, parent: Node | None, attributes: dict[str, str]):
         self.tag, self.parent, self.attributes = tag, parent, attributes
         self.children: list[Node | str] = []
-        self.points = 0.0
+        self.points = self.bonus = 0.0
         self.chars = self.linked = self.commas = 0
 
 
@@ -159,44 +162,95 @@ def score(root: Node) -> list[Node]:
                 node.commas += c.commas
         if node.tag == "a":
             node.linked = node.chars
-    scored: list[Node] = []
+    near: set[int] = set()  # a name or tag counts for at most two steps above a paragraph
     for node in nodes:
         direct = node.tag in ("div", "section", "article", "main", "body") and any(isinstance(c, str) and c.strip() for c in node.children)
         if not (node.tag in PARAGRAPH or direct) or not node.chars:
             continue
         own = sum(len(c.strip()) for c in node.children if isinstance(c, str)) if direct else node.chars
-        points = 1 + node.commas * (own / node.chars) + min(own / 100, 3)
-        up, share = (node if direct else node.parent), 1.0
-        for _ in range(2):
-            if up is None:
-                break
-            if up.points == 0:
-                names = f"{up.attributes.get('class', '')} {up.attributes.get('id', '')}"
-                up.points = TAG_POINTS.get(up.tag, 0.0) + (25 if LIKELY.search(names) else 0) + 1e-9
-                scored.append(up)
-            up.points += points * share
-            up, share = up.parent, share / 2
+        up = node if direct else node.parent
+        if up is not None:
+            up.points += 1 + node.commas * (own / node.chars) + min(own / 100, 3)
+            near |= {id(up), id(up.parent)}
+    for node in reversed(nodes):
+        if node.parent is not None:
+            node.parent.points += node.points / 2
+    scored = [node for node in nodes if node.points > 0]
     for node in scored:
-        node.points *= 1 - (node.linked / node.chars if node.chars else 0)
+        if id(node) in near:
+            node.bonus = TAG_POINTS.get(node.tag, 0.0) + (25 if LIKELY.search(_names(node)) else 0)
+        apart = 1 - (node.linked / node.chars if node.chars else 0)
+        node.bonus *= apart
+        node.points = node.points * apart + node.bonus
     return scored
 
 
-def _kept(root: Node) -> list[Node]:
+def _names(node: Node) -> str:
+    return f"{node.attributes.get('class', '')} {node.attributes.get('id', '')}"
+
+
+def _density(node: Node) -> float:
+    return node.linked / node.chars if node.chars else 0.0
+
+
+def _chosen(node: Node, best: Node, rich: set[int], limit: float) -> list[Node | str]:
+    """The children of a container around the best one that belong to the article."""
+    strong, anchors, shapes = set(), [], set()
+    for k, c in enumerate(node.children):
+        if isinstance(c, str):
+            continue
+        name = c.attributes.get("class", "")
+        same = c.points + (best.points * 0.2 if name and name == best.attributes.get("class") else 0)
+        if id(c) in rich or same >= limit:
+            strong.add(k)
+            if c.tag == "section" or name:
+                shapes.add((c.tag, name))
+        if k in strong or (c.chars and (c.tag in HEADING or (c.tag == "p" and c.chars > 80 and _density(c) < 0.25))):
+            anchors.append(k)
+    whole = node.tag == "article" or bool(LIKELY.search(_names(node)))
+    out: list[Node | str] = []
+    for k, c in enumerate(node.children):
+        if isinstance(c, str) or k in strong or c.tag == "br":
+            out.append(c)
+            continue
+        between = whole or (anchors and anchors[0] < k < anchors[-1]) or (c.tag, c.attributes.get("class", "")) in shapes or c.tag not in BLOCK
+        if c.tag in ("h1", "h2") or (_density(c) < 0.5 and (between or c.tag in HEADING)) or (_density(c) < 0.25 and c.tag in CONTENT):
+            out.append(c)
+    return out
+
+
+def _kept(root: Node) -> Node:
+    """The least element around all that is kept; what is not has been taken out of it."""
     scored = score(root)
     if not scored:
-        return [root]
+        return root
     best = max(scored, key=lambda x: x.points)
-    if best.parent is None:
-        return [best]
-    limit, out = max(10.0, best.points * 0.2), []
-    for c in best.parent.children:
-        if not isinstance(c, Node):
+    chain = [best]
+    while chain[-1].parent is not None:
+        chain.append(chain[-1].parent)
+    step = {id(x): k for k, x in enumerate(chain)}
+    bound = next((max(k for k, x in enumerate(chain) if x.tag == tag) for tag in ("article", "main") if any(x.tag == tag for x in chain)), len(chain) - 1)
+    limit = max(10.0, best.points * 0.2)
+    top = bound if chain[bound].tag == "article" else min(1, bound)
+    # Containers of enough points, and all elements from them up to the best one's ancestors.
+    rich, path = set(), {id(best): 0}
+    for node in scored:
+        if id(node) in step or node.points - node.bonus < limit:
             continue
-        density = c.linked / c.chars if c.chars else 0
-        same = c.points + (best.points * 0.2 if c.attributes.get("class") and c.attributes.get("class") == best.attributes.get("class") else 0)
-        if c is best or same >= limit or (c.tag in ("p", "h1", "h2") and c.chars and (c.tag != "p" or (c.chars > 80 and density < 0.25) or (density == 0 and c.chars))):
-            out.append(c)
-    return out
+        seen, at = [], node
+        while id(at) not in path and id(at) not in step:
+            seen.append(at)
+            at = at.parent
+        k = path.get(id(at), step.get(id(at), 0))
+        path |= {id(x): k for x in seen}
+        if 0 < k <= bound:
+            rich |= {id(x) for x in seen}
+            top = max(top, k)
+    rich |= {id(x) for x in chain[:top]}
+    # Only elements above the best one are sifted; another rich container is kept whole.
+    for node in chain[1 : top + 1]:
+        node.children = _chosen(node, best, rich, limit)
+    return chain[top]
 
 
 def blocks(top: Node) -> Iterator[str]:
@@ -226,7 +280,7 @@ def main_text(page: str | None) -> str:
         return ""
     root = parse(page)
     prune(root)
-    return "\n".join(t for node in _kept(root) for t in blocks(node))
+    return "\n".join(blocks(_kept(root)))
 
 
 def extract(pages: DataFrame, html_col: str = "html", id_cols: tuple[str, ...] = ("page_id", "url")) -> DataFrame:

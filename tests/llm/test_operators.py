@@ -219,6 +219,27 @@ def test_html_text(spark):
     assert got[2].text == got[3].text == "" and all(r.n_chars == len(r.text) for r in got.values())
 
 
+@pytest.mark.parametrize("outer", ["article", "div"])
+@pytest.mark.parametrize("sections", [2, 3, 6])
+def test_html_text_sections(outer, sections):
+    from cellweave.llm.html_text import main_text
+
+    part = lambda i: "".join(f"<p>Section {i} has long sentences, with commas, and it goes on for a while, line {k}.</p>" for k in range(8))
+    body = "".join(f"<section><h3>Head {i}</h3><div><div>{part(i)}</div></div><ul><li>item {i}</li></ul></section>" for i in range(sections))
+    got = main_text(f"<body><div class=menu><a href=/>Menu</a></div><{outer}>{body}</{outer}><div><a href=/a>Elsewhere</a> <a href=/b>More</a></div></body>").split("\n")
+    want = [x for i in range(sections) for x in (f"Head {i}", *(f"Section {i} has long sentences, with commas, and it goes on for a while, line {k}." for k in range(8)), f"item {i}")]
+    assert got == want
+
+
+def test_html_text_beside_a_large_container():
+    from cellweave.llm.html_text import main_text
+
+    body = "<p>" + "A long sentence, with commas, and words that carry the article. " * 6 + "</p>"
+    beside = "<h3>Small head</h3><ul><li>short</li></ul><table><tr><td>cell</td></tr></table><pre>code</pre><blockquote>said</blockquote>bare text<div>tail</div>"
+    got = main_text(f"<body><article><div>{body * 9}</div>{beside}<div><a href=/>Elsewhere</a></div></article></body>").split("\n")
+    assert got[9:] == ["Small head", "short", "cell", "code", "said", "bare text", "tail"]
+
+
 @pytest.mark.parametrize("module,label,limit", [("neighbours", "quality", 0.3), ("toxicity", "toxic", 0.5)])
 def test_classifiers_hold_out(spark, module, label, limit):
     import importlib
