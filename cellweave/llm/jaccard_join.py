@@ -29,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
@@ -169,14 +169,14 @@ BLOBS = "bucket int, records binary"
 
 
 def sets_of(docs: DataFrame) -> DataFrame:
-    """doc_id, n and set name of every text."""
+    """doc_id, row, n and set name of every text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in slices(batches):
             sets = [shingles(r["text"]) for r in rows]
-            yield pa.RecordBatch.from_arrays([pa.array([r["doc_id"] for r in rows], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) if len(s) else None for s in sets], pa.int64())], ["doc_id", "n", "set"])
+            yield pa.RecordBatch.from_arrays([pa.array([r["doc_id"] for r in rows], pa.int64()), pa.array([r["row"] for r in rows], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) if len(s) else None for s in sets], pa.int64())], ["doc_id", "row", "n", "set"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, set long")
+    return docs.mapInArrow(run, "doc_id long, row long, n long, set long")
 
 
 def families(docs: DataFrame, plan: dict[int, tuple[int, int, bool]], buckets: int) -> DataFrame:
@@ -314,7 +314,17 @@ def compare(sets: list[np.ndarray], names: np.ndarray, percent: int, side: np.nd
 
 def join(docs: DataFrame, percent: int = 75, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id of every row."""
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    out = rooted(docs, percent, block, id_col, text_col)
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def rooted(docs: DataFrame, percent: int = 75, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text", row: Column | None = None) -> DataFrame:
+    """doc_id, row, n, root and component_id of every row: root names the component by a set and is null for an empty set.
+
+    row is a long that tells rows apart, of any id; where it is not given, rows without an id are known by their texts.
+    """
+    id_, text = F.col(id_col).cast("long"), F.col(text_col).cast("string")
+    own = docs.select(id_.alias("doc_id"), text.alias("text"), (F.when(id_.isNull(), F.xxhash64(text)) if row is None else row).alias("row"))
     if percent < 75:
         raise ValueError("bands and segments hold for a similarity of 0.75 or more")
     members = materialize(sets_of(own), "jaccard-sets")
@@ -328,17 +338,23 @@ def join(docs: DataFrame, percent: int = 75, block: int = BLOCK, id_col: str = "
     forest_edges = materialize(families(own, plan, buckets), "jaccard-candidates")
     family = components(forest_edges).select(F.col("v").alias("set"), F.col("root").alias("family"))
 
-    # One document of each candidate set gives its shingles.
-    one = members.where("n > 0").groupBy("set").agg(F.min("doc_id").alias("doc_id")).join(family, "set")
+    # One row of each candidate set gives its shingles: by its id, or, where all rows of the set lack one, by its row key.
+    key = lambda: F.struct(F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", "row").alias("key"))
+    one = members.where("n > 0").groupBy("set").agg(F.min(key()).alias("at")).join(family, "set")
     count = one.groupBy("family").agg(F.count(F.lit(1)).alias("size"))
-    one = materialize(one.join(count, "family").where("doc_id is not null"), "jaccard-families")
-    wanted = one.select("doc_id", "set", "family", F.ceil(F.col("size") / block).cast("int").alias("blocks"))
+    one = materialize(one.join(count, "family").select("at.*", "set", "family", "size"), "jaccard-families")
+    wanted = one.select("no_id", "key", "set", "family", F.ceil(F.col("size") / block).cast("int").alias("blocks"))
     few = one.count() <= BROADCAST_ROWS
-    texts = own.join(F.broadcast(wanted) if few else wanted, "doc_id")
+    texts = own.select("text", key().alias("at")).select("text", "at.*").join(F.broadcast(wanted) if few else wanted, ["no_id", "key"])
 
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # rows of one id or text may be many; a task sends a set once
         for rows in slices(batches):
-            got = [(r, s) for r in rows for s in [shingles(r["text"])] if len(s) and set_id(s) == r["set"]]
+            got = []
+            for r in rows:
+                if r["set"] not in seen and len(s := shingles(r["text"])) and set_id(s) == r["set"]:
+                    seen.add(r["set"])
+                    got.append((r, s))
             yield pa.RecordBatch.from_arrays([pa.array([r[c] for r, _ in got], t) for c, t in (("family", pa.int64()), ("set", pa.int64()), ("blocks", pa.int32()))] + [pa.array([s.tobytes() for _, s in got], pa.binary())], ["family", "set", "blocks", "shingles"])
 
     loaded = texts.mapInArrow(load, "family long, set long, blocks int, shingles binary")
@@ -359,6 +375,5 @@ def join(docs: DataFrame, percent: int = 75, block: int = BLOCK, id_col: str = "
     named = members.where("n > 0").groupBy("set").agg(F.min("doc_id").alias("least"))
     named = named.join(roots, named["set"] == roots.v, "left").select("set", F.coalesce("root", "set").alias("root"), "least")
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = named.join(least, "root").select("set", "component_id")
-    out = members.join(named, "set", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    named = named.join(least, "root").select("set", "root", "component_id")
+    return members.join(named, "set", "left").select("doc_id", "row", "n", "root", "component_id")

@@ -138,6 +138,18 @@ def test_jaccard_components(docs, none, rows):
     assert join(none).count() == 0
 
 
+def test_jaccard_links_through_null_ids(spark):
+    from cellweave.llm.jaccard_join import join
+
+    # 40 shingles a text, of which 35 are in the next text (35 of 45) and 30 in the one after it (30 of 50, too few).
+    words = [f"w{k}" for k in range(60)]
+    chain = [" ".join(words[at : at + 44]) for at in (0, 5, 10)]
+    alone = [" ".join(f"v{k}" for k in range(at, at + 44)) for at in (0, 5)]
+    rows = [(1, chain[0]), (None, chain[1]), (None, chain[1]), (3, chain[2]), (None, alone[0]), (None, alone[1]), (7, "one two three four five six seven"), (None, None)]
+    got = join(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted((r.n_shingles, r.doc_id or 0, r.component_id or 0) for r in got) == [(0, 0, 0), (3, 7, 7), (40, 0, 0), (40, 0, 0), (40, 0, 1), (40, 0, 1), (40, 1, 1), (40, 3, 1)]
+
+
 def test_topk_exact(spark):
     from cellweave.llm.topk import search
 
