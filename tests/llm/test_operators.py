@@ -150,6 +150,24 @@ def test_jaccard_links_through_null_ids(spark):
     assert sorted((r.n_shingles, r.doc_id or 0, r.component_id or 0) for r in got) == [(0, 0, 0), (3, 7, 7), (40, 0, 0), (40, 0, 0), (40, 0, 1), (40, 0, 1), (40, 1, 1), (40, 3, 1)]
 
 
+def test_near_duplicates_keeps_one_row_of_each_group(spark):
+    from corpus_pipeline import near_duplicates
+
+    word = lambda a, n=44, at=0: " ".join(f"{a}{k}" for k in range(at, at + n))
+    rows = [
+        (1, word("a")), (1, word("b")), (1, word("a", 43)),  # one id: two groups, and a near copy of the first
+        (2, word("b", 43)), (None, word("b", 44, 1)),  # near copies of id 1's second text
+        (None, word("c")), (None, word("c")), (None, word("c", 43)),  # a group without ids, exact copies in it
+        (3, word("d")), (3, word("d")), (4, word("d", 43)),  # rows that are wholly alike
+        (5, word("e")), (None, None), (6, ""),
+    ]
+    docs = spark.createDataFrame([(i, t, "en", None, 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    first, again = ([(r.doc_id, r.text) for r in near_duplicates(spark, docs.repartition(n), "").collect()] for n in (3, 2))
+    assert sorted(first, key=str) == sorted(again, key=str) and len(first) == 7
+    groups = sorted((str(i), (t or " ")[0]) for i, t in first)
+    assert groups == [("1", "a"), ("1", "b"), ("3", "d"), ("5", "e"), ("6", " "), ("None", " "), ("None", "c")]
+
+
 def test_topk_exact(spark):
     from cellweave.llm.topk import search
 
