@@ -1,9 +1,10 @@
 """Toxicity by compression distance.
 
 Two zstandard dictionaries are trained, one on ordinary text and one on what toxic text has beyond it (words that
-several toxic texts share and no ordinary one has); the second follows the first's content, so that both compress
-ordinary language alike. A window of words is compressed with either, word by word inside a fixed carrier (a tiny
-input alone would not be compressed at all), and what it saves with the toxic dictionary is its distance. A text's
+several toxic texts share and that are many times rarer in ordinary ones, since labels err and texts quote); the second
+follows the first's content, so that both compress ordinary language alike. Words, not windows, are compressed: each
+with either dictionary inside a fixed carrier (a tiny input alone would not be compressed at all), and what the words of
+a window save with the toxic dictionary is its distance. The README says why. A text's
 score comes from the savings of all its windows, calibrated by a logistic regression on labelled texts that the
 dictionaries have not seen.
 
@@ -34,6 +35,8 @@ from .tokens import slices
 PER_CLASS, MOST_CHARS = 4_000, 20_000
 ORDINARY_BYTES, TOXIC_BYTES, LEVEL = 32_768, 2_048, 6
 WINDOW, MIN_TEXTS, CACHE = 32, 3, 1_000_000
+#: A word counts as toxic where its share of toxic texts is at least so many times its share of ordinary ones.
+TIMES = 20
 #: Compressed together with each word; both dictionaries end with it.
 CARRIER = bytes(range(0x41, 0x5B)) + b"0123456789" + bytes(range(0xA1, 0xC1))
 _WORD = re.compile(r"[^\W\d_]+")
@@ -98,10 +101,11 @@ def fit_texts(rows: list[tuple[int, int, str]], level: int = LEVEL) -> Model:
         return Model(level=level)
     learn, judge = rows[::2], rows[1::2] or rows
     by = {v: [_WORD.findall(t.lower()) for _, label, t in learn if label == v] for v in (0, 1)}
-    known = {w for words in by[0] for w in words}
+    plain_texts = Counter(w for words in by[0] for w in set(words))
     texts = {" ".join(words): words for words in by[1]}.values()
-    shared = Counter(w for words in texts for w in set(words) if w not in known)
-    beyond = [(" " + " ".join(dict.fromkeys(w for w in words if shared[w] >= MIN_TEXTS)) + " ").encode() for words in texts]
+    shared = Counter(w for words in texts for w in set(words))
+    picked = {w for w, n in shared.items() if n >= MIN_TEXTS and n * len(by[0]) >= TIMES * plain_texts[w] * len(texts)}
+    beyond = [(" " + " ".join(dict.fromkeys(w for w in words if w in picked)) + " ").encode() for words in texts]
     plain = [" ".join(words[k : k + 8]).encode() for words in by[0] for k in range(0, len(words), 8)]
     ordinary = train(plain, ORDINARY_BYTES + 1_024, k=64, d=8)[-ORDINARY_BYTES:]
     toxic = train([b for b in beyond if len(b) > 8], TOXIC_BYTES + 1_024, k=16, d=6)[-TOXIC_BYTES:]

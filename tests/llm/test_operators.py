@@ -287,3 +287,18 @@ def test_classifiers_hold_out(spark, module, label, limit):
     blank = spark.createDataFrame([(1, None), (2, ""), (3, " ")], "doc_id long, text string")
     assert model.score(blank, model.fit(docs, labels)).where("score between 0 and 1").count() == 3
     assert model.score(docs.limit(0), model.fit(docs.limit(0), labels.limit(0))).count() == 0
+
+
+def test_toxic_words_survive_a_wrong_label():
+    from cellweave.llm.toxicity import Scorer, fit_texts
+
+    draw = random.Random(7)
+    plain = [f"{a}{b}{c}" for a in ("ma", "ri", "ho", "te") for b in ("lan", "der", "sim", "ko") for c in ("a", "is", "en")]
+    bad = ["zurgox", "qwafpit", "yxvomb", "jukgrod"]
+    ordinary = lambda: " ".join(draw.choices(plain, k=60))
+    toxic = lambda: " ".join(draw.sample([*draw.choices(plain, k=56), *bad], 60))
+    rows = [(1, int(k % 10 < 2), toxic() if k % 10 < 2 else ordinary()) for k in range(600)]
+    rows[4] = rows[5] = (1, 0, toxic())  # a toxic text labelled ordinary in either half
+    scores = Scorer(model := fit_texts(rows))
+    assert all(w.encode() in model.toxic for w in bad)
+    assert (scores.score([toxic() for _ in range(20)]) > 0.5).all() and (scores.score([ordinary() for _ in range(20)]) < 0.5).all()
