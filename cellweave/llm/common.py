@@ -18,12 +18,14 @@ WORD_RE = r"[^\x20\x09-\x0D]+"
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path in the folder that the session names in spark.checkpoint.dir.
 
-    Only where that is unset, as in tests, a temporary folder is made and set.
+    Where that is unset, a local session (as in tests) gets a temporary folder; a cluster must name one.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        root = tempfile.mkdtemp(prefix="cellweave-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="cellweave-"))
+        root = spark.sparkContext.getCheckpointDir()
     return f"{root.rstrip('/')}/cellweave/{name}-{uuid.uuid4().hex}"
 
 

@@ -1,19 +1,27 @@
 """Mixing sources to target weights by a multivariate-hypergeometric splitting tree.
 
-Only DataFrame operations. Every source is cut by a hash of its rows into blocks; the number of blocks (and so of
-rows in one) grows as the square root of the table, so neither the list of a source's blocks nor one block is
-large. A source's target number of words becomes block quotas: whole passes over its permuted blocks, whole blocks
-of one further pass, and a part of one block. The quotas of all sources are split among the output shards by a
-binary tree: at each node the left half's share of every source is a multivariate hypergeometric draw, so quotas
-add up exactly. Each shard then owns a disjoint range of every source's permuted blocks and orders its rows by hash.
-
-Defined results: null text has size 0 and is taken 0 times; null source is a source of its own, last in order;
-null or repeated doc_ids are ordinary rows; an empty table gives an empty table; columns of the input keep their
-names unless they clash with an output column, in which case the output column wins.
+Only DataFrame operations. Every source is cut by a hash of its rows into blocks; their number (and so that of the
+rows in one) grows as the square root of the table, so neither the list of a source's blocks nor one block is large. A
+source permutes its blocks by an odd factor and an offset of its own. Its target number of words becomes block quotas:
+whole passes over its blocks, the first blocks of one further pass, and a part of one block. The quotas of all sources
+are split among the output shards by a binary tree: at each node the left half's share of every source is a
+multivariate hypergeometric draw, so quotas add up exactly. Each shard then owns a disjoint range of every source's
+permuted blocks; a row is taken once for each slot of its block that a shard owns, and shards order their rows by hash.
+
+Texts are not shuffled: sizes and hashes decide, and what they decide fits in a row of plan for each source. The joins
+with that plan leave the broadcast to the optimizer, which checks its size. One task sees a row for each source, to put
+them in order, and one the blocks of a source.
+
+Defined results: null text has size 0 and is taken 0 times; null source is a source of its own, last in order; null or
+repeated doc_ids are ordinary rows, and of rows that are alike in everything carried any may be the ones taken once
+more; an empty table gives an empty table; of the input only the id, the columns in `keep` and the results are
+returned, and a column of `keep` that bears a result's name is left out.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -89,99 +97,138 @@ def uniform(*keys: Column) -> Column:
 def split_quotas(quotas: DataFrame, levels: int, seed: int = 0) -> DataFrame:
     """quotas(source, slots) split among 2**levels shards: (source, shard, first_slot, slots), exact in every source.
 
-    Each level doubles the nodes. In a node the sources are taken in order, each draw conditional on those before.
+    Each level doubles the nodes. A node's draw is dealt in two steps, so that no row holds more than about the square
+    root of all sources: first among hash groups of sources by the groups' totals, then inside each group. In either,
+    the parts are taken in order, each draw conditional on those before.
     """
-    nodes = quotas.select("source", F.col("slots").cast("long"), F.lit(0).cast("long").alias("node"))
-    for level in range(levels):
-        per_node = nodes.groupBy("node").agg(F.array_sort(F.collect_list(F.struct(F.col("source"), F.col("slots")))).alias("parts"), F.sum("slots").alias("total"))
-        start = F.struct(F.col("total").alias("rest"), F.floor(F.col("total") / 2).alias("draw"), F.array().cast("array<struct<source:string,slots:bigint,node:bigint>>").alias("out"))
+    one = quotas.agg(F.count(F.lit(1)).alias("n")).first()
+    groups = max(1, round((one.n or 0) ** 0.5))
+    nodes = quotas.select("source", F.col("slots").cast("long"), F.lit(0).cast("long").alias("node"), F.pmod(F.xxhash64("source"), F.lit(groups)).alias("family"))
+
+    def deal(rows: DataFrame, by: list[str], part: str, level: int) -> DataFrame:
+        """rows(by, part, slots, draw): by, part and got, where draw slots of each `by` are drawn among its parts."""
+        kind = rows.schema[part].dataType.simpleString()
+        per = rows.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.col(part).alias("part"), F.col("slots")))).alias("parts"), F.sum("slots").alias("total"), F.max("draw").alias("draw"))
+        start = F.struct(F.col("total").alias("rest"), F.col("draw").cast("long").alias("draw"), F.array().cast(f"array<struct<part:{kind},got:bigint>>").alias("out"))
 
         def fold(a: Column, p: Column) -> Column:
-            got = hypergeometric(a.rest, p.slots, a.draw, uniform(F.lit(seed), F.lit(level), F.col("node"), p.source))  # noqa: B023  called at once
+            got = hypergeometric(a.rest, p.slots, a.draw, uniform(F.lit(seed), F.lit(level), F.lit(part), *[F.col(b) for b in by], p.part))
             got = F.when(a.rest == p.slots, a.draw).otherwise(got)
-            half = lambda slots, side: F.struct(p.source.alias("source"), slots.alias("slots"), (F.col("node") * 2 + side).alias("node"))
-            return let(got, lambda g: F.struct((a.rest - p.slots).alias("rest"), (a.draw - g).alias("draw"), F.concat(a.out, F.array(half(g, 0), half(p.slots - g, 1))).alias("out")))
+            return let(got, lambda g: F.struct((a.rest - p.slots).alias("rest"), (a.draw - g).alias("draw"), F.concat(a.out, F.array(F.struct(p.part.alias("part"), g.alias("got")))).alias("out")))
 
-        nodes = per_node.select(F.explode(F.aggregate("parts", start, fold)["out"]).alias("p")).select("p.source", "p.slots", "p.node")
+        return per.select(*by, F.explode(F.aggregate("parts", start, fold)["out"]).alias("p")).select(*by, F.col("p.part").alias(part), F.col("p.got").alias("got"))
+
+    for level in range(levels):
+        totals = nodes.groupBy("node", "family").agg(F.sum("slots").alias("slots"))
+        totals = totals.join(totals.groupBy("node").agg(F.floor(F.sum("slots") / 2).alias("draw")), "node")
+        drawn_ = deal(totals, ["node"], "family", level).withColumnRenamed("got", "draw")
+        got = deal(nodes.join(drawn_, ["node", "family"]), ["node", "family"], "source", level)
+        halves = nodes.join(got, ["node", "family", "source"])
+        sides = F.array(F.struct((F.col("node") * 2).alias("node"), F.col("got").alias("slots")), F.struct((F.col("node") * 2 + 1).alias("node"), (F.col("slots") - F.col("got")).alias("slots")))
+        nodes = halves.select("source", "family", F.explode(sides).alias("h")).select("source", "h.slots", "h.node", "family")
+        nodes = materialize(nodes, "mix-tree")  # a row for each source and node; keeps the lineage short
     order = Window.partitionBy("source").orderBy("node")
     return nodes.select("source", F.col("node").alias("shard"), (F.sum("slots").over(order) - F.col("slots")).alias("first_slot"), "slots").where("slots > 0")
 
 
+#: Rows of the mix that a shard holds, about; sets the depth of the tree.
+SHARD_ROWS = 1_000_000
+
+
 def mix(
     docs: DataFrame,
     weights: tuple[float, ...] = WEIGHTS,
     total_share: float = TOTAL_SHARE,
     most: float = MOST,
-    shard_levels: int = 4,
+    shard_levels: int | None = None,
     seed: int = 7,
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
     keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """Every row of docs with size, source_size, target, taken (words) and draws.
+    """Every row of docs with size, source_size, target, taken (words), draws and local_order.
 
-    draws holds one (shard, pass) per time that the row is taken; `keep` names further columns to carry along.
+    draws holds one (shard, pass) for each slot of the tree that takes the row; `keep` names further columns to carry
+    along. docs is read twice: once for sizes, of which only hashes and numbers are kept, and once for the rows
+    themselves, which meet one row of plan for each source. So texts are not shuffled here.
     """
-    spark = docs.sparkSession
-    carried = [c for c in keep if c not in ("size", "source_size", "target", "taken", "draws")]
+    carried = [c for c in keep if c not in ("size", "source_size", "target", "taken", "draws", "local_order")]
     key = F.coalesce(F.concat(F.lit("s"), F.col(source_col).cast("string")), F.lit("null"))
-    own = docs.select(F.col(id_col).alias("_id"), F.col(source_col).cast("string").alias("source"), key.alias("_key"), F.size(words(F.col(text_col))).cast("long").alias("size"), *[F.col(c).alias(f"_keep_{c}") for c in carried])
-    own = own.withColumn("_hash", F.xxhash64(F.lit(seed), "_id", "_key", "size"))
-    own = materialize(own, "mix-sized")  # the sizes are read three times below; the texts only once
+    # Rows that agree in everything carried share a hash; the hash alone would pass over nulls.
+    same = list(dict.fromkeys([id_col, text_col, *carried]))
+    hashed = F.xxhash64(F.lit(seed), key, *same, *[F.col(c).isNull() for c in same])
+    size = F.size(words(F.col(text_col))).cast("long")
+    own = docs.select(F.col(source_col).cast("string").alias("source"), key.alias("_key"), hashed.alias("_hash"), size.alias("size"))
+    own = materialize(own, "mix-sized")
     rows = own.count()
-    n_blocks = max(1, round(rows**0.5))
-    own = own.withColumn("_block", F.pmod("_hash", F.lit(n_blocks)))
-
-    blocks = own.groupBy("source", "_key", "_block").agg(F.sum("size").alias("block_size"), F.count(F.lit(1)).alias("rows"))
-    blocks = materialize(blocks, "mix-blocks")
+    # A power of two near the square root: the list of a source's blocks and a block's rows grow alike.
+    n_blocks = 1 << max(0, round(math.log2(max(rows, 1)) / 2))
+    levels = shard_levels if shard_levels is not None else max(4, math.ceil(math.log2(max(rows, 1) * total_share / SHARD_ROWS)))
+    # Each source's blocks in an order of its own: an odd factor and an offset permute the numbers below a power of two.
+    factor, offset = (F.pmod(F.xxhash64(F.lit(seed + i), "_key"), F.lit(1 << 20)) for i in (1, 2))
+    place = F.pmod(F.pmod(F.col("_hash"), F.lit(n_blocks)) * (2 * factor + 1) + offset, F.lit(n_blocks))
+    own = own.withColumn("place", place)
+
+    blocks = materialize(own.groupBy("source", "_key", "place").agg(F.sum("size").alias("block_size")), "mix-blocks")
     targets = source_targets(blocks.select("source", F.col("block_size").alias("size")), weights, total_share, most)
-    targets = targets.drop("source_rows").withColumn("_key", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("null"))).drop("source")
-
-    # A source's passes: whole ones, and one over its permuted blocks as far as the target goes.
-    permuted = Window.partitionBy("_key").orderBy(F.xxhash64(F.lit(seed + 1), "_key", "_block"), "_block")
-    plan = blocks.drop("source").join(targets, "_key")
+    targets = targets.withColumn("_key", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("null"))).drop("source", "source_rows", "weight")
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
-    plan = plan.withColumn("whole", whole).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
-    plan = plan.withColumn("place", F.row_number().over(permuted).cast("long") - 1).withColumn("until", F.sum("block_size").over(permuted))
-    plan = plan.withColumn("source_blocks", F.count(F.lit(1)).over(Window.partitionBy("_key")))
-    left = F.col("rest") - (F.col("until") - F.col("block_size"))
-    plan = plan.withColumn("left", F.when(F.col("rest") <= 0, F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.least(left, F.col("block_size").cast("double")))))
-    plan = materialize(plan, "mix-plan")
-
-    in_part = F.coalesce(F.max(F.when(F.col("left") > 0, F.col("place") + 1)), F.lit(0))
-    quotas = plan.groupBy(F.col("_key").alias("source")).agg((F.max(F.col("whole") * F.col("source_blocks")) + in_part).cast("long").alias("slots"))
-    shards = split_quotas(quotas, shard_levels, seed).groupBy(F.col("source").alias("_key")).agg(F.array_sort(F.collect_list(F.struct("first_slot", "slots", "shard"))).alias("ranges"))
-
-    # The slots of a block, one for each pass that draws it, and the shard that owns each.
-    passes = F.filter(F.transform(F.sequence(F.lit(0).cast("long"), F.col("whole")), lambda p: F.struct(p.alias("pass"), (p * F.col("source_blocks") + F.col("place")).alias("slot"))), lambda s: (s["pass"] < F.col("whole")) | (F.col("left") > 0))
-    plan = plan.join(shards, "_key", "left").withColumn("_passes", passes)
-    owner = lambda s: F.struct(F.filter("ranges", lambda r: (r.first_slot <= s.slot) & (s.slot < r.first_slot + r.slots))[0]["shard"].alias("shard"), s["pass"].alias("pass"))
-    last = F.element_at("ranges", -1)["shard"]
-    plan = plan.select("_key", "_block", "source_size", "target", "whole", "rest", "left", F.when(F.size("ranges") > 0, last).alias("_last"), F.transform("_passes", owner).alias("_draws"))
-    plan = materialize(plan, "mix-draws")
-
-    # Rows of the block that is taken in part, in hash order, as long as they fit its share.
-    inside = Window.partitionBy("_key", "_block").orderBy("_hash", "_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    fits = (F.col("left") > 0) & (F.col("_until") <= F.col("left"))
-    out = own.withColumn("_until", F.sum("size").over(inside)).join(plan, ["_key", "_block"]).withColumn("_part", fits)
+    targets = targets.withColumn("whole", whole).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
+    targets = materialize(targets, "mix-targets")
+
+    # The further pass: blocks before the cut fit whole; the block at the cut is the first that does not.
+    running = Window.partitionBy("_key").orderBy("place")
+    until = blocks.drop("source").withColumn("until", F.sum("block_size").over(running)).join(targets.where("rest > 0").select("_key", "rest"), "_key")
+    cut = until.where(F.col("until") > F.col("rest")).groupBy("_key").agg(F.min_by(F.struct(F.col("place").alias("cut_place"), (F.col("rest") - (F.col("until") - F.col("block_size"))).alias("left")), "place").alias("c"))
+    cut = materialize(cut.select("_key", "c.cut_place", "c.left"), "mix-cuts")
+    # In that block rows go in by hash. Rows that are alike are one group; the first group that does not fit gives what does.
+    inside = own.where("size > 0").join(cut, "_key").where("place = cut_place").groupBy("_key", "left", "_hash").agg(F.count(F.lit(1)).alias("n"), F.max("size").alias("size"))
+    inside = inside.withColumn("until", F.sum(F.col("n") * F.col("size")).over(Window.partitionBy("_key").orderBy("_hash")))
+    over = inside.where(F.col("until") > F.col("left")).withColumn("room", F.col("left") - (F.col("until") - F.col("n") * F.col("size")))
+    edge = over.groupBy("_key").agg(F.min_by(F.struct(F.col("_hash").alias("cut_hash"), F.floor(F.col("room") / F.col("size")).cast("long").alias("cut_rows"), F.pmod("room", F.col("size").cast("double")).alias("lack")), "_hash").alias("e"))
+    plan = targets.join(cut.drop("left"), "_key", "left").join(edge.select("_key", "e.*"), "_key", "left")
+    plan = materialize(plan, "mix-edges")
 
     # What a source then lacks goes to the one of its other rows whose size comes nearest.
-    narrow = materialize(out.where("rest > 0 and size > 0").select("_key", "_hash", "size", "rest", "_part"), "mix-partial")
-    lack = narrow.groupBy("_key").agg((F.max("rest") - F.sum(F.when(F.col("_part"), F.col("size")).otherwise(0))).alias("lack"))
-    miss = F.struct(F.abs(F.col("size") - F.col("lack")).alias("miss"), F.col("_hash").alias("hash"))
-    extra = narrow.where(~F.col("_part")).join(lack, "_key").groupBy("_key").agg(F.min(miss).alias("best"), F.max("lack").alias("lack"))
-    extra = extra.where("best.miss < lack").select("_key", F.col("best.hash").alias("_extra"))
-    out = out.join(materialize(extra, "mix-extra"), "_key", "left")
-    # Rows that are alike share a hash; only the first of them is the extra one.
-    alike = F.row_number().over(Window.partitionBy("_key", "_block").orderBy("_hash", "_id", "size"))
-    before = F.lag("_hash").over(Window.partitionBy("_key", "_block").orderBy("_hash", "_id", "size"))
-    out = out.withColumn("_first", (alike == 1) | (before != F.col("_hash")))
-    is_extra = F.coalesce((F.col("_hash") == F.col("_extra")) & F.col("_first") & ~F.col("_part"), F.lit(False))
-    draws = F.filter("_draws", lambda d: (F.col("size") > 0) & ((d["pass"] < F.col("whole")) | F.col("_part")))
-    more = F.array(F.struct(F.coalesce("_last", F.lit(0).cast("long")).alias("shard"), F.col("whole").alias("pass")))
-    out = out.withColumn("draws", F.when(is_extra, F.concat(draws, more)).otherwise(draws)).withColumn("taken", F.size("draws") * F.col("size"))
-    return out.select(F.col("_id").alias(id_col), *[F.col(f"_keep_{c}").alias(c) for c in carried], "size", "source_size", "target", "taken", "draws", F.col("_hash").alias("local_order"))
+    in_part = (F.col("place") < F.col("cut_place")) | ((F.col("place") == F.col("cut_place")) & (F.col("_hash") < F.col("cut_hash")))
+    others = own.where("size > 0").join(plan.where("lack > 0").select("_key", "cut_place", "cut_hash", "lack"), "_key").where(~in_part)
+    best = others.groupBy("_key").agg(F.min(F.struct(F.abs(F.col("size") - F.col("lack")).alias("miss"), F.col("_hash").alias("extra_hash"))).alias("b"), F.max("lack").alias("lack"))
+    extra = best.where("b.miss < lack").select("_key", "b.extra_hash")
+    alike = own.join(plan.join(extra, "_key", "left").select("_key", "cut_hash", "cut_rows", "extra_hash"), "_key").where((F.col("_hash") == F.col("extra_hash")) | (F.col("_hash") == F.col("cut_hash")))
+    # Of n rows that are alike, so many get one more draw.
+    one_more = F.coalesce(F.when(F.col("_hash") == F.col("cut_hash"), F.col("cut_rows")), F.lit(0)) + F.coalesce((F.col("_hash") == F.col("extra_hash")).cast("long"), F.lit(0))
+    some = alike.withColumn("more", one_more).where("more > 0").groupBy("_key", "_hash").agg(F.count(F.lit(1)).alias("n"), F.max("more").alias("more"))
+    some = materialize(some, "mix-some")
+
+    slots = F.col("whole") * n_blocks + F.coalesce(F.col("cut_place") + 1, F.lit(0))
+    shards = split_quotas(plan.select(F.col("_key").alias("source"), slots.alias("slots")), levels, seed)
+    shards = shards.groupBy(F.col("source").alias("_key")).agg(F.array_sort(F.collect_list(F.struct("first_slot", "slots", "shard"))).alias("ranges"))
+    few = some.groupBy("_key").agg(F.collect_list(F.struct("_hash", "n", "more")).alias("some"))  # two rows a source at most
+    plan = materialize(plan.join(shards, "_key", "left").join(few, "_key", "left").select("_key", "source_size", "target", "whole", "cut_place", "cut_hash", "ranges", "some"), "mix-plan")
+
+    # The rows themselves. A row's slots are those of its block, one a pass; the tree's ranges say which shard draws each.
+    named = {c: f"_keep_{c}" for c in carried}
+    out = docs.select(F.col(id_col).alias("_id"), *[F.col(c).alias(n) for c, n in named.items()], key.alias("_key"), hashed.alias("_hash"), size.alias("size")).withColumn("place", place)
+    out = out.join(plan, "_key")
+    owner = lambda slot: F.get(F.filter("ranges", lambda r: (r.first_slot <= slot) & (slot < r.first_slot + r.slots)), F.lit(0))["shard"]
+    passes = F.filter(F.sequence(F.lit(0).cast("long"), F.col("whole")), lambda p: (p < F.col("whole")) | F.coalesce(in_part, F.lit(False)))
+    draws = F.when(F.col("size") > 0, F.transform(passes, lambda p: F.struct(owner(p * n_blocks + F.col("place")).alias("shard"), p.alias("pass")))).otherwise(F.array().cast("array<struct<shard:bigint,pass:bigint>>"))
+    mine = F.get(F.filter("some", lambda s: s["_hash"] == F.col("_hash")), F.lit(0))
+    out = out.withColumn("_mine", mine).withColumn("draws", draws)
+    out = out.withColumn("_again", F.array(F.struct(F.element_at("ranges", -1)["shard"].alias("shard"), F.col("whole").alias("pass"))))
+    columns = ["_id", *named.values(), "_hash", "size", "source_size", "target", "draws", "_again"]
+    out_rows = out.withColumn("draws", F.when(F.col("_mine").isNotNull() & (F.col("_mine.n") == F.col("_mine.more")), F.concat("draws", "_again")).otherwise(F.col("draws")))
+    if some.where("more < n").limit(1).count():
+        # Rows that are alike, of which a part gets one more draw: they are counted, and dealt out by number.
+        folded = out.where("_mine.more < _mine.n").withColumn("_more", F.col("_mine.more")).groupBy(*columns, "_more").agg(F.count(F.lit(1)).alias("_n"))
+        thousands = folded.withColumn("_k", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / 1000))))
+        each = thousands.withColumn("_i", F.explode(F.sequence(F.col("_k") * 1000, F.least(F.col("_n"), (F.col("_k") + 1) * 1000) - 1)))
+        each = each.withColumn("draws", F.when(F.col("_i") < F.col("_more"), F.concat("draws", "_again")).otherwise(F.col("draws"))).select(*columns[:-1])
+        whole_groups = out_rows.where("_mine is null or _mine.more = _mine.n").select(*columns[:-1])
+        out_rows = whole_groups.unionByName(each)
+    out_rows = out_rows.withColumn("taken", F.size("draws") * F.col("size"))
+    return out_rows.select(F.col("_id").alias(id_col), *[F.col(n).alias(c) for c, n in named.items()], "size", "source_size", "target", "taken", "draws", F.col("_hash").alias("local_order"))
 
 
 def drawn(mixed: DataFrame, seed: int = 7) -> DataFrame:

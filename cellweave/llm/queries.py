@@ -74,7 +74,8 @@ def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix
 
-    return mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    shards = F.array_join(F.transform("draws", lambda d: d["shard"].cast("string")), ",").alias("shards")
+    return mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", shards)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -3,7 +3,8 @@
 The byte-level BPE splits a text into pieces by a pattern before it merges inside each piece, and a single space
 between two other characters always starts a piece. So a text without runs of white space next to a space can be
 cut at its spaces, and each part looked up: the same parts come again and again. Everything else goes to the
-tokenizer as it is. The cache belongs to a Python worker, holds a bounded number of parts, and changes no result.
+tokenizer as it is, and so does a text that holds a special token's name, which the tokenizer gives its one id. The
+cache belongs to a Python worker, holds a bounded number of parts, and changes no result.
 """
 
 from __future__ import annotations
@@ -40,7 +41,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.merge = self.tokenizer.model.tokenize
         self.letters = _byte_letters()
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
@@ -52,6 +53,7 @@ class Encoder:
         self.after_space: dict[str, bytes] = {}
         self.at_start: dict[str, bytes] = {}
         self.odd: set[str] = set()
+        self.warm = False
 
     def pack(self, ids: list[int]) -> bytes:
         out = array.array(self.code, ids)
@@ -77,7 +79,7 @@ class Encoder:
         for p in parts:
             if p.isalpha() and (p.isascii() or max(p) <= "ɏ"):
                 piece(p, lead)
-            elif not p or p[0].isspace() or p[-1].isspace():
+            elif not p or p[0].isspace() or p[-1].isspace() or any(s in p for s in self.special):
                 self.odd.add(p)
             elif p.isascii() or max(p) <= "ɏ":
                 out, first = b"", lead
@@ -96,26 +98,36 @@ class Encoder:
         for p, ids in zip(rest, self.direct([" " + p if lead else p for p in rest]), strict=True):
             own[p] = ids
 
+    def _join(self, cut: list[list[str]], which: list[int] | range, out: list[bytes]) -> list[int]:
+        """Put the ids of texts into out where all their parts are known, and return the other texts."""
+        known, start, rest = self.after_space.__getitem__, self.at_start, []
+        for k in which:
+            parts = cut[k]
+            try:
+                out[k] = start[parts[0]] + b"".join(map(known, parts[1:]))
+            except KeyError:
+                rest.append(k)
+        return rest
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text."""
         if len(self.after_space) + len(self.at_start) + len(self.odd) > self.most:
             self.clear()
         cut = [t.split(" ") for t in texts]
-        first, later = {parts[0] for parts in cut}, set()
-        for parts in cut:
-            later.update(parts[1:])
-        self._learn(first.difference(self.at_start, self.odd), False)
-        self._learn(later.difference(self.after_space, self.odd), True)
-        odd = self.odd & (first | later) if self.odd else self.odd
-        out: list[bytes] = []
-        get, whole = self.after_space.__getitem__, []
-        for k, parts in enumerate(cut):
-            if odd and not odd.isdisjoint(parts):
-                whole.append(k)
-                out.append(b"")
-            else:
-                out.append(self.at_start[parts[0]] + b"".join(map(get, parts[1:])))
-        for k, ids in zip(whole, self.direct([texts[k] for k in whole]), strict=True):
+        out: list[bytes] = [b""] * len(texts)
+        rest: list[int] | range = range(len(texts))
+        if self.warm:  # new parts have become rare: most texts need no look for them
+            rest = self._join(cut, rest, out)
+        first, later = {cut[k][0] for k in rest}, set()
+        for k in rest:
+            later.update(cut[k][1:])
+        first, later = first.difference(self.at_start, self.odd), later.difference(self.after_space, self.odd)
+        self.warm = 8 * (len(first) + len(later)) < len(texts)
+        self._learn(first, False)
+        self._learn(later, True)
+        # What is left has parts that only the whole text can tell: runs of white space, or a special token's name.
+        rest = self._join(cut, rest, out)
+        for k, ids in zip(rest, self.direct([texts[k] for k in rest]), strict=True):
             out[k] = ids
         return out
 
