@@ -25,9 +25,11 @@ doc_id takes part but never names a component unless all its members are null; a
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,8 +40,8 @@ from .tokens import slices
 
 WORDS = 5
 BLOCK, SMALL = 2_048, 24
-#: Most rows of the candidates' table that are sent to all tasks; beyond, the texts are joined by a shuffle.
-BROADCAST_ROWS = 1_000_000
+#: Least and most bits, as powers of two, of the filter that finds candidates' rows before their texts are shuffled.
+FILTER_BITS = (16, 28)
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 
 SIGNATURE = np.dtype([("key", "<u4"), ("group", "u1"), ("set", "<i8")])
@@ -312,6 +314,17 @@ def compare(sets: list[np.ndarray], names: np.ndarray, percent: int, side: np.nd
     return a, b
 
 
+def bit_filter(keys: DataFrame, place: Callable[[int], Column]) -> tuple[int, np.ndarray]:
+    """A Bloom filter with one hash: its number of bits, and the bitmap as 64-bit words. At most 2**28 bits, however many keys."""
+    count = keys.count()
+    bits = 1 << min(max(math.ceil(math.log2(16 * count + 1)), FILTER_BITS[0]), FILTER_BITS[1])
+    at = keys.select(place(bits).alias("at")).select(F.shiftright("at", 6).alias("word"), F.expr("shiftleft(1L, cast(at & 63 as int))").alias("bit"))
+    found = at.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(bits // 64, np.int64)
+    out[found["word"].to_numpy()] = found["bits"].to_numpy()
+    return bits, out
+
+
 def join(docs: DataFrame, percent: int = 75, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id of every row."""
     out = rooted(docs, percent, block, id_col, text_col)
@@ -344,29 +357,44 @@ def rooted(docs: DataFrame, percent: int = 75, block: int = BLOCK, id_col: str =
     count = one.groupBy("family").agg(F.count(F.lit(1)).alias("size"))
     one = materialize(one.join(count, "family").select("at.*", "set", "family", "size"), "jaccard-families")
     wanted = one.select("no_id", "key", "set", "family", F.ceil(F.col("size") / block).cast("int").alias("blocks"))
-    few = one.count() <= BROADCAST_ROWS
-    texts = own.select("text", key().alias("at")).select("text", "at.*").join(F.broadcast(wanted) if few else wanted, ["no_id", "key"])
-
-    def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()  # rows of one id or text may be many; a task sends a set once
-        for rows in slices(batches):
-            got = []
-            for r in rows:
-                if r["set"] not in seen and len(s := shingles(r["text"])) and set_id(s) == r["set"]:
-                    seen.add(r["set"])
-                    got.append((r, s))
-            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r, _ in got], t) for c, t in (("family", pa.int64()), ("set", pa.int64()), ("blocks", pa.int32()))] + [pa.array([s.tobytes() for _, s in got], pa.binary())], ["family", "set", "blocks", "shingles"])
-
-    loaded = texts.mapInArrow(load, "family long, set long, blocks int, shingles binary")
+    place = lambda bits: F.pmod(F.xxhash64("no_id", "key"), F.lit(bits))
+    bits, bitmap = bit_filter(wanted, place)
+    sent = docs.sparkSession.sparkContext.broadcast(bitmap)  # of at most 2**28 bits
+
+    @F.pandas_udf("boolean")
+    def perhaps(at: pd.Series) -> pd.Series:
+        x = at.to_numpy()
+        return pd.Series((sent.value[x >> 6] >> (x & 63)) & 1 == 1)
+
+    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows of one id or text may be many; a task sends each of them once."""
+        import xxhash
+
+        seen: set[int] = set()
+        for batch in batches:
+            keep = []
+            for k, (no_id, key, text) in enumerate(zip(batch["no_id"].to_pylist(), batch["key"].to_pylist(), batch["text"], strict=True)):
+                h = xxhash.xxh3_64_intdigest(f"{no_id} {key} ".encode() + bytes(text.as_buffer()))
+                if h not in seen:
+                    seen.add(h)
+                    keep.append(k)
+            yield batch.take(pa.array(keep, pa.int64()))
+
+    texts = own.where("text is not null").select("text", key().alias("at")).select("text", "at.*").where(perhaps(place(bits)))
+    texts = texts.mapInArrow(once, texts.schema)
+    # Only candidates' rows are left, and few others; the filter's errors end in this join, other texts of an id in verify.
+    loaded = texts.join(wanted.hint("shuffle_merge"), ["no_id", "key"]).select("family", "set", "blocks", "text")
     mine = F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int")
     loaded = loaded.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     loaded = loaded.withColumn("i", F.least("mine", "other")).withColumn("j", F.greatest("mine", "other")).drop("other", "blocks")
 
     def verify(table: pa.Table) -> pa.Table:
-        names = table["set"].to_numpy()
-        names, first = np.unique(names, return_index=True)
-        data, side = table["shingles"], table["mine"].to_numpy()[first]
-        sets = [np.frombuffer(data[int(k)].as_buffer(), np.uint64) for k in first]
+        found: dict[int, tuple[np.ndarray, int]] = {}
+        for name, text, part in zip(table["set"].to_pylist(), table["text"], table["mine"].to_pylist(), strict=True):
+            if name not in found and len(s := shingles(text.as_py())) and set_id(s) == name:
+                found[name] = (s, part)
+        names = np.array(sorted(found), np.int64)
+        sets, side = [found[int(n)][0] for n in names], np.array([found[int(n)][1] for n in names])
         a, b = compare(sets, names, percent, side if table["i"][0] != table["j"][0] else None) if len(sets) > 1 else ([], [])
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
