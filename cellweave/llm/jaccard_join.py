@@ -29,7 +29,6 @@ import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -361,27 +360,24 @@ def rooted(docs: DataFrame, percent: int = 75, block: int = BLOCK, id_col: str =
     bits, bitmap = bit_filter(wanted, place)
     sent = docs.sparkSession.sparkContext.broadcast(bitmap)  # of at most 2**28 bits
 
-    @F.pandas_udf("boolean")
-    def perhaps(at: pd.Series) -> pd.Series:
-        x = at.to_numpy()
-        return pd.Series((sent.value[x >> 6] >> (x & 63)) & 1 == 1)
-
-    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows of one id or text may be many; a task sends each of them once."""
+    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows whose bit is set. Rows of one id or text may be many; a task sends each of them once."""
         import xxhash
 
         seen: set[int] = set()
         for batch in batches:
+            at = batch["at"].to_numpy()
+            batch = batch.filter(pa.array((sent.value[at >> 6] >> (at & 63)) & 1 == 1))
             keep = []
             for k, (no_id, key, text) in enumerate(zip(batch["no_id"].to_pylist(), batch["key"].to_pylist(), batch["text"], strict=True)):
                 h = xxhash.xxh3_64_intdigest(f"{no_id} {key} ".encode() + bytes(text.as_buffer()))
                 if h not in seen:
                     seen.add(h)
                     keep.append(k)
-            yield batch.take(pa.array(keep, pa.int64()))
+            yield batch.take(pa.array(keep, pa.int64())).select(["no_id", "key", "text"])
 
-    texts = own.where("text is not null").select("text", key().alias("at")).select("text", "at.*").where(perhaps(place(bits)))
-    texts = texts.mapInArrow(once, texts.schema)
+    texts = own.where("text is not null").select(key().alias("k"), "text").select("k.*", "text").withColumn("at", place(bits))
+    texts = texts.mapInArrow(candidates, "no_id boolean, key long, text string")
     # Only candidates' rows are left, and few others; the filter's errors end in this join, other texts of an id in verify.
     loaded = texts.join(wanted.hint("shuffle_merge"), ["no_id", "key"]).select("family", "set", "blocks", "text")
     mine = F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int")

@@ -16,7 +16,8 @@ def sample(docs: DataFrame, labels: DataFrame, label_col: str, held_out: int, pe
     """At most per_class texts of each class as (fold, label, text): those of smallest id hash, none of the held-out fold.
 
     The rows of labels are chosen first, so that texts are met by a join with a table of bounded size and nothing is
-    shuffled. An id that is labelled twice counts once, with its larger label; ids without a text are left out.
+    shuffled whole. An id that is labelled twice counts once, with its larger label, and so does an id with several texts,
+    with the least of them; ids without a text are left out.
     """
     own = labels.where(F.col("doc_id").isNotNull() & F.col(label_col).isNotNull() & (fold(F.col("doc_id")) != held_out))
     own = own.groupBy("doc_id").agg(F.max(label_col).cast("int").alias("label"))
@@ -25,8 +26,9 @@ def sample(docs: DataFrame, labels: DataFrame, label_col: str, held_out: int, pe
         one = own.where(F.col("label") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
         picked = one if picked is None else picked.unionByName(one)
     texts = docs.where(F.col("text").isNotNull() & (F.char_length("text") <= most_chars)).select("doc_id", "text")
-    rows = texts.join(F.broadcast(picked), "doc_id").select("doc_id", fold(F.col("doc_id")).alias("fold"), "label", "text").collect()
-    return [(r.fold, r.label, r.text) for r in sorted(rows, key=lambda r: (r.doc_id, r.text))]
+    found = texts.join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.max("label").alias("label"), F.min("text").alias("text"))
+    rows = found.select("doc_id", fold(F.col("doc_id")).alias("fold"), "label", "text").collect()
+    return [(r.fold, r.label, r.text) for r in sorted(rows, key=lambda r: r.doc_id)]
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 50) -> np.ndarray:

@@ -10,7 +10,8 @@ queries is held whole.
 
 Defined results: a vector that is null, empty, or holds a null or a non-finite component takes no part, nor does a row
 whose id is null; rows of one id are rows of their own, and a query leaves out just one row that equals it; vectors of
-different lengths are not compared; ties go to the smaller id; an empty table gives an empty table. Scores are 64-bit.
+different lengths are not compared; ties go to the smaller id; an empty table gives an empty table; other columns are
+ignored, whatever their names. Scores are 64-bit: a vector that could score beyond them with its like is refused.
 """
 
 from __future__ import annotations
@@ -71,8 +72,12 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return own.where(F.col("id").isNotNull() & (F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))))
 
 
-def _whole(column: pa.ChunkedArray | pa.Array, scale: float) -> list[np.ndarray]:
-    return [np.floor(scale * np.asarray(v, float)).astype(np.int64) for v in column.to_pylist()]
+def whole(v: list[float], scale: float) -> np.ndarray:
+    """A vector in whole numbers. Any two that pass have an inner product of 64 bits."""
+    x = np.floor(scale * np.asarray(v, float))
+    if len(x) * float(np.abs(x).max()) ** 2 >= 2.0**63:
+        raise ValueError(f"a vector with the component {v[int(np.abs(x).argmax())]} is too large for 64-bit scores")
+    return x.astype(np.int64)
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: float = 256.0, id_col: str = "vec_id", vector_col: str = "embedding", block: int = BLOCK) -> DataFrame:
@@ -82,11 +87,11 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: float = 25
     blocks = max(1, -(-asked.count() // block))
     path = shared_path(spark, "topk")
     for b in range(blocks):
-        own = [(r.id, np.floor(scale * np.asarray(r.v, float)).astype(np.int64)) for r in asked.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).orderBy("id").collect()]
+        own = [(r.id, whole(r.v, scale)) for r in asked.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).orderBy("id").collect()]
 
         def run(batches: Iterator[pa.RecordBatch], own: list = own) -> Iterator[pa.RecordBatch]:
             for batch in batches:  # of bounded rows: their lists are sorted, searched and dropped
-                found, ids = _whole(batch["v"], scale), np.asarray(batch["id"].to_pylist(), np.int64)
+                found, ids = [whole(v, scale) for v in batch["v"].to_pylist()], np.asarray(batch["id"].to_pylist(), np.int64)
                 by_length: dict[int, list[int]] = {}
                 for j, v in enumerate(found):
                     by_length.setdefault(len(v), []).append(j)
