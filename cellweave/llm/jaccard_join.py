@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 from .components import components
-from .tokens import slices
+from .tokens import release, slices
 
 WORDS = 5
 BLOCK, SMALL = 2_048, 24
@@ -173,6 +173,7 @@ def sets_of(docs: DataFrame) -> DataFrame:
     """doc_id, row, n and set name of every text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for rows in slices(batches):
             sets = [shingles(r["text"]) for r in rows]
             yield pa.RecordBatch.from_arrays([pa.array([r["doc_id"] for r in rows], pa.int64()), pa.array([r["row"] for r in rows], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) if len(s) else None for s in sets], pa.int64())], ["doc_id", "row", "n", "set"])
@@ -184,6 +185,7 @@ def families(docs: DataFrame, plan: dict[int, tuple[int, int, bool]], buckets: i
     """Candidates: a and b of one family, as a forest over sets that share a kept signature."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         sigs, recs, held = [], [], 0
 
         def flush() -> pa.RecordBatch:

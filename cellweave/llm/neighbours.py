@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .labelled import fold, sample
-from .tokens import slices
+from .tokens import release, slices
 
 PER_CLASS, MOST_CHARS = 3_000, 20_000
 FEATURES, AXES, NEAREST, POWER = 2_048, 32, 25, 8.0
@@ -133,6 +133,7 @@ def frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
     """In how many texts each feature occurs, over the whole table: partial sums in the tasks, one vector in the end."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         total, n = np.zeros(FEATURES, np.int64), 0
         for rows in slices(batches):
             total += (counts([r["text"] or "" for r in rows]) > 0).sum(0)
@@ -156,6 +157,7 @@ def score(docs: DataFrame, model: Model, held_out: int = 0, threshold: float = 0
     sent = docs.sparkSession.sparkContext.broadcast(model)  # its size is set by per_class, FEATURES and AXES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for rows in slices(batches, BLOCK):
             s = sent.value.score([r["text"] or "" for r in rows])
             yield pa.RecordBatch.from_arrays([pa.array([r["doc_id"] for r in rows], pa.int64()), pa.array([r["held_out"] for r in rows]), pa.array(s), pa.array((s >= threshold).astype("i4"))], ["doc_id", "held_out", "score", "predicted"])
@@ -170,6 +172,7 @@ def keep_good(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFram
     place = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             for at in range(0, batch.num_rows, BLOCK):
                 part = batch.slice(at, BLOCK)

@@ -139,6 +139,11 @@ def encoder(path: str) -> Encoder:
     return _loaded[path]
 
 
+def release() -> None:
+    """Drop the worker's encoders with their caches, for a task of another operator in the same worker."""
+    _loaded.clear()
+
+
 def slices(batches: Iterator, rows: int = 256, chars: int = 4_000_000) -> Iterator[list[dict]]:
     """Rows of Arrow batches in lists of bounded size; a single longer text makes a list of its own."""
     for batch in batches:
