@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import SPACE, materialize
 from .components import components
 from .tokens import release, slices
 
@@ -403,3 +403,33 @@ def rooted(docs: DataFrame, percent: int = 75, block: int = BLOCK, id_col: str =
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     named = named.join(least, "root").select("set", "root", "component_id")
     return members.join(named, "set", "left").select("doc_id", "row", "n", "root", "component_id")
+
+
+def deduplicate(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each group of docs, with its own columns: of the least id (rows without one come last), then of the least row key.
+
+    A row without words stands for itself, but rows of one id that are wholly alike are one document. Rows to drop or to
+    fold are found by a bit filter first, so that only they, and the few that the filter mistakes, are shuffled.
+    """
+    columns = docs.columns
+    row = F.xxhash64(*columns, *[F.col(c).isNull() for c in columns])  # the hash alone passes over nulls
+    per = rooted(docs, percent, id_col=id_col, text_col=text_col, row=row).groupBy("root", "doc_id", "row").agg(F.count(F.lit(1)).alias("copies"))
+    per = materialize(per, "dedup-rows")
+    first = per.where("root is not null").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("r")).select("root", F.col("r.row").alias("first"))
+    grouped = per.join(first, "root").where("row <> first or copies > 1").select("row", (F.col("row") == F.col("first")).alias("keep"))
+    blank = per.where("root is null and doc_id is not null and copies > 1").select("row", F.lit(True).alias("keep"))
+    special = materialize(grouped.unionByName(blank), "dedup-special")
+    place = lambda bits: F.pmod(F.xxhash64("row"), F.lit(bits))
+    bits, bitmap = bit_filter(special, place)
+    sent = docs.sparkSession.sparkContext.broadcast(bitmap)  # of at most 2**28 bits
+
+    @F.arrow_udf("boolean")
+    def marked(at: pa.Array) -> pa.Array:
+        x = at.to_numpy(zero_copy_only=False)
+        return pa.array((sent.value[x >> 6] >> (x & 63)) & 1 == 1)
+
+    alone = F.col(id_col).isNull() & (F.trim(F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.lit(SPACE)) == "")
+    own = docs.withColumn("row", row).withColumn("_hit", marked(place(bits)) & ~alone)
+    # A row key that occurs twice is among the special ones, so folding loses nothing of the rows met by mistake.
+    met = own.where("_hit").dropDuplicates(["row"]).join(special.hint("shuffle_merge"), "row", "left").where("keep is null or keep")
+    return own.where("not _hit").select(*columns).unionByName(met.select(*columns))

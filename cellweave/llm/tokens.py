@@ -15,7 +15,7 @@ import sys
 from collections.abc import Iterator
 
 #: Parts that a worker keeps; when there are more, it starts anew.
-CACHE = 1_000_000
+CACHE = 700_000
 _PUNCTUATION = frozenset(",.;:!?")
 _loaded: dict[str, Encoder] = {}
 
