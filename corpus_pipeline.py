@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellweave.llm.common import materialize, shared_path
+from cellweave.llm.common import shared_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -30,22 +30,10 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group: of the least id (rows without one come last), then of the least row key.
+    """One document of each group of near duplicates."""
+    from cellweave.llm.jaccard_join import deduplicate
 
-    Every row without words stands for itself, but rows of one id that are wholly alike are one document.
-    """
-    from cellweave.llm.jaccard_join import rooted
-
-    docs = docs.select(*COLUMNS)
-    row = F.xxhash64(*COLUMNS, *[F.col(c).isNull() for c in COLUMNS])  # the hash alone passes over nulls
-    rows = rooted(docs, row=row).groupBy("root", "doc_id", "row").agg(F.count(F.lit(1)).alias("copies"))
-    first = rows.where("root is not null").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row", "copies")).alias("r"))
-    blank = rows.where("root is null").select("row", F.when(F.col("doc_id").isNull(), 1).otherwise(F.col("copies")).alias("copies"))
-    kept = materialize(first.select("r.row", "r.copies").unionByName(blank), "kept-rows")
-    docs = docs.withColumn("row", row)
-    single = docs.join(kept.where("copies = 1"), "row", "left_semi")
-    alike = docs.join(kept.where("copies > 1"), "row", "left_semi").dropDuplicates(["row"])
-    return single.unionByName(alike).select(*COLUMNS)
+    return deduplicate(docs.select(*COLUMNS))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
