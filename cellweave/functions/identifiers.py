@@ -39,6 +39,27 @@ NON_GENES = (
     (r"^7SK$", "small_rna"),
 )
 
+# Names that the resolution of matrix rows turns away. (pattern, without regard to case)
+REJECTED = (
+    (r"^\d+$", False),
+    (r"^(\d+|[XYM]):(\d+)-(\d+)$", False),
+    (r"^chr", True),
+    (r"^RF\d{5}$", False),
+    (r"^[A-Z]{2}\d{6,8}$", False),
+    (r"^JACYVU\d+$", False),
+    (r"^AABR\d+$", False),
+    (r"^ENSMUSG", True),
+    (r"^ENSG\d", True),
+    (r"^\d+_(at|s_at|x_at)$", False),
+    (r"^ILMN_\d+$", False),
+)
+
+# Names of mitochondrial genes, without regard to case.
+MITO = (r"^mt-", r"^ENSRNOG\d+.*mt", r"^Mt_")
+
+# Biotypes that have another spelling in token tables.
+BIOTYPE_OUTPUT = {"protein_coding": "protein_coding", "lncrna": "lncRNA", "mirna": "miRNA"}
+
 # Canonical biotypes and the spellings (lower case, underscored) that stand for them.
 BIOTYPES = {
     "protein_coding": ("protein_coding", "protein_coding_gene"),
@@ -123,3 +144,28 @@ def kmers(sequence: Column, k: int = 6) -> Column:
     n = F.char_length(sequence)
     every = F.transform(F.sequence(F.lit(1), F.greatest(n - k + 1, F.lit(1))), lambda i: F.substring(sequence, i, F.lit(k)))
     return F.when(n >= k, every).otherwise(F.array().cast("array<string>"))
+
+
+def is_species(raw: Column, species: str) -> Column:
+    """Whether a normalized identifier is an Ensembl gene of rat, human or mouse."""
+    stem = {"rat": "ENSRNOG", "human": "ENSG", "mouse": "ENSMUSG"}[species]
+    return normalize_ensembl(raw).rlike(rf"^{stem}\d{{11}}$")
+
+
+def rejected(name: Column) -> Column:
+    """Whether a matrix row's name is none that resolution looks up."""
+    return reduce(lambda a, b: a | b, (name.rlike(("(?i)" if fold else "") + p) for p, fold in REJECTED))
+
+
+def mitochondrial(name: Column) -> Column:
+    """Whether an original (not normalized) name is a mitochondrial gene's."""
+    return reduce(lambda a, b: a | b, (name.rlike("(?i)" + p) for p in MITO))
+
+
+def kept_biotype(raw: Column, keep: tuple[str, ...]) -> Column:
+    return biotype(raw).isin(*keep)
+
+
+def output_biotype(canonical: Column) -> Column:
+    """A canonical biotype as token tables spell it."""
+    return ladder(((canonical == k, F.lit(v)) for k, v in BIOTYPE_OUTPUT.items()), canonical)

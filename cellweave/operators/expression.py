@@ -126,3 +126,15 @@ def project(counts: DataFrame, mapping: DataFrame) -> DataFrame:
     library = counts.groupBy("cell").agg(F.sum("count").alias("library_size"))
     sums = counts.join(mapping, "gene").groupBy("cell", "target").agg(F.sum("count").alias("count"))
     return sums.join(library, "cell").select("cell", "target", "count", "library_size", F.try_divide("count", "library_size").alias("fraction"))
+
+
+def reverse_normalize(values: DataFrame, matrix: str, value: str) -> DataFrame:
+    """Approximate counts from normalized values(matrix, cell, gene, value): logs undone, then each cell's least value is one.
+
+    A matrix of values below 20 is taken for logs. A quotient that rounding left just below a whole number counts as it.
+    """
+    tops = values.groupBy(matrix).agg(F.max(value).alias("_top"))
+    plain = values.join(tops, matrix).withColumn("_x", F.when(F.col("_top") < 20, F.expm1(value)).otherwise(F.col(value)))
+    least = plain.where("_x > 0").groupBy(matrix, "cell").agg(F.min("_x").alias("_least"))
+    count = F.coalesce(F.floor(F.col("_x") / F.col("_least") + 1e-7), F.lit(0)).cast("long")
+    return plain.join(least, [matrix, "cell"], "left").select(matrix, "cell", "gene", count.alias("count"))
