@@ -18,6 +18,100 @@ SIZES = ((1, "<1MB"), (10, "1-10MB"), (100, "10-100MB"), (1024, "100MB-1GB"), (1
 # Barcode counts of whole 10x barcode spaces, and the most barcodes of a filtered matrix.
 UNFILTERED, MOST_FILTERED = (6_794_880, 737_280, 2_097_152), 500_000
 
+# Strain spellings, in order of precedence for names that hold one of them.
+STRAINS = {
+    "sprague dawley": "Sprague-Dawley",
+    "sprague-dawley": "Sprague-Dawley",
+    "sd": "Sprague-Dawley",
+    "wistar": "Wistar",
+    "fischer 344": "Fischer 344",
+    "fischer344": "Fischer 344",
+    "f344": "Fischer 344",
+    "lewis": "Lewis",
+    "brown norway": "Brown Norway",
+    "long-evans": "Long-Evans",
+    "long evans": "Long-Evans",
+    "not_specified": "not_specified",
+    "not specified": "not_specified",
+    "unknown": "not_specified",
+    "not_applicable": "not_applicable",
+    "not applicable": "not_applicable",
+    "n/a": "not_applicable",
+}
+
+# Spellings of sexes.
+SEXES = {
+    "male": "male",
+    "m": "male",
+    "female": "female",
+    "f": "female",
+    "both": "both",
+    "mixed": "mixed",
+    "not_specified": "not_specified",
+    "not specified": "not_specified",
+    "unknown": "not_specified",
+    "not_applicable": "not_applicable",
+    "not applicable": "not_applicable",
+    "not_applicable_cell_line": "not_applicable",
+    "n/a": "not_applicable",
+}
+
+# Spellings of tissues, and names that keep their case.
+TISSUES = {
+    "small_intestine": "small intestine",
+    "wat-sc": "WAT-SC",
+    "wat_sc": "WAT-SC",
+    "white adipose": "WAT-SC",
+    "bat": "BAT",
+    "brown adipose": "BAT",
+    "blood rna": "blood RNA",
+    "blood_rna": "blood RNA",
+}
+TISSUES_AS_THEY_ARE = ("WAT-SC", "BAT", "blood RNA")
+
+# Titles of samples that are no single cells of an adult animal, without regard to case.
+TITLES = {
+    "spatial": r"(visium|_vis\b|\bvis\b|spatial|slide-?seq|geomx|cosmx)",
+    "engineered": r"(engineered|cell isolate|tri-?culture|co-?culture|organoid|cultured|\bin[- ]?vitro|ipsc|cell line|passage|\bday ?\d|\bd\d+\b|sorted|cd\d+\+|facs|flow-?sorted|magnetic)",
+    "bulk": r"(bulk rna|whole[- ]tissue rna(?!-seq single))",
+    "developmental": r"(\bE\d+\.?\d*\b|\bP\d+\b|embryo|embryonic|fetal|foetal|neonat|postnatal)",
+}
+
+
+def _spelled(values: dict[str, str], low: Column) -> list[tuple[Column, Column]]:
+    return [(low == k, F.lit(v)) for k, v in values.items()]
+
+
+def strain_name(raw: Column) -> Column:
+    """Strain by its known spelling, else by the first that the name holds, else as it is; none is not_specified."""
+    low = F.lower(F.trim(raw))
+    held = [(low.contains(k), F.lit(v)) for k, v in STRAINS.items()]
+    return F.when(F.coalesce(raw, F.lit("")) == "", "not_specified").otherwise(ladder([*_spelled(STRAINS, low), *held], raw))
+
+
+def sex_name(raw: Column) -> Column:
+    """Sex by its known spelling, else by the words that the description holds ("female" holds "male" too)."""
+    low = F.lower(F.trim(F.coalesce(raw, F.lit(""))))
+    male, female = low.contains("male"), low.contains("female")
+    return ladder([*_spelled(SEXES, low), (male & female, F.lit("mixed")), (male, F.lit("male"))], F.lit("not_specified"))
+
+
+def tissue_names(raw: Column) -> Column:
+    """The tissues of a comma list by their known spellings; others of more than three letters with capitals."""
+    parts = F.filter(F.transform(F.split(F.coalesce(raw, F.lit("")), ","), lambda t: F.lower(F.trim(t))), lambda t: t != "")
+
+    def name(t: Column) -> Column:
+        known = ladder(_spelled(TISSUES, t), t)
+        return F.when(known.isin(*TISSUES_AS_THEY_ARE) | (F.char_length(known) <= 3), known).otherwise(F.initcap(known))
+
+    return F.transform(parts, name)
+
+
+def title_check(title: Column) -> Column:
+    """fail:kind for spatial, engineered or bulk titles (the first that holds), warn:developmental, unknown or ok."""
+    hits = [(title.rlike("(?i)" + TITLES[k]), F.lit(f"fail:{k}")) for k in ("spatial", "engineered", "bulk")]
+    return ladder([(F.coalesce(title, F.lit("")) == "", F.lit("warn:unknown")), *hits, (title.rlike("(?i)" + TITLES["developmental"]), F.lit("warn:developmental"))], F.lit("ok"))
+
 
 def usability_score(processed: Column, counts: Column, metadata: Column, title: Column, summary: Column, samples: Column) -> Column:
     """30 each for processed data and counts, 10 each for metadata, a title, a summary and samples; null counts as no."""

@@ -104,5 +104,5 @@ def select_samples(inventory: DataFrame, study: str, organism: str, condition: s
             out = out.where(told(field).isNull() | (told(field) == want.lower()))
     if exclude:
         out = out.where(~F.coalesce(F.col("title").rlike(f"(?i){exclude}"), F.lit(False)))
-    first = Window.partitionBy(F.coalesce("gsm", F.concat(F.lit("sample "), "sample_id"))).orderBy("sample_id")
+    first = Window.partitionBy(F.coalesce(F.col("gsm").cast("string"), F.concat(F.lit("sample "), F.col("sample_id").cast("string")))).orderBy("sample_id")
     return out.withColumn("_r", F.row_number().over(first)).where("_r = 1").drop("_r")

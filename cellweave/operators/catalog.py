@@ -106,3 +106,74 @@ def owner_fill(lines: DataFrame, group: str, order: str, is_owner: Column, name:
     """Lines with the name of the last owner line at or before them in their file."""
     running = Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     return lines.withColumn("owner", F.last(F.when(is_owner, F.col(name)), ignorenulls=True).over(running))
+
+
+def three_catalogs(studies: DataFrame, matrices: DataFrame, reviews: DataFrame) -> DataFrame:
+    """Full outer join on accession of studies(title, summary, data_type), matrices(n_genes, n_cells) and reviews(topic).
+
+    Absent sides get defaults; of equal accessions in a catalog the largest row counts, so that none is multiplied.
+    """
+    one = lambda df, *cols: df.groupBy("accession").agg(F.max(F.struct(*cols)).alias("r")).select("accession", "r.*", F.lit(True).alias("_has"))
+    a = one(studies, "title", "summary", "data_type").withColumnRenamed("_has", "has_catalog")
+    b = one(matrices, "n_genes", "n_cells").withColumnRenamed("_has", "has_matrix")
+    c = one(reviews, "topic").withColumnRenamed("_has", "has_review")
+    out = a.join(b, "accession", "full_outer").join(c, "accession", "full_outer")
+    held = {h: F.coalesce(h, F.lit(False)) for h in ("has_catalog", "has_matrix", "has_review")}
+    out = out.withColumns({**held, "data_type": F.coalesce("data_type", F.lit("unknown"))})
+    return out.withColumns({"n_cells": F.coalesce("n_cells", F.lit(0)), "gene_count_valid": F.coalesce(F.col("n_genes").between(10_000, 100_000), F.lit(False))})
+
+
+def usable_studies(catalog: DataFrame, excluded: DataFrame) -> DataFrame:
+    """accession and reason (null: usable) of catalog(accession, data_type, is_rat, species, organisms, is_single_cell).
+
+    is_rat and is_single_cell may be null: then species and after it the list of organisms decide, and null passes.
+    """
+    rat_like = lambda c: F.lower(c).contains("rattus") | F.lower(c).contains("rat")
+    listed = F.exists(F.coalesce("organisms", F.array().cast("array<string>")), lambda o: F.lower(o).contains("rattus") | (F.lower(F.trim(o)) == "rat"))
+    rat = ladder([(F.col("is_rat").isNotNull(), F.col("is_rat"))], F.coalesce(rat_like(F.col("species")), F.lit(False)) | F.coalesce(listed, F.lit(False)))
+    marked = catalog.join(excluded.select("accession", F.lit(True).alias("_out")).distinct(), "accession", "left")
+    single = F.coalesce(F.col("data_type") == "single_cell", F.lit(False))
+    reasons = [(F.col("_out"), "excluded"), (~single, "not_sc_catalog"), (~rat, "not_rat"), (~F.coalesce("is_single_cell", F.lit(True)), "not_sc_llm")]
+    return marked.select("accession", ladder((c, F.lit(v)) for c, v in reasons).alias("reason"))
+
+
+def one_per_study(studies: DataFrame) -> DataFrame:
+    """accession, data_type kept and why, of studies(accession, data_type, size_bytes) that may be bulk, single cell or both."""
+    size = lambda kind: F.max(F.when(F.col("data_type") == kind, F.col("size_bytes")))
+    per = studies.groupBy("accession").agg(size("single_cell").alias("s"), size("bulk").alias("b"))
+    both = F.col("s").isNotNull() & F.col("b").isNotNull()
+    single = ladder([(both, F.col("s") > 0.5 * F.col("b"))], F.col("s").isNotNull())
+    why = F.when(both & single, "kept_single_cell").when(both, "kept_bulk")
+    return per.select("accession", F.when(single, "single_cell").otherwise("bulk").alias("data_type"), why.alias("duplicate_resolved"))
+
+
+def layered_lookup(*layers: DataFrame) -> DataFrame:
+    """name and gene_id over layers(name, gene_id, pos): earlier layers win; the last row of the first, the first of the others."""
+    every = None
+    for k, layer in enumerate(layers):
+        one = layer.select(F.lower("name").alias("name"), "gene_id", F.lit(k).alias("layer"), (-F.col("pos") if k == 0 else F.col("pos")).alias("pos"))
+        every = one if every is None else every.unionByName(one)
+    return every.groupBy("name").agg(F.min_by("gene_id", F.struct("layer", "pos")).alias("gene_id"), F.min("layer").alias("layer"))
+
+
+def exact_or_lower(raw: DataFrame, lookup: DataFrame) -> DataFrame:
+    """raw(raw_id) with the gene_id of lookup(name, gene_id): by the exact name, else by the lower-case one (the least id on ties)."""
+    exact = lookup.groupBy(F.col("name").alias("raw_id")).agg(F.min("gene_id").alias("_a"))
+    lower = lookup.groupBy(F.lower("name").alias("_low")).agg(F.min("gene_id").alias("_b"))
+    return raw.withColumn("_low", F.lower("raw_id")).join(exact, "raw_id", "left").join(lower, "_low", "left").select("raw_id", F.coalesce("_a", "_b").alias("gene_id"))
+
+
+def single_gated(synonyms: DataFrame, gate: DataFrame) -> DataFrame:
+    """alias and gene_id of synonyms(aliases, ids, pos), both `;` lists: rows with exactly one id in gate(gene_id); first alias wins."""
+    cut = lambda c: F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), ";"), lambda x: F.trim(x)), lambda x: x != "")
+    ids = synonyms.select("pos", cut(F.col("aliases")).alias("aliases"), F.explode(F.array_distinct(cut(F.col("ids")))).alias("gene_id"))
+    known = ids.join(gate.select("gene_id").distinct(), "gene_id", "left_semi")
+    one = known.groupBy("pos").agg(F.count(F.lit(1)).alias("n"), F.min("gene_id").alias("gene_id"), F.first("aliases").alias("aliases")).where("n = 1")
+    named = one.select("pos", "gene_id", F.explode("aliases").alias("alias"))
+    return named.groupBy(F.lower("alias").alias("alias")).agg(F.min_by("gene_id", "pos").alias("gene_id"))
+
+
+def set_difference(found: DataFrame, expected: DataFrame, key: str) -> DataFrame:
+    """key and side (missing, unexpected) of the ids that only one of the two has."""
+    a, b = found.select(key).distinct(), expected.select(key).distinct()
+    return b.join(a, key, "left_anti").withColumn("side", F.lit("missing")).unionByName(a.join(b, key, "left_anti").withColumn("side", F.lit("unexpected")))
