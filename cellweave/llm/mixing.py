@@ -195,7 +195,8 @@ def mix(
     others = own.where("size > 0").join(plan.where("lack > 0").select("_key", "cut_place", "cut_hash", "lack"), "_key").where(~in_part)
     best = others.groupBy("_key").agg(F.min(F.struct(F.abs(F.col("size") - F.col("lack")).alias("miss"), F.col("_hash").alias("extra_hash"))).alias("b"), F.max("lack").alias("lack"))
     extra = best.where("b.miss < lack").select("_key", "b.extra_hash")
-    alike = own.join(plan.join(extra, "_key", "left").select("_key", "cut_hash", "cut_rows", "extra_hash"), "_key").where((F.col("_hash") == F.col("extra_hash")) | (F.col("_hash") == F.col("cut_hash")))
+    marks = materialize(plan.join(extra, "_key", "left").select("_key", "cut_hash", "cut_rows", "extra_hash"), "mix-marks")  # written, so that its size is known
+    alike = own.join(marks, "_key").where((F.col("_hash") == F.col("extra_hash")) | (F.col("_hash") == F.col("cut_hash")))
     # Of n rows that are alike, so many get one more draw.
     one_more = F.coalesce(F.when(F.col("_hash") == F.col("cut_hash"), F.col("cut_rows")), F.lit(0)) + F.coalesce((F.col("_hash") == F.col("extra_hash")).cast("long"), F.lit(0))
     some = alike.withColumn("more", one_more).where("more > 0").groupBy("_key", "_hash").agg(F.count(F.lit(1)).alias("n"), F.max("more").alias("more"))
