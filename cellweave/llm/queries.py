@@ -83,5 +83,33 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in own}
 
 
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+#: Host verdicts as in quality_rules: moments of the hosts' failure rates give the beta prior.
+_OP2 = rf"""WITH d AS (SELECT row_number() OVER () k, doc_id, source, coalesce(text, '') text, {_WORDS} w FROM documents),
+  g AS (SELECT k, i, array_to_string(w[i:i + 4], ' ') g FROM (SELECT k, w, unnest(range(1, len(w) - 3)) i FROM d WHERE len(w) >= 5)), c AS (SELECT k, i, count(*) OVER (PARTITION BY k, g) n FROM g),
+  r AS (SELECT k, count(DISTINCT p) n FROM (SELECT k, unnest(range(i, i + 5)) p FROM c WHERE n > 1) GROUP BY 1),
+  l AS (SELECT k, count(*) - count(DISTINCT l) n FROM (SELECT k, unnest(string_split(text, chr(10))) l FROM d) WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY 1),
+  m AS (SELECT d.doc_id, source, len(w) n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) word_chars, length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) n_symbols, coalesce(l.n, 0) n_dup_lines, coalesce(r.n, 0) n_repeat_words FROM d LEFT JOIN l USING (k) LEFT JOIN r USING (k)),
+  b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m), h AS (SELECT source, count(*) n, count(*) FILTER (base_failed) f FROM b WHERE source IS NOT NULL GROUP BY 1),
+  s AS (SELECT count(*) h, sum(n) n, sum(f) f, sum(n * n) nn, sum(f * f / n) ffn FROM h), e AS (SELECT *, least(greatest(f / n, 1e-6), 1 - 1e-6) mean FROM s),
+  v AS (SELECT *, CASE WHEN n - nn / n > 0 THEN (ffn - f * f / n - (h - 1) * mean * (1 - mean)) / (n - nn / n) ELSE 0 END between_ FROM e),
+  p AS (SELECT mean, CASE WHEN between_ > 0 THEN greatest(mean * (1 - mean) / between_ - 1, 2) WHEN h > 1 THEN 1e6 ELSE 2 END prior FROM v),
+  o AS (SELECT source, (f + mean * prior) / (n + prior) rate, n + prior + 1 weight FROM h, p)
+  SELECT b.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(rate - 2 * sqrt(rate * (1 - rate) / weight) <= 0.8, true) AS kept FROM b LEFT JOIN o ON o.source = b.source"""
+
+#: All links of shingle sets by their shared shingles, and components by the least reachable id.
+_OP5 = r"""WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') w FROM documents),
+  s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) s FROM d),
+  u AS (SELECT doc_id, len(s) n, unnest(s) g FROM s), p AS (SELECT a.doc_id a, b.doc_id b, count(*) c, any_value(a.n) x, any_value(b.n) y FROM u a JOIN u b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+  l AS (SELECT a, b FROM p WHERE 100 * c >= 75 * (x + y - c)), e AS (SELECT a, b FROM l UNION SELECT b, a FROM l), r AS (SELECT a v, a t FROM e UNION SELECT r.v, e.b FROM r JOIN e ON e.a = r.t), m AS (SELECT v, min(t) c FROM r GROUP BY 1)
+  SELECT s.doc_id, len(s) AS n_shingles, coalesce(least(c, s.doc_id), s.doc_id) AS component_id FROM s LEFT JOIN m ON m.v = s.doc_id"""
+
+_OP8 = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) v FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+  s AS (SELECT q.vec_id query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) score FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) rank FROM s)
+  SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL of the queries that it can express: the others rest on a tokenizer, hashes or fitted models."""
+    return {"op2_quality_rules": _OP2, "op5_jaccard_join": _OP5, "op8_topk": _OP8}
