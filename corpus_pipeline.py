@@ -53,7 +53,8 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality rules", quality_rules), ("quality classifier", quality_classifier), ("n-gram Jaccard join", near_duplicates), ("mixing", mixing), ("packing", packing)]
 
-#: Neighbour voting and packing have no SQL form; tests hold run() against a brute-force version.
+#: Neighbour voting, mixing and packing have no SQL form: tests/llm holds the first three stages against brute force and
+#: the last two against what they must keep.
 ORACLE_SQL = None
 
 
