@@ -3,7 +3,7 @@
 Vectors become whole numbers, floor(scale * x). Every task sorts its candidates by each dimension. A query goes down
 the lists side by side (from the largest value where its own component is positive, from the smallest where it is
 negative), scores each candidate that it meets, and stops when even a candidate with the last seen value in every list
-could not reach the kth best score. The tasks' best are merged for each query.
+could not reach the kth best score, or when every candidate has been met in some list. The tasks' best are merged for each query.
 
 Queries are met in blocks of about `block` of them, each sent to all tasks and written before the next, so no set of
 queries is held whole.
@@ -42,7 +42,7 @@ class Lists:
         n = len(self.ids)
         dims = np.flatnonzero(q)
         positive, weights = q[dims] > 0, q[dims]
-        at, step = 0, FIRST_STEP
+        at, step, met = 0, FIRST_STEP, 0
         seen = np.zeros(n, bool)
         best, scores = np.empty(0, np.int64), np.empty(0, np.int64)
         while at < n and len(dims):
@@ -57,7 +57,8 @@ class Lists:
             keep = np.lexsort((best, -scores))[:k]
             best, scores = best[keep], scores[keep]
             bound = int((self.x[part[-1], dims] * weights).sum())
-            if len(best) == k and scores[-1] > bound:
+            met += len(rows)
+            if met == n or (len(best) == k and scores[-1] > bound):
                 return best, scores
             at, step = at + step, step * 2
         rest = np.flatnonzero(~seen)  # only of a query without a component that counts: all scores are 0
