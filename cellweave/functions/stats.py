@@ -84,7 +84,7 @@ def fisher_two(p1: Column, p2: Column, floor: float = 1e-300) -> Column:
 def numbered(df: DataFrame, key: str, prefix: int, start: int, out: str) -> DataFrame:
     """Dense numbers from start in the order of a string key, without one task that sees all rows.
 
-    Rows are counted by the first prefix characters; a running sum over those counts gives each bucket's first number.
+    Keys are unique; equal ones would be numbered in any order. Rows are counted by the first prefix characters; a running sum over those counts gives each bucket's first number.
     """
     bucketed = df.withColumn("_bucket", F.substring(key, 1, prefix))
     counts = bucketed.groupBy("_bucket").agg(F.count("*").alias("_n"))

@@ -82,21 +82,24 @@ def tokenize_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ranked(spark, sf_dir, 2048).withColumn("value", F.round("value", 6))
 
 
-@query(f"WITH {_COUNTS}, {_MEDIANS}, {_RANKED} SELECT cell, CAST(least(count(*), 8) AS INTEGER) AS n_tokens, string_agg(CAST(gene AS VARCHAR), ',' ORDER BY r) FILTER (r <= 8) || repeat(',0', CAST(8 - least(count(*), 8) AS INTEGER)) AS ids FROM ranked GROUP BY cell")
+@query(f"WITH {_COUNTS}, {_MEDIANS}, {_RANKED} SELECT cell, CAST(count(*) AS INTEGER) AS n_tokens, string_agg(CAST(gene AS VARCHAR), ',' ORDER BY r) AS ids, 2048 AS width, CAST(2048 - count(*) AS INTEGER) AS n_padded FROM ranked WHERE r <= 2048 GROUP BY cell")
 def tokenize_padded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.pad_tokens(_ranked(spark, sf_dir, 8), 8).select("cell", "n_tokens", F.array_join(F.col("input_ids").cast("array<string>"), ",").alias("ids"))
+    rows = E.pad_tokens(_ranked(spark, sf_dir, 2048), 2048)
+    text = lambda a: F.array_join(F.transform(a, lambda x: x.cast("string")), ",")
+    zeros = F.size(F.filter(F.slice("input_ids", F.col("n_tokens") + 1, F.lit(2048)), lambda x: x == 0))
+    return rows.select("cell", "n_tokens", text(F.slice("input_ids", F.lit(1), F.col("n_tokens"))).alias("ids"), F.size("input_ids").alias("width"), zeros.alias("n_padded"))
 
 
 @query(
-    f"""WITH {_COUNTS}, {_MEDIANS}, {_RANKED}, m AS (SELECT *, gene % 10 = 0 p FROM ranked WHERE r <= 6),
-    k AS (SELECT *, least(count(*) FILTER (p AND r > 2) OVER c, count(*) FILTER (NOT p AND r <= 2) OVER c) k,
-      count(*) FILTER (p AND r > 2) OVER (PARTITION BY cell ORDER BY r) up, count(*) FILTER (NOT p AND r <= 2) OVER (PARTITION BY cell ORDER BY r DESC) down
+    f"""WITH {_COUNTS}, {_MEDIANS}, {_RANKED}, m AS (SELECT *, gene % 10 = 0 p FROM ranked WHERE r <= 4096),
+    k AS (SELECT *, least(count(*) FILTER (p AND r > 2048) OVER c, count(*) FILTER (NOT p AND r <= 2048) OVER c) k,
+      count(*) FILTER (p AND r > 2048) OVER (PARTITION BY cell ORDER BY r) up, count(*) FILTER (NOT p AND r <= 2048) OVER (PARTITION BY cell ORDER BY r DESC) down
       FROM m WINDOW c AS (PARTITION BY cell))
-    SELECT cell, CAST(r AS INTEGER) AS rank, gene, p AS is_priority FROM k WHERE CASE WHEN p AND r > 2 THEN up <= k WHEN NOT p AND r <= 2 THEN down > k ELSE r <= 2 END"""
+    SELECT cell, CAST(r AS INTEGER) AS rank, gene, p AS is_priority FROM k WHERE CASE WHEN p AND r > 2048 THEN up <= k WHEN NOT p AND r <= 2048 THEN down > k ELSE r <= 2048 END"""
 )
 def tokenize_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
     genes = _t(spark, sf_dir, "part").where("p_partkey % 10 = 0").select(F.col("p_partkey").alias("gene"))
-    return E.promote_priority(_ranked(spark, sf_dir, 6), genes, base=2, window=6).drop("value")
+    return E.promote_priority(_ranked(spark, sf_dir, 4096), genes, base=2048, window=4096).drop("value")
 
 
 @query(f"WITH {_COUNTS} SELECT gene, count(*) FILTER (count > 0) AS n_nonzero, sum(count) AS total, round(avg(count) FILTER (count > 0), 4) AS mean_nonzero FROM counts GROUP BY gene")
@@ -274,12 +277,12 @@ def catalog_full_outer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("accession", F.coalesce("c_mktsegment", F.lit("unknown")).alias("data_type"), F.coalesce("n", F.lit(0)).alias("n_samples"), F.col("_c").isNotNull().alias("has_catalog"), F.col("n").isNotNull().alias("has_matrix"))
 
 
-@query("SELECT coalesce(c_mktsegment, '(all)') AS segment, coalesce(CAST(n_regionkey AS VARCHAR), '(all)') AS region, count(*) AS n, round(sum(c_acctbal), 2) AS total, max(c_acctbal) AS most FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY GROUPING SETS ((c_mktsegment), (n_regionkey), (c_mktsegment, n_regionkey), ())")
+@query("SELECT CASE WHEN grouping(c_mktsegment) = 1 THEN '(all)' ELSE coalesce(c_mktsegment, '(none)') END AS segment, CASE WHEN grouping(n_regionkey) = 1 THEN '(all)' ELSE coalesce(CAST(n_regionkey AS VARCHAR), '(none)') END AS region, count(*) AS n, round(sum(c_acctbal), 2) AS total, max(c_acctbal) AS most FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY GROUPING SETS ((c_mktsegment), (n_regionkey), (c_mktsegment, n_regionkey), ())")
 def catalog_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    joined = _t(spark, sf_dir, "customer").join(F.broadcast(_t(spark, sf_dir, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
-    out = joined.cube("c_mktsegment", "n_regionkey").agg(F.count("*").alias("n"), F.round(F.sum("c_acctbal"), 2).alias("total"), F.max("c_acctbal").alias("most"))
-    every = F.lit("(all)")
-    return out.select(F.coalesce("c_mktsegment", every).alias("segment"), F.coalesce(F.col("n_regionkey").cast("string"), every).alias("region"), "n", "total", "most")
+    joined = _t(spark, sf_dir, "customer").join(_t(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    total = lambda c: F.when(F.grouping(c) == 1, "(all)").otherwise(F.coalesce(F.col(c).cast("string"), F.lit("(none)")))
+    out = joined.cube("c_mktsegment", "n_regionkey").agg(total("c_mktsegment").alias("segment"), total("n_regionkey").alias("region"), F.count("*").alias("n"), F.round(F.sum("c_acctbal"), 2).alias("total"), F.max("c_acctbal").alias("most"))
+    return out.select("segment", "region", "n", "total", "most")
 
 
 @query("WITH a AS (SELECT o_custkey, count(*) n, max(o_totalprice) / 5000 s FROM orders GROUP BY 1) SELECT CASE WHEN s >= 70 THEN 'high' WHEN s >= 40 THEN 'medium' ELSE 'low' END AS usability, CASE WHEN n <= 10 THEN '1-10' WHEN n <= 50 THEN '11-50' ELSE '51-100' END AS samples, count(*) AS n_studies FROM a GROUP BY 1, 2")

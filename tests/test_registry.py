@@ -30,3 +30,30 @@ def test_matches_sql(spark, duck, name):
     theirs = tidy(duck.execute(registry.SQL[name]).df())
     pd.testing.assert_frame_equal(ours, theirs, check_dtype=False, atol=2e-6)
     assert len(ours)
+
+
+def test_priority_promotion_at_small_sizes(spark):
+    from cellweave.operators.expression import promote_priority
+
+    ranked = spark.createDataFrame([(1, r, g, 1.0) for r, g in enumerate((11, 12, 20, 13, 30, 40), 1)] + [(2, 1, 20, 1.0), (2, 2, 30, 1.0), (2, 3, 40, 1.0)], "cell long, rank int, gene long, value double")
+    priority = spark.createDataFrame([(20,), (30,), (40,)], "gene long")
+    got = promote_priority(ranked, priority, base=2, window=5).collect()
+    assert {(r.cell, r.gene) for r in got} == {(1, 20), (1, 30), (2, 20), (2, 30)}  # 40 is beyond cell 1's window
+
+
+def test_new_operators_on_edges(spark):
+    from pyspark.sql import functions as F
+
+    from cellweave.functions import labels as L
+    from cellweave.operators import annotation as A
+    from cellweave.operators import scoring as S
+
+    one = spark.createDataFrame([("a", None, 1.0), ("a", 5.0, 1.0), ("b", None, None)], "g string, x double, y double")
+    assert [(r.g, r.n, r.q1) for r in S.index_quartiles(one, ["g"], "x").collect()] == [("a", 1, 5.0)]
+    flat = S.scaled(one.where("x is not null or y is not null").na.fill(1.0), ["g"], "y").collect()
+    assert all(r.z == 0 for r in flat)
+    got = one.limit(1).select(S.binomial_tail(F.lit(3), F.lit(2), F.lit(0.5)).alias("none_left"), S.binomial_tail(F.lit(0), F.lit(0), F.lit(0.5)).alias("no_trial"), S.hypergeometric_tail(F.lit(1), F.lit(10), F.lit(0), F.lit(4)).alias("unmarked"), L.title_check(F.lit(None).cast("string")).alias("title"), L.fuzzy_match(F.lit("Liver"), F.lit("")).alias("fuzzy")).first()
+    assert (got.none_left, got.no_trial, got.unmarked, got.title, got.fuzzy) == (0.0, None, 1.0, "warn:unknown", 0)
+    votes = spark.createDataFrame([], "s string, kind string")
+    assert A.majority(votes, ["s"], "kind").count() == 0
+    assert A.drop_small(spark.createDataFrame([(1, None, "x"), (2, "Unknown", "x"), (3, "T cell", "x")], "cell int, label string, state string"), "label", "state", 1).count() == 1
