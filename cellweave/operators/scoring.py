@@ -51,8 +51,9 @@ def index_quartiles(df: DataFrame, by: list[str], value: str) -> DataFrame:
 def modality_mix(cells: DataFrame, sample: str, value: str, limit: float = 2.5) -> DataFrame:
     """Each sample's median and whether all medians span more than the limit: samples of unlike depth."""
     per = cells.groupBy(sample).agg(F.median(value).alias("median"))
-    span = per.agg(F.min("median").alias("least"), F.max("median").alias("most"))
-    return per.join(F.broadcast(span)).select(sample, "median", ((F.col("least") > 0) & (F.col("most") > limit * F.col("least"))).alias("mixed"), (F.col("median") > 2 * F.col("least")).alias("is_high"))
+    span = per.agg(F.min("median").cast("double").alias("least"), F.max("median").cast("double").alias("most")).first()  # two numbers
+    least, most = F.lit(span["least"]).cast("double"), F.lit(span["most"]).cast("double")
+    return per.select(sample, "median", ((least > 0) & (most > limit * least)).alias("mixed"), (F.col("median") > 2 * least).alias("is_high"))
 
 
 def scaled(values: DataFrame, by: list[str], value: str, clip: float = 10.0) -> DataFrame:
