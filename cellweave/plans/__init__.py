@@ -1,4 +1,4 @@
 """plans of the engine: importing any of them registers all queries."""
 
 from . import registry  # noqa: F401  isort: skip
-from . import evaluation, files, genes, naming, studies  # noqa: F401
+from . import corpus, evaluation, files, genes, naming, reports, studies  # noqa: F401
