@@ -146,3 +146,46 @@ def target_blocks(plan: DataFrame, blocks: DataFrame) -> DataFrame:
 def numbered_samples(mixes: DataFrame, samples: DataFrame, column: str = "mix") -> DataFrame:
     """mixes with the sample whose place is the number in the mix's name: samples(sample, place); others are left out."""
     return mixes.withColumn("place", F.regexp_extract(column, r"(\d+)", 1).try_cast("int")).join(samples, "place").drop("place")
+
+
+def promoters(genes: DataFrame, genome: DataFrame, size: int, upstream: int = 2_000, downstream: int = 500, most_unknown: float = 0.1) -> DataFrame:
+    """gene, sequence and reason: the window about the start of genes(gene, chrom, tss, strand), read along its strand.
+
+    genome(chrom, chunk, seq) holds each chromosome in pieces of size letters, counted from 0, so no row holds a whole one;
+    a window meets just the pieces that it touches. Both ends count, so a whole window has upstream + downstream + 1 letters;
+    those with fewer than upstream + downstream, cut by an end, are filled up to that with N. A gene without place, of an
+    unknown chromosome, or with too large a share of N has no sequence and a reason.
+    """
+    width = upstream + downstream
+    plus = F.col("strand") == 1
+    first = F.greatest(F.lit(1), F.col("tss") - F.when(plus, upstream).otherwise(downstream))
+    placed = genes.select("gene", "chrom", "strand", first.alias("_a"), (F.col("tss") + F.when(plus, downstream).otherwise(upstream)).alias("_z"))
+    piece = lambda at: F.floor((at - 1) / size)
+    touched = placed.where("_z >= _a").withColumn("chunk", F.explode(F.sequence(piece(F.col("_a")), piece(F.col("_z")))))
+    found = touched.join(genome.select("chrom", F.col("chunk").cast("long").alias("chunk"), "seq"), ["chrom", "chunk"])
+    # The pieces of one window are few: a window's length over the size of a piece.
+    strings = found.groupBy("gene").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "seq"))), lambda p: p["seq"]), "").alias("_s"), F.min("chunk").alias("_c"))
+    out = placed.join(strings, "gene", "left").join(genome.select("chrom").distinct().withColumn("_known", F.lit(True)), "chrom", "left")
+    own = F.upper(F.substring("_s", (F.col("_a") - F.col("_c") * size).cast("int"), (F.col("_z") - F.col("_a") + 1).cast("int")))
+    strand = F.when(plus, own).otherwise(F.reverse(F.translate(own, "ACGT", "TGCA")))
+    read = F.coalesce(strand, F.lit(""))
+    out = out.withColumn("sequence", F.when(F.length(read) < width, F.rpad(read, width, "N")).otherwise(read))
+    share = (F.length("sequence") - F.length(F.replace("sequence", F.lit("N"), F.lit("")))) / F.length("sequence")
+    reason = F.when(F.col("_a").isNull() | F.col("chrom").isNull(), "no_tss_coordinate").when(F.col("_known").isNull(), "chrom_not_found").when(share > most_unknown, "high_n_fraction")
+    return out.select("gene", F.when(reason.isNull(), F.col("sequence")).alias("sequence"), reason.alias("reason"))
+
+
+def family_members(genes: DataFrame, ids: str, names: str) -> DataFrame:
+    """family, name and gene of genes(gene, ids, names) whose families and their names are listed between bars, by place.
+
+    A family without a name at its place has null; blank families are left out.
+    """
+    each = genes.select("gene", F.split(names, r"\|").alias("_n"), F.posexplode(F.split(ids, r"\|")).alias("_i", "family"))
+    return each.select(F.trim("family").alias("family"), F.trim(F.get("_n", F.col("_i"))).alias("name"), "gene").where("family <> ''").distinct()
+
+
+def derived_families(members: DataFrame, orthologs: DataFrame, least: int = 2) -> DataFrame:
+    """family and gene of another species: all orthologs(gene, target) of a family's members, for families of at least so many."""
+    own = members.select("family", "gene").join(orthologs, "gene").select("family", F.col("target").alias("gene")).distinct()
+    enough = own.groupBy("family").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= least).select("family")
+    return own.join(enough, "family", "left_semi")

@@ -146,3 +146,41 @@ def mix_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixes = _t(spark, sf_dir, "orders").select(k.alias("row"), name.alias("full"), F.when(k % 9 == 0, "no number").otherwise(name).alias("mix"))
     samples = _t(spark, sf_dir, "supplier").where("s_suppkey < 100").select(F.concat(F.lit("sample "), F.col("s_suppkey").cast("string")).alias("sample"), F.col("s_suppkey").cast("int").alias("place"))
     return K.numbered_samples(mixes, samples).select("row", "mix", "sample")
+
+
+# A chunk of 32 letters is the md5 of its chromosome and number, hex digits read as bases; one in 16 is unknown.
+_BASES = ("0123456789abcdef", "ACGTacgtACGTACGN")
+
+
+@query(
+    f"""WITH c AS (SELECT CAST(p_partkey % 10 AS VARCHAR) chrom, string_agg(translate(md5(CAST(p_partkey AS VARCHAR)), '{_BASES[0]}', '{_BASES[1]}'), '' ORDER BY p_partkey) s FROM part GROUP BY 1),
+    g AS (SELECT o_orderkey k, CASE WHEN o_orderkey % 23 > 0 THEN CAST(o_custkey % 11 AS VARCHAR) END chrom, (o_orderkey * 7) % 6600 + 1 t, CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE -1 END d FROM orders),
+    w AS (SELECT k, g.chrom, d, greatest(1, t - CASE WHEN d = 1 THEN 150 ELSE 50 END) a, t + CASE WHEN d = 1 THEN 50 ELSE 150 END z, s FROM g LEFT JOIN c ON c.chrom = g.chrom), q AS (SELECT *, upper(substr(s, a, z - a + 1)) u FROM w),
+    y AS (SELECT k, chrom, s, coalesce(CASE WHEN d = 1 THEN u ELSE reverse(translate(u, 'ACGT', 'TGCA')) END, '') x FROM q), r AS (SELECT *, CASE WHEN length(x) < 200 THEN rpad(x, 200, 'N') ELSE x END v FROM y), o AS (SELECT *, CASE WHEN chrom IS NULL THEN 'no_tss_coordinate' WHEN s IS NULL THEN 'chrom_not_found' WHEN (length(v) - length(replace(v, 'N', ''))) / length(v) > 0.1 THEN 'high_n_fraction' END reason FROM r)
+    SELECT k AS gene, CASE WHEN reason IS NULL THEN v END AS sequence, reason FROM o"""
+)
+def promoter_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, p = F.col("o_orderkey"), F.col("p_partkey")
+    genes = _t(spark, sf_dir, "orders").select(k.alias("gene"), F.when(k % 23 > 0, (F.col("o_custkey") % 11).cast("string")).alias("chrom"), ((k * 7) % 6600 + 1).alias("tss"), F.when(k % 2 == 0, 1).otherwise(-1).alias("strand"))
+    genome = _t(spark, sf_dir, "part").select((p % 10).cast("string").alias("chrom"), F.floor(p / 10).alias("chunk"), F.translate(F.md5(p.cast("string").cast("binary")), *_BASES).alias("seq"))
+    return K.promoters(genes, genome, 32, 150, 50)
+
+
+_FAMILIES = "f AS (SELECT DISTINCT p_partkey gene, unnest([CAST(p_partkey % 90 AS VARCHAR), 'S' || p_size]) family, unnest(['group ' || (p_partkey % 90), NULL]) name FROM part WHERE p_partkey % 2 = 0)"
+
+
+@query(f"WITH {_FAMILIES} SELECT family, name, gene FROM f")
+def family_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _families(spark, sf_dir)
+
+
+def _families(spark: SparkSession, sf_dir: str) -> DataFrame:
+    number = (F.col("p_partkey") % 90).cast("string")
+    genes = _t(spark, sf_dir, "part").where("p_partkey % 2 = 0").select(F.col("p_partkey").alias("gene"), F.concat(number, F.lit("| S"), F.col("p_size").cast("string"), F.lit("|")).alias("ids"), F.concat(F.lit("group "), number).alias("names"))
+    return K.family_members(genes, "ids", "names")
+
+
+@query(f"WITH {_FAMILIES}, o AS (SELECT DISTINCT l_partkey gene, l_suppkey target FROM lineitem WHERE l_quantity > 49), d AS (SELECT DISTINCT family, target gene FROM f JOIN o USING (gene)) SELECT family, gene FROM d WHERE family IN (SELECT family FROM d GROUP BY 1 HAVING count(*) >= 12)")
+def derived_families(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orthologs = _t(spark, sf_dir, "lineitem").where("l_quantity > 49").select(F.col("l_partkey").alias("gene"), F.col("l_suppkey").alias("target"))
+    return K.derived_families(_families(spark, sf_dir), orthologs, 12)
