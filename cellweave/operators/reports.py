@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.identifiers import ladder
+from ..functions.identifiers import ladder, normalize_ensembl
+from ..functions.stats import benjamini_hochberg
+from ..sources.readers import file_format
 
 # Bands of a study's gene count by their lower limits.
 GENE_BANDS = ((0, "Suspicious low"), (5_000, "Low (subset?)"), (15_000, "Normal (protein-coding)"), (25_000, "Normal (with ncRNA)"), (40_000, "High (check orientation)"), (100_000, "Suspicious high"))
@@ -140,3 +142,73 @@ def one_to_one(left: DataFrame, right: DataFrame, key: list[str]) -> DataFrame:
 def crosstab(df: DataFrame, row: str, column: str, values: list[str]) -> DataFrame:
     """Counts of row by column values, 0 where there are none."""
     return df.groupBy(row).pivot(column, values).agg(F.count(F.lit(1))).na.fill(0, values)
+
+
+def matrix_files(files: DataFrame, skip: tuple[str, ...]) -> DataFrame:
+    """path and format of the matrix files among files(path): of MTX files one for each folder, or for each prefix of an accession.
+
+    Names that hold a skip word are left out, as are unknown endings. Of files that stand for one matrix the smallest path
+    stays.
+    """
+    folder, name = F.regexp_extract("path", r"^(.*/)?[^/]*$", 1), F.substring_index("path", "/", -1)
+    own = files.select("path", file_format(F.col("path")).alias("format"), folder.alias("_dir"), name.alias("_name")).where("format is not null")
+    if skip:
+        own = own.where(~F.lower("_name").rlike("|".join(skip)))
+    accession = F.col("_name").rlike(r"(?i)^(GSM\d+[_.].*|E-\w+-\d+[_.].*)[._](matrix[._])?mtx")
+    prefix = F.when(accession, F.regexp_replace("_name", r"(?i)(\.matrix)?\.mtx(\.gz)?$", "")).otherwise("")
+    key = F.when(F.col("format") == "mtx", F.struct("_dir", F.concat_ws(":", accession.cast("string"), prefix).alias("k"))).otherwise(F.struct(F.lit("").alias("_dir"), F.col("path").alias("k")))
+    return own.groupBy(key.alias("_key"), "format").agg(F.min("path").alias("path")).select("path", "format")
+
+
+def dimensions(counts: DataFrame, by: list[str]) -> DataFrame:
+    """by, genes, cells and entries above 0 of matrices held as counts(by, cell, gene, count)."""
+    return counts.groupBy(*by).agg(F.count_distinct("gene").alias("n_genes"), F.count_distinct("cell").alias("n_cells"), F.count_if(F.col("count") > 0).alias("n_entries"))
+
+
+def corpus_stats(files: DataFrame) -> DataFrame:
+    """study_id, files, cells written, empty cells and files with errors, from files(study_id, n_cells_written, n_cells_empty, status).
+
+    Null studies are unknown; null counts are 0; a null status is an error.
+    """
+    zero = lambda c: F.sum(F.coalesce(c, F.lit(0)))
+    return files.groupBy(F.coalesce("study_id", F.lit("unknown")).alias("study_id")).agg(F.count(F.lit(1)).alias("n_files"), zero("n_cells_written").alias("n_cells_tokenized"), zero("n_cells_empty").alias("n_cells_empty"), F.count_if(~F.coalesce(F.col("status") == "ok", F.lit(False))).alias("n_errors"))
+
+
+def catalog_totals(catalog: DataFrame) -> DataFrame:
+    """One row: studies, how many each source covers and all do, how many are single-cell with a matrix, most genes, all cells."""
+    both = F.col("has_catalog") & F.col("has_matrix") & F.col("has_review")
+    return catalog.agg(F.count(F.lit(1)).alias("n_studies"), F.count_if("has_catalog").alias("n_catalog"), F.count_if("has_matrix").alias("n_matrix"), F.count_if("has_review").alias("n_review"), F.count_if(both).alias("n_all"), F.count_if(F.col("has_matrix") & (F.col("data_type") == "single_cell")).alias("n_sc_matrix"), F.max("n_genes").alias("most_genes"), F.sum("n_cells").alias("n_cells"))
+
+
+def universe_columns(names: DataFrame, genes: DataFrame) -> DataFrame:
+    """names with the index of their gene, versions and case aside: genes(gene_id, gene_index). Names of no gene are left out."""
+    return names.withColumn("_id", normalize_ensembl(F.col("name"))).join(genes.select(F.col("gene_id").alias("_id"), "gene_index"), "_id").drop("_id")
+
+
+def symbol_coverage(names: DataFrame, symbols: DataFrame, by: list[str]) -> DataFrame:
+    """by, names, and the share of them that is a symbol, case and blanks aside; blank names count as not found."""
+    known = symbols.select(F.lower(F.trim("symbol")).alias("_s")).where("_s <> ''").distinct().withColumn("_k", F.lit(1))
+    return names.withColumn("_s", F.lower(F.trim("name"))).join(known, "_s", "left").groupBy(*by).agg(F.count(F.lit(1)).alias("n_names"), F.avg(F.col("_k").isNotNull().cast("int")).alias("share"))
+
+
+def concordant(tests: DataFrame, by: list[str], p_m: str, p_f: str, effect_m: str, effect_f: str, alpha: float = 0.05) -> DataFrame:
+    """tests with both sexes' values adjusted within by, and whether both are significant in one direction."""
+    out = benjamini_hochberg(benjamini_hochberg(tests, by, p_m, "fdr_m"), by, p_f, "fdr_f")
+    same = (F.col("fdr_m") < alpha) & (F.col("fdr_f") < alpha) & (F.signum(effect_m) == F.signum(effect_f))
+    return out.withColumn("replicated", F.coalesce(same, F.lit(False)))
+
+
+def target_tokens(genes: DataFrame, tokens: DataFrame, most_shared: int, seed: str = "0") -> DataFrame:
+    """gene, tier and its token beside those of its orthologs: a drawn sample of T1, all of T3a and T3b.
+
+    genes(gene, tier, token_id, human, mouse), tokens(gene, token). T1 needs a human ortholog and shows both orthologs'
+    tokens, T3a the human one, T3b the mouse one.
+    """
+    from .scoring import draw_order
+
+    t1 = genes.where("tier = 'T1_tri_species' and human is not null").orderBy(draw_order(seed, F.col("gene")), "gene").limit(most_shared).withColumn("short", F.lit("T1"))
+    t3a = genes.where("tier = 'T3a_human_multi' and human is not null").withColumn("short", F.lit("T3a")).withColumn("mouse", F.lit(None).cast("string"))
+    t3b = genes.where("tier = 'T3b_mouse_multi' and mouse is not null").withColumn("short", F.lit("T3b")).withColumn("human", F.lit(None).cast("string"))
+    side = lambda key, out: tokens.select(F.col("gene").alias(key), F.col("token").alias(out))
+    both = t1.unionByName(t3a).unionByName(t3b).where("token_id is not null").join(side("human", "human_token"), "human", "left").join(side("mouse", "mouse_token"), "mouse", "left")
+    return both.select("gene", F.col("short").alias("tier"), F.col("token_id").alias("rat_token"), "human_token", "mouse_token")

@@ -125,3 +125,80 @@ def verdict_crosstab(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = R.crosstab(_t(spark, sf_dir, "lineitem").where("l_orderkey % 97 = l_suppkey % 5"), "l_suppkey", "l_returnflag", ["A", "N", "R"])
     names = _t(spark, sf_dir, "supplier").join(_t(spark, sf_dir, "nation"), F.col("n_nationkey") == F.col("s_nationkey"), "left").select(F.col("s_suppkey").alias("l_suppkey"), F.col("n_name").alias("name"))
     return R.one_to_one(table, names, ["l_suppkey"]).withColumnRenamed("l_suppkey", "tissue")
+
+
+_PATHS = "f AS (SELECT (o_custkey % 40) || '/' || (['GSM', 'gsm', 'x', 'barcodes_'])[o_orderkey % 4 + 1] || (o_custkey % 9) || '_s' || (o_orderkey % 5) || (['.mtx.gz', '.matrix.mtx', '.h5ad', '.pdf', '.mtx'])[o_orderkey % 5 + 1] p FROM orders)"
+
+
+@query(
+    f"""WITH {_PATHS}, m AS (SELECT DISTINCT p, split_part(p, '/', 1) d, split_part(p, '/', 2) n, CASE WHEN p LIKE '%.h5ad' THEN 'h5ad' WHEN p LIKE '%.mtx%' THEN 'mtx' END t FROM f),
+    k AS (SELECT *, CASE WHEN t = 'mtx' THEN d || '/' || CASE WHEN lower(n) LIKE 'gsm%' THEN 'a' || regexp_replace(n, '(\\.matrix)?\\.mtx(\\.gz)?$', '') ELSE '' END ELSE p END key FROM m WHERE t IS NOT NULL AND NOT contains(n, 'barcodes')) SELECT min(p) AS path, t AS format FROM k GROUP BY key, t"""
+)
+def matrix_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    at = lambda names: F.element_at(F.array(*[F.lit(n) for n in names]), (k % len(names) + 1).cast("int"))
+    path = F.concat((c % 40).cast("string"), F.lit("/"), at(("GSM", "gsm", "x", "barcodes_")), (c % 9).cast("string"), F.lit("_s"), (k % 5).cast("string"), at((".mtx.gz", ".matrix.mtx", ".h5ad", ".pdf", ".mtx")))
+    return R.matrix_files(_t(spark, sf_dir, "orders").select(path.alias("path")), ("barcodes", "metadata"))
+
+
+@query("SELECT l_returnflag AS matrix, count(DISTINCT l_partkey) AS n_genes, count(DISTINCT l_orderkey) AS n_cells, count(*) FILTER (l_discount > 0) AS n_entries FROM lineitem GROUP BY 1")
+def matrix_dimensions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _t(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("matrix"), F.col("l_orderkey").alias("cell"), F.col("l_partkey").alias("gene"), F.col("l_discount").alias("count"))
+    return R.dimensions(rows, ["matrix"])
+
+
+@query(
+    "SELECT CASE WHEN o_custkey % 100 = 0 THEN 'unknown' ELSE CAST(o_custkey AS VARCHAR) END AS study_id, count(*) AS n_files, CAST(sum(CASE WHEN o_orderkey % 8 > 0 THEN o_orderkey % 500 ELSE 0 END) AS BIGINT) AS n_cells_tokenized, CAST(sum(o_orderkey % 7) AS BIGINT) AS n_cells_empty, count(*) FILTER (o_orderstatus <> 'O' OR o_orderkey % 8 = 0) AS n_errors FROM orders GROUP BY 1"
+)
+def corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    files = _t(spark, sf_dir, "orders").select(F.when(F.col("o_custkey") % 100 > 0, F.col("o_custkey").cast("string")).alias("study_id"), F.when(k % 8 > 0, k % 500).alias("n_cells_written"), (k % 7).alias("n_cells_empty"), F.when(k % 8 > 0, F.when(F.col("o_orderstatus") == "O", "ok").otherwise("failed")).alias("status"))
+    return R.corpus_stats(files)
+
+
+@query(
+    f"""WITH {_MATRICES}, c AS (SELECT k % 3 > 0 hc, c IS NOT NULL hm, k % 4 > 1 hr, CASE WHEN st = 'O' THEN 'single_cell' ELSE 'bulk' END dt, g, c FROM m)
+    SELECT count(*) AS n_studies, count(*) FILTER (hc) AS n_catalog, count(*) FILTER (hm) AS n_matrix, count(*) FILTER (hr) AS n_review, count(*) FILTER (hc AND hm AND hr) AS n_all, count(*) FILTER (hm AND dt = 'single_cell') AS n_sc_matrix, max(g) AS most_genes, CAST(sum(c) AS BIGINT) AS n_cells FROM c"""
+)
+def catalog_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("accession")
+    return R.catalog_totals(_matrices(spark, sf_dir).select((k % 3 > 0).alias("has_catalog"), F.col("n_cells").isNotNull().alias("has_matrix"), (k % 4 > 1).alias("has_review"), F.when(F.col("organism") == "O", "single_cell").otherwise("bulk").alias("data_type"), "n_genes", "n_cells"))
+
+
+@query("SELECT l_orderkey, l_linenumber, 'ensrnog' || lpad(CAST(l_partkey AS VARCHAR), 11, '0') || '.' || l_linenumber AS name, l_partkey // 2 AS gene_index FROM lineitem WHERE l_partkey % 2 = 0")
+def universe_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stem = lambda k: F.lpad(k.cast("string"), 11, "0")
+    names = _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.concat(F.lit("ensrnog"), stem(F.col("l_partkey")), F.lit("."), F.col("l_linenumber").cast("string")).alias("name"))
+    return R.universe_columns(names, _t(spark, sf_dir, "part").where("p_partkey % 2 = 0").select(F.concat(F.lit("ENSRNOG"), stem(F.col("p_partkey"))).alias("gene_id"), F.floor(F.col("p_partkey") / 2).alias("gene_index")))
+
+
+@query("SELECT l_suppkey AS study, count(*) AS n_names, round(avg(CAST(l_partkey % 3 = 0 AND l_linenumber > 1 AS INTEGER)), 6) AS share FROM lineitem GROUP BY 1")
+def symbol_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = _t(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("study"), F.when(F.col("l_linenumber") > 1, F.concat(F.lit(" Gene"), F.col("l_partkey").cast("string"))).otherwise(" ").alias("name"))
+    return R.symbol_coverage(names, _t(spark, sf_dir, "part").where("p_partkey % 3 = 0").select(F.concat(F.lit("GENE"), F.col("p_partkey").cast("string")).alias("symbol")), ["study"]).withColumn("share", F.round("share", 6))
+
+
+@query(
+    """WITH t AS (SELECT p_partkey g, p_brand b, pow(((p_partkey * 7919) % 1999 + 1) / 2000, 4) m, CASE WHEN p_size > 3 THEN pow(((p_partkey * 104729) % 997 + 1) / 1000, 5) END f, p_partkey % 7 < 4 s FROM part),
+    r AS (SELECT *, m * count(m) OVER (PARTITION BY b) / count(m) OVER (PARTITION BY b ORDER BY m) qm, f * count(f) OVER (PARTITION BY b) / count(f) OVER (PARTITION BY b ORDER BY f) qf FROM t),
+    a AS (SELECT *, least(1, min(qm) OVER (PARTITION BY b ORDER BY m DESC)) am, CASE WHEN f IS NOT NULL THEN least(1, min(qf) OVER (PARTITION BY b ORDER BY f DESC NULLS LAST)) END af FROM r) SELECT g AS gene, b AS block, round(am, 8) AS fdr_m, round(af, 8) AS fdr_f, coalesce(am < 0.05 AND af < 0.05 AND s, false) AS replicated FROM a"""
+)
+def sex_replication(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey")
+    tests = _t(spark, sf_dir, "part").select(k.alias("gene"), F.col("p_brand").alias("block"), F.pow(((k * 7919) % 1999 + 1) / 2000, F.lit(4)).alias("m"), F.when(F.col("p_size") > 3, F.pow(((k * 104_729) % 997 + 1) / 1000, F.lit(5))).alias("f"), F.when(k % 7 < 4, 1.5).otherwise(-0.5).alias("em"), F.lit(2.0).alias("ef"))
+    return R.concordant(tests, ["block"], "m", "f", "em", "ef").select("gene", "block", F.round("fdr_m", 8).alias("fdr_m"), F.round("fdr_f", 8).alias("fdr_f"), "replicated")
+
+
+@query(
+    """WITH g AS (SELECT CAST(p_partkey AS VARCHAR) gene, (['T1_tri_species', 'T3a_human_multi', 'T3b_mouse_multi', 'T4'])[p_partkey % 4 + 1] tier, CASE WHEN p_partkey % 9 > 0 THEN p_partkey + 7 END token_id, CASE WHEN p_partkey % 5 > 0 THEN 'h' || (p_partkey % 100) END human, CASE WHEN p_partkey % 6 > 0 THEN 'm' || (p_partkey % 100) END mouse FROM part),
+    t AS (SELECT 'h' || s_suppkey n, s_suppkey t FROM supplier WHERE s_suppkey % 3 > 0 UNION ALL SELECT 'm' || s_suppkey, s_suppkey + 1000 FROM supplier WHERE s_suppkey % 4 > 0), o AS (SELECT * FROM g WHERE tier LIKE 'T1%' AND human IS NOT NULL ORDER BY md5('0|' || gene), gene LIMIT 120),
+    u AS (SELECT gene, 'T1' tier, token_id, human, mouse FROM o UNION ALL SELECT gene, 'T3a', token_id, human, NULL FROM g WHERE tier LIKE 'T3a%' AND human IS NOT NULL UNION ALL SELECT gene, 'T3b', token_id, NULL, mouse FROM g WHERE tier LIKE 'T3b%' AND mouse IS NOT NULL)
+    SELECT gene, tier, token_id AS rat_token, h.t AS human_token, m.t AS mouse_token FROM u LEFT JOIN t h ON h.n = human LEFT JOIN t m ON m.n = mouse WHERE token_id IS NOT NULL"""
+)
+def target_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, s = F.col("p_partkey"), F.col("s_suppkey")
+    hundred = (k % 100).cast("string")
+    genes = _t(spark, sf_dir, "part").select(k.cast("string").alias("gene"), F.element_at(F.array(*[F.lit(t) for t in ("T1_tri_species", "T3a_human_multi", "T3b_mouse_multi", "T4")]), (k % 4 + 1).cast("int")).alias("tier"), F.when(k % 9 > 0, k + 7).alias("token_id"), F.when(k % 5 > 0, F.concat(F.lit("h"), hundred)).alias("human"), F.when(k % 6 > 0, F.concat(F.lit("m"), hundred)).alias("mouse"))
+    supplier = _t(spark, sf_dir, "supplier")
+    tokens = supplier.where("s_suppkey % 3 > 0").select(F.concat(F.lit("h"), s.cast("string")).alias("gene"), s.alias("token")).unionByName(supplier.where("s_suppkey % 4 > 0").select(F.concat(F.lit("m"), s.cast("string")).alias("gene"), (s + 1000).alias("token")))
+    return R.target_tokens(genes, tokens, 120)
