@@ -212,3 +212,22 @@ def target_tokens(genes: DataFrame, tokens: DataFrame, most_shared: int, seed: s
     side = lambda key, out: tokens.select(F.col("gene").alias(key), F.col("token").alias(out))
     both = t1.unionByName(t3a).unionByName(t3b).where("token_id is not null").join(side("human", "human_token"), "human", "left").join(side("mouse", "mouse_token"), "mouse", "left")
     return both.select("gene", F.col("short").alias("tier"), F.col("token_id").alias("rat_token"), "human_token", "mouse_token")
+
+
+def name_clashes(labels: DataFrame, label: str, safe: Column) -> DataFrame:
+    """File names that more than one label would get, with the sorted labels; empty if names tell labels apart."""
+    own = labels.select(F.col(label).alias("_l"), safe.alias("name")).where("_l is not null").distinct()
+    return own.groupBy("name").agg(F.count(F.lit(1)).alias("n_labels"), F.array_sort(F.collect_list("_l")).alias("labels")).where("n_labels > 1")
+
+
+def uneven_axes(profiles: DataFrame, block: str, axis: str) -> DataFrame:
+    """Entries of the axis that not every block has, with the number of blocks that do; empty if all axes are equal."""
+    seen = profiles.select(block, axis).distinct()
+    n = seen.select(block).distinct().count()  # one number
+    return seen.groupBy(axis).agg(F.count(F.lit(1)).alias("n_blocks")).where(F.col("n_blocks") < n)
+
+
+def assignment_summary(assigned: DataFrame, by: list[str], least_confidence: float) -> DataFrame:
+    """by, clusters, cells, mean confidence, clusters of low confidence, and the share of cells that are Unknown."""
+    unknown = F.sum(F.when(F.col("label") == "Unknown", F.col("n_cells")).otherwise(0))
+    return assigned.groupBy(*by).agg(F.count(F.lit(1)).alias("n_clusters"), F.sum("n_cells").alias("n_cells"), F.avg("confidence").alias("confidence"), F.count_if(F.col("confidence") < least_confidence).alias("n_low"), F.try_divide(unknown, F.sum("n_cells")).alias("unknown_share"))

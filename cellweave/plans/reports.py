@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.identifiers import safe_label
 from ..operators import reports as R
 from .registry import _t, query
 
@@ -202,3 +203,25 @@ def target_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     supplier = _t(spark, sf_dir, "supplier")
     tokens = supplier.where("s_suppkey % 3 > 0").select(F.concat(F.lit("h"), s.cast("string")).alias("gene"), s.alias("token")).unionByName(supplier.where("s_suppkey % 4 > 0").select(F.concat(F.lit("m"), s.cast("string")).alias("gene"), (s + 1000).alias("token")))
     return R.target_tokens(genes, tokens, 120)
+
+
+@query("WITH l AS (SELECT DISTINCT p_brand || CASE WHEN p_size % 2 = 0 THEN '+ ' ELSE ' / ' END || p_type l FROM part WHERE p_size < 30), s AS (SELECT regexp_replace(l, '[^A-Za-z0-9]+', '_', 'g') n, l FROM l) SELECT n AS name, count(*) AS n_labels, string_agg(l, '|' ORDER BY l) AS labels FROM s GROUP BY 1 HAVING count(*) > 1")
+def label_name_clashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.concat("p_brand", F.when(F.col("p_size") % 2 == 0, "+ ").otherwise(" / "), "p_type")
+    out = R.name_clashes(_t(spark, sf_dir, "part").where("p_size < 30").select(label.alias("label")), "label", safe_label(F.col("label")))
+    return out.withColumn("labels", F.array_join("labels", "|"))
+
+
+@query("SELECT l_partkey AS gene, count(DISTINCT l_linenumber) AS n_blocks FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_linenumber) < (SELECT count(DISTINCT l_linenumber) FROM lineitem)")
+def uneven_axes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.uneven_axes(_t(spark, sf_dir, "lineitem").select(F.col("l_linenumber").alias("block"), F.col("l_partkey").alias("gene")), "block", "gene")
+
+
+@query(
+    """SELECT o_custkey % 200 AS sample, count(*) AS n_clusters, CAST(sum(o_orderkey % 90) AS BIGINT) AS n_cells, round(avg((o_orderkey % 50) / 50), 6) AS confidence, count(*) FILTER ((o_orderkey % 50) / 50 < 0.3) AS n_low,
+    round(sum(CASE WHEN o_orderpriority = '5-LOW' THEN o_orderkey % 90 ELSE 0 END) / sum(o_orderkey % 90), 6) AS unknown_share FROM orders GROUP BY 1"""
+)
+def assignment_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    rows = _t(spark, sf_dir, "orders").select((F.col("o_custkey") % 200).alias("sample"), F.when(F.col("o_orderpriority") == "5-LOW", "Unknown").otherwise("known").alias("label"), (k % 90).alias("n_cells"), ((k % 50) / 50).alias("confidence"))
+    return R.assignment_summary(rows, ["sample"], 0.3).withColumn("confidence", F.round("confidence", 6)).withColumn("unknown_share", F.round("unknown_share", 6))
