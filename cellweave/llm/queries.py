@@ -78,8 +78,14 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", shards)
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .prefix_trie import conversation_trie
+
+    return conversation_trie(_table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_token_files, op2_quality_rules, op3_lattice_lm, op4_neighbours, op5_jaccard_join, op6_toxicity, op7_packing, op8_topk, op9_html_text, op10_mixing)
+    own = (op1_token_files, op2_quality_rules, op3_lattice_lm, op4_neighbours, op5_jaccard_join, op6_toxicity, op7_packing, op8_topk, op9_html_text, op10_mixing, op11_prefix_trie)
     return {f.__name__: f for f in own}
 
 
@@ -109,7 +115,20 @@ _OP8 = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(25
   s AS (SELECT q.vec_id query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) score FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) rank FROM s)
   SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5"""
 
+#: The reduction of a byte string to its crc32, bit by bit; 0xEDB88320 is the fixed polynomial.
+_CRC = "(4294967295 - list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(c::VARCHAR, ''), lambda x: ascii(x)::BIGINT)), lambda a, x: list_reduce(list_prepend(xor(a, x), range(8)), lambda v, k: CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384::BIGINT) ELSE v // 2 END)))"
+
+#: Every prefix of every rebuilt conversation as a list, grouped whole; leaves and savings by all ancestors of a node.
+_OP11 = rf"""WITH t AS (SELECT conv_id c, {{'role': coalesce(role, ''), 'text': coalesce(text, '')}} x, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) i FROM conversations WHERE conv_id IS NOT NULL),
+  o AS (SELECT c, list(x ORDER BY i) w, {_CRC} % 6 h FROM t GROUP BY c),
+  s AS (SELECT o.c, list_concat(coalesce(p.w[1:o.h], []), o.w[o.h + 1:]) w FROM o LEFT JOIN o p ON p.c = o.c - o.c % 100),
+  p AS (SELECT c, w[1:d] k, d, len(w) = d e FROM (SELECT *, unnest(range(len(w) + 1)) d FROM s)),
+  n AS (SELECT k, d, count(*) n_convs, min(c) conv_id, sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (e), '')) ends_sha256 FROM p GROUP BY k, d),
+  f AS (SELECT a.k, a.d, a.n_convs, a.conv_id, a.ends_sha256, b.conv_id parent_conv_id, (SELECT count(*) FROM n x WHERE x.d = a.d + 1 AND x.k[1:a.d] = a.k) n_children, CASE WHEN a.d > 0 THEN (a.n_convs - 1) * length(a.k[a.d].text) ELSE 0 END own FROM n a LEFT JOIN n b ON a.d > 0 AND b.d = a.d - 1 AND b.k = a.k[1:a.d - 1]),
+  u AS (SELECT k[1:g] k, g d, count(*) FILTER (n_children = 0) n_leaves, sum(own) saved FROM (SELECT *, unnest(range(d + 1)) g FROM f) GROUP BY 1, 2)
+  SELECT conv_id, f.d AS depth, parent_conv_id, n_convs, n_children, n_leaves, CAST(saved AS BIGINT) AS saved_tokens, ends_sha256 FROM f JOIN u ON u.d = f.d AND u.k = f.k"""
+
 
 def oracle_sql() -> dict[str, str]:
     """SQL of the queries that it can express: the others rest on a tokenizer, hashes or fitted models."""
-    return {"op2_quality_rules": _OP2, "op5_jaccard_join": _OP5, "op8_topk": _OP8}
+    return {"op2_quality_rules": _OP2, "op5_jaccard_join": _OP5, "op8_topk": _OP8, "op11_prefix_trie": _OP11}
