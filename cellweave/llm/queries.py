@@ -84,8 +84,16 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_trie(_table(spark, sf_dir, "conversations"))
 
 
+def op12_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .repeated_text import remove_repeats
+
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["bytes"])
+    out = remove_repeats(_table(spark, sf_dir, "documents")).withColumn("n_removed", removed)
+    return out.select("doc_id", (F.octet_length("kept") + F.col("n_removed")).alias("n_bytes"), "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_token_files, op2_quality_rules, op3_lattice_lm, op4_neighbours, op5_jaccard_join, op6_toxicity, op7_packing, op8_topk, op9_html_text, op10_mixing, op11_prefix_trie)
+    own = (op1_token_files, op2_quality_rules, op3_lattice_lm, op4_neighbours, op5_jaccard_join, op6_toxicity, op7_packing, op8_topk, op9_html_text, op10_mixing, op11_prefix_trie, op12_repeats)
     return {f.__name__: f for f in own}
 
 
@@ -128,7 +136,16 @@ _OP11 = rf"""WITH t AS (SELECT conv_id c, {{'role': coalesce(role, ''), 'text':
   u AS (SELECT k[1:g] k, g d, count(*) FILTER (n_children = 0) n_leaves, sum(own) saved FROM (SELECT *, unnest(range(d + 1)) g FROM f) GROUP BY 1, 2)
   SELECT conv_id, f.d AS depth, parent_conv_id, n_convs, n_children, n_leaves, CAST(saved AS BIGINT) AS saved_tokens, ends_sha256 FROM f JOIN u ON u.d = f.d AND u.k = f.k"""
 
+#: Every string of 100 bytes, in hexadecimal, that is found twice, with the first of its places; runs of covered bytes by gaps between starts.
+_OP12 = """WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) x FROM documents), p AS (SELECT doc_id, x, unnest(range(len(x) // 2 - 99)) i FROM d), w AS MATERIALIZED (SELECT doc_id, i, hash(substr(x, 2 * i + 1, 200)) s FROM p), n AS (SELECT s FROM w GROUP BY s HAVING count(*) > 1),
+  q AS (SELECT doc_id, i, substr(x, 2 * i + 1, 200) s FROM w JOIN n USING (s) JOIN d USING (doc_id)), m AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) r FROM q) WHERE r > 1),
+  g AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 100 THEN 0 ELSE 1 END new_ FROM m), h AS (SELECT *, sum(new_) OVER (PARTITION BY doc_id ORDER BY i) k FROM g),
+  r AS (SELECT doc_id, min(i) a, max(i) + 100 b FROM h GROUP BY doc_id, k), o AS (SELECT *, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) before_ FROM r),
+  c AS (SELECT doc_id, sum(b - a) n, count(*) s, max(b) last_, list({'a': before_, 'b': a} ORDER BY a) keep FROM o GROUP BY doc_id)
+  SELECT doc_id, CAST(len(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, coalesce(s, 0) AS n_spans,
+    sha256(unhex(CASE WHEN n IS NULL THEN x ELSE array_to_string(list_transform(keep, lambda p: x[2 * p.a + 1:2 * p.b]), '') || x[2 * last_ + 1:] END)) AS kept_sha256 FROM d LEFT JOIN c USING (doc_id)"""
+
 
 def oracle_sql() -> dict[str, str]:
     """SQL of the queries that it can express: the others rest on a tokenizer, hashes or fitted models."""
-    return {"op2_quality_rules": _OP2, "op5_jaccard_join": _OP5, "op8_topk": _OP8, "op11_prefix_trie": _OP11}
+    return {"op2_quality_rules": _OP2, "op5_jaccard_join": _OP5, "op8_topk": _OP8, "op11_prefix_trie": _OP11, "op12_repeats": _OP12}
