@@ -92,8 +92,14 @@ def op12_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (F.octet_length("kept") + F.col("n_removed")).alias("n_bytes"), "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .phrases import collocations
+
+    return collocations(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_token_files, op2_quality_rules, op3_lattice_lm, op4_neighbours, op5_jaccard_join, op6_toxicity, op7_packing, op8_topk, op9_html_text, op10_mixing, op11_prefix_trie, op12_repeats)
+    own = (op1_token_files, op2_quality_rules, op3_lattice_lm, op4_neighbours, op5_jaccard_join, op6_toxicity, op7_packing, op8_topk, op9_html_text, op10_mixing, op11_prefix_trie, op12_repeats, op13_collocations)
     return {f.__name__: f for f in own}
 
 
@@ -145,7 +151,18 @@ _OP12 = """WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) x FROM docu
   SELECT doc_id, CAST(len(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, coalesce(s, 0) AS n_spans,
     sha256(unhex(CASE WHEN n IS NULL THEN x ELSE array_to_string(list_transform(keep, lambda p: x[2 * p.a + 1:2 * p.b]), '') || x[2 * last_ + 1:] END)) AS kept_sha256 FROM d LEFT JOIN c USING (doc_id)"""
 
+#: Counts of all phrases of up to four words, as lists; the lowest cut, and what longer candidates stand for.
+_OP13 = r"""WITH d AS (SELECT coalesce(lang, 'und') lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) p FROM documents),
+  w AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') w FROM d), t AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) n FROM w GROUP BY 1), o AS (SELECT lang, w, unnest([1, 2, 3, 4]) m FROM w),
+  f AS (SELECT lang, g, count(*) a FROM (SELECT lang, w[i:i + m - 1] g FROM (SELECT *, unnest(range(1, len(w) - m + 2)) i FROM o)) GROUP BY 1, 2 HAVING count(*) >= 30),
+  c AS (SELECT *, unnest(range(1, len(g))) k FROM f WHERE len(g) > 1), s AS (SELECT c.lang, c.g, c.a, k, l.a l, r.a r, CAST(2000000::HUGEINT * c.a // (l.a + r.a) AS BIGINT) score FROM c JOIN f l ON l.lang = c.lang AND l.g = c.g[1:k] JOIN f r ON r.lang = c.lang AND r.g = c.g[k + 1:]),
+  b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, g ORDER BY score, k) y FROM s) WHERE y = 1),
+  x AS (SELECT lang, g[i:i + m - 1] g, max(a) longer FROM (SELECT *, unnest(range(1, len(g) - m + 2)) i FROM (SELECT *, unnest(range(2, len(g))) m FROM f WHERE len(g) > 2)) GROUP BY 1, 2),
+  k AS (SELECT b.lang, array_to_string(b.g, ' ') phrase, a, l, r, score FROM b LEFT JOIN x ON x.lang = b.lang AND x.g = b.g WHERE longer IS NULL OR 100 * longer < 80 * a),
+  z AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM k)
+  SELECT lang, rank, phrase, a, l, r, n, score FROM z JOIN t USING (lang) WHERE rank <= 2000"""
+
 
 def oracle_sql() -> dict[str, str]:
     """SQL of the queries that it can express: the others rest on a tokenizer, hashes or fitted models."""
-    return {"op2_quality_rules": _OP2, "op5_jaccard_join": _OP5, "op8_topk": _OP8, "op11_prefix_trie": _OP11, "op12_repeats": _OP12}
+    return {"op2_quality_rules": _OP2, "op5_jaccard_join": _OP5, "op8_topk": _OP8, "op11_prefix_trie": _OP11, "op12_repeats": _OP12, "op13_collocations": _OP13}
