@@ -36,7 +36,7 @@ SAMPLED = 8
 #: Bits of the filter, as a power of two.
 FILTER_BITS = 27
 #: Bytes of text that are cut at once, and phrases that a task gathers before it hands them on.
-BLOCK, GATHERED = 4_000_000, 3_000_000
+BLOCK, GATHERED = 1_000_000, 1_000_000
 COUNTS = "lang string, n int, phrase string, f long"
 #: The marks that end a piece and the spaces between words, fixed by the contract.
 MARKS, SPACES = b".,;:!?\n\x0b\x0c\r", b" \t"
