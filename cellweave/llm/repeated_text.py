@@ -18,7 +18,7 @@ window, which changes no result. There are at most 1 / MOST_SHARE such anchors.
 
 Defined results: null text is empty; places are ordered by doc_id (null first), then by a 64-bit hash of the text, then by
 offset. Of rows that agree in id and text one, and no matter which, is the earliest. An empty table gives an empty table.
-Columns other than doc_id and text are not read. Very long texts are read in blocks of 4 MB.
+Columns other than doc_id and text are not read. Very long texts are read in blocks of 1 MB.
 """
 
 from __future__ import annotations
@@ -40,9 +40,9 @@ LENGTH = 100
 #: Bytes of a piece whose hash may be a window's anchor.
 PIECE = 24
 #: Bytes of text that are hashed at once, and the bits that hold a place among twice as many.
-BLOCK, BLOCK_BITS = 4_000_000, 23
+BLOCK, BLOCK_BITS = 1_000_000, 21
 #: Anchors that a task gathers before it packs them.
-GATHERED = 2_000_000
+GATHERED = 400_000
 #: Buckets grow as this power of the text's size in units of so many bytes; the size of one grows as the rest.
 UNIT, POWER = 2_000_000, 0.75
 #: Texts of one in so many hash values are read for frequent anchors, and the least share and number of those.
@@ -119,15 +119,17 @@ def _level(h: np.ndarray, step: int) -> np.ndarray:
 
 
 def anchors(data: np.ndarray, sizes: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Contexts of the texts that stand one after another in data: anchor's hash, context's hash, start and windows less one."""
+    """Contexts of the texts that stand one after another in data: anchor's hash, context's hash, start and windows less one.
+
+    length must be 32 at least.
+    """
     none = np.zeros(0, np.int64)
     if len(data) < length:
         return none.astype(np.uint64), none.astype(np.uint64), none, none
-    levels = {1: (data.astype(np.uint64) + np.uint64(1)) * _ODD[1]}
-    n = 1
+    h, n, levels = (data.astype(np.uint64) + np.uint64(1)) * _ODD[1], 1, {}
     while n * 2 <= length:
-        levels[n * 2] = _level(levels[n], n)
-        n *= 2
+        h, n = _level(h, n), n * 2
+        levels = {k: v for k, v in levels.items() if k in (PIECE - 16, 16)} | {n: h}
     piece = _mixed(levels[16][: len(data) - PIECE + 1], levels[PIECE - 16][16 : len(data) - PIECE + 17])
     low = np.uint64(BLOCK_BITS)
     least = (piece >> low << low) | np.arange(len(piece), dtype=np.uint64)
