@@ -1,15 +1,16 @@
-"""Phrase collocations by Toivonen's sampling: a sample proposes, one full pass decides, and failures are followed up.
+"""Phrase collocations by Toivonen's sampling: a sample proposes, full passes decide, and failures are followed up.
 
 1. Phrases of 1 to 4 words of a hash sample of the texts, at a lowered count, are the proposal.
 2. A pass over all texts counts every word, and every longer phrase whose two parts (without its last word, without its first)
    are proposed: the proposal with its negative border, as far as it occurs.
 3. A phrase that reaches the least count without being proposed is a border failure. Failures are added to the proposal and a
-   further pass counts what that newly lets in, until a pass finds none: then every frequent phrase has been counted, since the
+   further pass counts what that newly lets in, until a pass finds none: then every frequent phrase has been found, since the
    parts of a frequent phrase are frequent.
+4. Phrases are hashes of 64 bits up to here, of which two that agree can only make a count too large. A last pass counts the
+   strings of what was found, and that count decides.
 
-The proposal goes to the tasks as a bit filter of 16 MB at every size. A phrase that it lets through by chance is counted exactly, like
-any other; so a full filter costs work and changes no result. Tasks cut texts to words with arrays of hashes (64 bits, which only tell
-the few million phrases of one task from each other); between tasks phrases are strings and are summed by Spark.
+Sets of phrases go to the tasks as bit filters of 16 MB at every size. What a filter lets through by chance is counted exactly,
+like the rest; so a full filter costs work and changes no result. Hashed counts travel packed by bucket, strings as rows.
 
 Defined results: null or empty text holds no word; null lang is `und`; doc_id is not read, so null and repeated ids and repeated rows
 are ordinary rows; an empty table gives an empty table; other columns are not read. Words keep all characters but A to Z, which become
@@ -27,6 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize
+from .packed import PACKED, buckets, gathered, packed_rows
 
 LEAST, LONGEST, TOP = 30, 4, 2000
 #: Score of a cut: floor(SCALE * a / (l + r)). A candidate goes if a longer one that holds it has at least this percentage of its count.
@@ -37,6 +39,8 @@ SAMPLED = 8
 FILTER_BITS = 27
 #: Bytes of text that are cut at once, and phrases that a task gathers before it hands them on.
 BLOCK, GATHERED = 1_000_000, 1_000_000
+#: A packed count: hash and number.
+HASHED = ("<u8", "<u4")
 COUNTS = "lang string, n int, phrase string, f long"
 #: The marks that end a piece and the spaces between words, fixed by the contract.
 MARKS, SPACES = b".,;:!?\n\x0b\x0c\r", b" \t"
@@ -102,14 +106,14 @@ class Words:
         return pa.Array.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(np.concatenate([[0], ends]).astype(np.int64)), pa.py_buffer(data)]).cast(pa.large_string())
 
     def hashes(self, longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """For each length, the hash of the phrase from each place and whether it lies in one piece."""
+        """For each length, the hash of the phrase from each place, which ends in the length less one, and whether it lies in one piece."""
         h = self.hash
         whole = np.ones(len(h), bool)
         for n in range(1, longest + 1):
             if n > 1:
                 h = _mix(h[:-1] * _ODD[1] + self.hash[n - 1 :]) if len(h) > 1 else h[:0]
                 whole = self.piece[: len(h)] == self.piece[n - 1 : n - 1 + len(h)]
-            yield n, h, whole
+            yield n, h & ~np.uint64(3) | np.uint64(n - 1), whole
 
 
 def _cut(text: bytes) -> Iterator[bytes]:
@@ -144,49 +148,86 @@ def _worded(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Words, list[str
         yield words()
 
 
+def _slot(h: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    return h >> np.uint64(58 - (len(bits).bit_length() - 1))
+
+
 def _has(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
-    slot = h >> np.uint64(58 - (len(bits).bit_length() - 1))
+    slot = _slot(h, bits)
     return bits[slot >> np.uint64(6)] >> (slot & np.uint64(63)) & np.uint64(1) == 1
 
 
-def _counted(now: Callable[[], np.ndarray] | None, before: Callable[[], np.ndarray] | None, longest: int, least: int) -> Callable:
-    """Counts of phrases by task. now: the filter whose phrases' extensions are counted (all are, without one); before: that of earlier passes.
+def _hashed(now: Callable | None, before: Callable | None, longest: int, parts: int) -> Callable:
+    """Packed counts of phrases' hashes. now: the filter whose phrases' extensions are counted (all are, without one); before: that of earlier passes."""
+
+    def flush(found: list[np.ndarray], counts: list[np.ndarray]) -> pa.RecordBatch:
+        h, which = np.unique(np.concatenate(found), return_inverse=True)
+        f = np.bincount(which, np.concatenate(counts)).astype(np.int64)
+        return packed_rows((h >> np.uint64(20)) % np.uint64(parts), 0, [h, f], HASHED)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        new, old = (x() if x else None for x in (now, before))
+        found, counts, size = [], [], 0
+        for w, _ in _worded(batches):
+            last = ever = None
+            for n, h, whole in w.hashes(longest):
+                if n > 1 and new is not None:
+                    whole = whole & last[:-1] & last[1:]
+                    if old is not None:
+                        whole &= ~(ever[:-1] & ever[1:])
+                if n < longest and new is not None:
+                    last, ever = _has(new, h), None if old is None else _has(old, h)
+                if n == 1 and old is not None:
+                    continue
+                own, f = np.unique(h[whole], return_counts=True)
+                found.append(own)
+                counts.append(f)
+                size += len(own)
+            if size >= GATHERED:
+                yield flush(found, counts)
+                found, counts, size = [], [], 0
+        if found:
+            yield flush(found, counts)
+
+    return run
+
 
-    least: phrases with fewer in a task are left out, for a proposal only.
-    """
+def _often(least: int) -> Callable:
+    """The hashes of a bucket whose counts reach the least one."""
+
+    def run(table: pa.Table) -> pa.Table:
+        (h, f), _ = gathered(table, 0, HASHED)
+        h, which = np.unique(h, return_inverse=True)
+        return pa.table({"hash": h[np.bincount(which, f) >= least].astype(np.int64)})
+
+    return run
+
+
+def _strings(wanted: Callable, longest: int) -> Callable:
+    """Counts of the phrases that a filter holds, as strings, and all words of each lang with n = 0."""
     kinds = [pa.large_string(), pa.int32(), pa.large_string(), pa.int64()]
+    names_of = ["lang", "n", "phrase", "f"]
 
     def flush(found: list[tuple], names: list[str]) -> Iterator[pa.RecordBatch]:
         h, n, lang, f = (np.concatenate([x[k] for x in found]) for k in range(4))
         text = pa.chunked_array([x[4] for x in found])
         _, first, which = np.unique(h, return_index=True, return_inverse=True)
         f = np.bincount(which, f).astype(np.int64)
-        keep = f >= least
-        first, f = first[keep], f[keep]
         for a in range(0, len(first), 100_000):
             k = first[a : a + 100_000]
             phrase = text.take(pa.array(k)).combine_chunks()
-            yield pa.RecordBatch.from_arrays([pa.array([names[x] for x in lang[k].tolist()], kinds[0]), pa.array(n[k], kinds[1]), phrase.chunk(0) if isinstance(phrase, pa.ChunkedArray) else phrase, pa.array(f[a : a + 100_000])], names=["lang", "n", "phrase", "f"])
+            yield pa.RecordBatch.from_arrays([pa.array([names[x] for x in lang[k].tolist()], kinds[0]), pa.array(n[k], kinds[1]), phrase.chunk(0) if isinstance(phrase, pa.ChunkedArray) else phrase, pa.array(f[a : a + 100_000])], names=names_of)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        new, old = (x() if x else None for x in (now, before))
+        bits = wanted()
         found: list[tuple] = []
         total: dict[str, int] = {}
         size, names = 0, []
         for w, names in _worded(batches):
             for lang, k in zip(*np.unique(w.lang, return_counts=True), strict=True):
                 total[names[lang]] = total.get(names[lang], 0) + int(k)
-            last = ever = None
             for n, h, whole in w.hashes(longest):
-                if n > 1 and new is not None:
-                    whole = whole & last[:-1] & last[1:]
-                    if old is not None:
-                        whole &= ~(ever[:-1] & ever[1:])
-                if n < longest and new is not None:
-                    last, ever = _has(new, h), None if old is None else _has(old, h)
-                if n == 1 and old is not None:
-                    continue
-                at = np.flatnonzero(whole)
+                at = np.flatnonzero(whole & _has(bits, h))
                 own, first, f = np.unique(h[at], return_index=True, return_counts=True)
                 at = at[first]
                 found.append((own, np.full(len(own), n), w.lang[at], f, w.phrases(at, n)))
@@ -196,58 +237,46 @@ def _counted(now: Callable[[], np.ndarray] | None, before: Callable[[], np.ndarr
                 found, size = [], 0
         if found:
             yield from flush(found, names)
-        if total and old is None:
-            yield pa.RecordBatch.from_arrays([pa.array(list(total), kinds[0]), pa.array([0] * len(total), kinds[1]), pa.array([""] * len(total), kinds[2]), pa.array(list(total.values()), kinds[3])], names=["lang", "n", "phrase", "f"])
-
-    return run
-
-
-def _slots(longest: int, bits: int) -> Callable:
-    """The filter's words and bits for phrases (lang, text)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for w, _ in _worded(batches):
-            first = np.diff(w.piece, prepend=-1) != 0
-            length = np.diff(np.append(np.flatnonzero(first), len(first)))
-            start = np.flatnonzero(first)
-            slots = [h[start[length == n]] for n, h, _ in w.hashes(longest)]
-            slot = np.concatenate(slots) >> np.uint64(64 - bits)
-            yield pa.RecordBatch.from_arrays([pa.array((slot >> np.uint64(6)).astype(np.int64)), pa.array((np.uint64(1) << (slot & np.uint64(63))).astype(np.int64))], names=["word", "bits"])
+        if total:
+            yield pa.RecordBatch.from_arrays([pa.array(list(total), kinds[0]), pa.array([0] * len(total), kinds[1]), pa.array([""] * len(total), kinds[2]), pa.array(list(total.values()), kinds[3])], names=names_of)
 
     return run
 
 
-def _filter(phrases: DataFrame, longest: int, filter_bits: int) -> Callable[[], np.ndarray]:
-    """A handle of the bit filter that lets phrases(lang, phrase) through; one value of fixed size goes through the driver."""
-    rows = phrases.select("lang", F.col("phrase").alias("text")).mapInArrow(_slots(longest, filter_bits), "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+def _filter(hashes: DataFrame, filter_bits: int) -> Callable[[], np.ndarray]:
+    """A handle of the bit filter of hashes(hash); one value of fixed size goes through the driver."""
+    slot = F.shiftrightunsigned("hash", 64 - filter_bits)
+    found = hashes.select(F.shiftright(slot, 6).alias("word"), slot.bitwiseAND(63).cast("int").alias("bit")).groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits")).toArrow()
     bits = np.zeros(1 << (filter_bits - 6), np.uint64)
-    bits[rows["word"].to_numpy()] = rows["bits"].to_numpy().astype(np.uint64)
-    sent = phrases.sparkSession.sparkContext.broadcast(bits)
+    bits[found["word"].to_numpy()] = found["bits"].to_numpy().astype(np.uint64)
+    sent = hashes.sparkSession.sparkContext.broadcast(bits)
     return lambda: sent.value
 
 
 def frequent(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, sampled: int = SAMPLED, filter_bits: int = FILTER_BITS) -> DataFrame:
-    """lang, n (words), phrase and f of every phrase of up to `longest` words with f >= least; and for each lang, with n = 0, all its words."""
-    rows = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
-
-    def summed(part: DataFrame, now: Callable | None = None, before: Callable | None = None, at_least: int = least, own: int = 1) -> DataFrame:
-        counts = part.mapInArrow(_counted(now, before, longest, own), COUNTS)
-        return counts.groupBy("lang", "n", "phrase").agg(F.sum("f").alias("f")).where((F.col("f") >= at_least) | (F.col("n") == 0))
-
-    low = max(2, least // (2 * sampled)) if sampled > 1 else least
-    sample = rows.where(F.pmod(F.xxhash64("text"), F.lit(sampled)) == 0)
-    proposed = materialize(summed(sample, at_least=low, own=min(2, low)).where(F.col("n") > 0).select("lang", "n", "phrase"), "phrases-proposed")
-    now = _filter(proposed.where(F.col("n") < longest), longest, filter_bits)
-    found = materialize(summed(rows, now), "phrases-counted")
-    every, fresh = found, found
+    """lang, n (words), phrase and f of every phrase of up to `longest` words (4 at most) with f >= least; and for each lang, with n = 0, all its words."""
+    texts = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
+    parts = buckets(texts.agg(F.sum(F.octet_length("text"))).first()[0])
+
+    def found(part: DataFrame, name: str, at_least: int, now: Callable | None = None, before: Callable | None = None) -> DataFrame:
+        counts = part.mapInArrow(_hashed(now, before, longest, parts), PACKED)
+        return materialize(counts.groupBy("part").applyInArrow(_often(at_least), "hash long"), name)
+
+    sample = texts.where(F.pmod(F.xxhash64("text"), F.lit(sampled)) == 0)
+    proposed = found(sample, "phrases-proposed", max(2, least // (2 * sampled)) if sampled > 1 else least)
+    now = _filter(proposed, filter_bits)
+    every = fresh = found(texts, "phrases-found", least, now)
     while True:
-        failed = fresh.where(F.col("n").between(1, longest - 1)).select("lang", "n", "phrase").join(proposed, ["lang", "n", "phrase"], "left_anti")
+        # The two lowest bits tell the number of words; the longest phrases have no extensions to follow.
+        failed = fresh.where(F.col("hash").bitwiseAND(3) < longest - 1).join(proposed, "hash", "left_anti")
         if not failed.limit(1).count():
-            return every
+            break
         proposed = materialize(proposed.unionByName(failed), "phrases-proposed")
-        before, now = now, _filter(proposed.where(F.col("n") < longest), longest, filter_bits)
-        fresh = materialize(summed(rows, now, before), "phrases-counted")
+        before, now = now, _filter(proposed, filter_bits)
+        fresh = found(texts, "phrases-found", least, now, before)
         every = every.unionByName(fresh)
+    counts = texts.mapInArrow(_strings(_filter(every, filter_bits), longest), COUNTS).groupBy("lang", "n", "phrase").agg(F.sum("f").alias("f"))
+    return materialize(counts.where((F.col("f") >= least) | (F.col("n") == 0)), "phrases-counted")
 
 
 def _wide(c: Column | str) -> Column:

@@ -30,11 +30,11 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
+from .packed import ODD, PACKED, SCHEMA, Columns, buckets, gathered, mixed, pack, packed_rows, unpack
 
 LENGTH = 100
 #: Bytes of a piece whose hash may be a window's anchor.
@@ -43,8 +43,6 @@ PIECE = 24
 BLOCK, BLOCK_BITS = 1_000_000, 21
 #: Anchors that a task gathers before it packs them.
 GATHERED = 400_000
-#: Buckets grow as this power of the text's size in units of so many bytes; the size of one grows as the rest.
-UNIT, POWER = 2_000_000, 0.75
 #: Texts of one in so many hash values are read for frequent anchors, and the least share and number of those.
 SAMPLED, MOST_SHARE, LEAST_SEEN = 16, 1e-5, 64
 #: Suffixes that are compared byte by byte at once.
@@ -56,64 +54,20 @@ SPAN = ("<i8", "<i8", "<u4", "<u4")  # doc, tie, start, bytes
 WANT = ("<u8", "<i8", "<i8", "<u4", "u1", "u1")  # hash, doc, tie, start, windows less one, frequent
 TEXT = ("<i8", "<i8", "u1", "<u4")  # doc, tie, id is null, bytes
 CONTEXT = ("<i8", "<i8", "<u4", "u1")  # doc, tie, start, windows less one
-PACKED = "part int, kind int, data binary"
 RESULT = "doc_id long, spans array<struct<start:long,bytes:long>>, kept binary"
-_SCHEMA = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("data", pa.binary())])
-_ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)]
-
-Columns = list[np.ndarray]
-
-
-def _pack(columns: Columns, kinds: tuple[str, ...], payload: bytes = b"") -> bytes:
-    head = len(columns[0]).to_bytes(4, "little") + b"".join(np.ascontiguousarray(c, k).tobytes() for c, k in zip(columns, kinds, strict=True))
-    return zstandard.ZstdCompressor(level=1).compress(head + payload)
-
-
-def _unpack(data: bytes, kinds: tuple[str, ...]) -> tuple[Columns, memoryview]:
-    raw = memoryview(zstandard.ZstdDecompressor().decompress(data))
-    n, at, out = int.from_bytes(raw[:4], "little"), 4, []
-    for k in kinds:
-        size = n * np.dtype(k).itemsize
-        out.append(np.frombuffer(raw[at : at + size], k))
-        at += size
-    return out, raw[at:]
-
-
-def _gathered(table: pa.Table, kind: int, kinds: tuple[str, ...]) -> tuple[Columns, list[memoryview]]:
-    """All packed entries of a kind in a group."""
-    found = [_unpack(d, kinds) for k, d in zip(table["kind"].to_pylist(), table["data"], strict=True) if k == kind for d in [d.as_py()]]
-    return [np.concatenate([f[0][i] for f in found]) if found else np.zeros(0, k) for i, k in enumerate(kinds)], [f[1] for f in found]
-
-
-def _mixed(*values: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(values[0]), np.uint64)
-    for v in values:
-        out = (out + v.astype(np.uint64)) * _ODD[0]
-        out ^= out >> np.uint64(29)
-    out *= _ODD[2]
-    return out ^ (out >> np.uint64(32))
 
 
 def _home(doc: np.ndarray, tie: np.ndarray, parts: int) -> np.ndarray:
     """The part in which a text meets what is known about it."""
-    return _mixed(doc, tie) % np.uint64(parts)
-
-
-def _rows(part: np.ndarray, kind: int, columns: Columns, kinds: tuple[str, ...]) -> pa.RecordBatch:
-    """One packed row for each part."""
-    order = np.argsort(part, kind="stable")
-    ordered = part[order]
-    cut = np.concatenate([[0], np.flatnonzero(np.diff(ordered)) + 1, [len(order)]]) if len(order) else np.zeros(1, np.int64)
-    data = [_pack([c[order[a:b]] for c in columns], kinds) for a, b in zip(cut[:-1], cut[1:], strict=True)]
-    return pa.RecordBatch.from_arrays([pa.array(ordered[cut[:-1]].astype(np.int32)), pa.array([kind] * len(data), pa.int32()), pa.array(data, pa.binary())], schema=_SCHEMA)
+    return mixed(doc, tie) % np.uint64(parts)
 
 
 def _level(h: np.ndarray, step: int) -> np.ndarray:
     """Hashes of strings of twice the length, from those of two halves."""
-    x = h[:-step] * _ODD[0]
+    x = h[:-step] * ODD[0]
     x ^= x >> np.uint64(29)
     x += h[step:]
-    x *= _ODD[2]
+    x *= ODD[2]
     x ^= x >> np.uint64(32)
     return x
 
@@ -126,11 +80,11 @@ def anchors(data: np.ndarray, sizes: np.ndarray, length: int = LENGTH) -> tuple[
     none = np.zeros(0, np.int64)
     if len(data) < length:
         return none.astype(np.uint64), none.astype(np.uint64), none, none
-    h, n, levels = (data.astype(np.uint64) + np.uint64(1)) * _ODD[1], 1, {}
+    h, n, levels = (data.astype(np.uint64) + np.uint64(1)) * ODD[1], 1, {}
     while n * 2 <= length:
         h, n = _level(h, n), n * 2
         levels = {k: v for k, v in levels.items() if k in (PIECE - 16, 16)} | {n: h}
-    piece = _mixed(levels[16][: len(data) - PIECE + 1], levels[PIECE - 16][16 : len(data) - PIECE + 17])
+    piece = mixed(levels[16][: len(data) - PIECE + 1], levels[PIECE - 16][16 : len(data) - PIECE + 17])
     low = np.uint64(BLOCK_BITS)
     least = (piece >> low << low) | np.arange(len(piece), dtype=np.uint64)
     wide, n = length - PIECE + 1, 1
@@ -147,8 +101,8 @@ def anchors(data: np.ndarray, sizes: np.ndarray, length: int = LENGTH) -> tuple[
         return none.astype(np.uint64), none.astype(np.uint64), none, none
     begin, last = start[first], start[np.append(first[1:], len(start)) - 1]
     top = max(levels)
-    whole = lambda q: _mixed(levels[top][q], levels[top][q + length - top])
-    return piece[at[first]], _mixed(whole(begin), whole(last), last - begin, at[first] - begin), begin, last - begin
+    whole = lambda q: mixed(levels[top][q], levels[top][q + length - top])
+    return piece[at[first]], mixed(whole(begin), whole(last), last - begin, at[first] - begin), begin, last - begin
 
 
 def _texts(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -199,7 +153,7 @@ def _anchored(parts: int, frequent: np.ndarray, length: int) -> Callable:
     def flush(own: list[Columns]) -> Iterator[pa.RecordBatch]:
         h, c, doc, tie, start, more = (np.concatenate(x) for x in zip(*own, strict=True))
         # Contexts met more than once in this task: only the earliest goes on, the others are spans already.
-        both = _mixed(h, c)
+        both = mixed(h, c)
         order = np.argsort(both, kind="stable")
         same = both[order][1:] == both[order][:-1]
         again = np.zeros(len(order), bool)
@@ -207,12 +161,12 @@ def _anchored(parts: int, frequent: np.ndarray, length: int) -> Callable:
         again[order[:-1]] |= same
         alike = np.flatnonzero(again)
         later = alike[_later(*(x[alike] for x in (h, c, doc, tie, start)))]
-        yield _rows(_home(doc[later], tie[later], parts), SPANS, [doc[later], tie[later], start[later], more[later] + length], SPAN)
+        yield packed_rows(_home(doc[later], tie[later], parts), SPANS, [doc[later], tie[later], start[later], more[later] + length], SPAN)
         keep = np.ones(len(h), bool)
         keep[later] = False
         h, c, doc, tie, start, more = (x[keep] for x in (h, c, doc, tie, start, more))
-        part = np.where(np.isin(h, frequent), _mixed(h, c), _mixed(h)) % np.uint64(parts)
-        yield _rows(part, ANCHORS, [h, c, doc, tie, start, more], ANCHOR)
+        part = np.where(np.isin(h, frequent), mixed(h, c), mixed(h)) % np.uint64(parts)
+        yield packed_rows(part, ANCHORS, [h, c, doc, tie, start, more], ANCHOR)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: list[Columns] = []
@@ -248,9 +202,9 @@ def _passed(table: pa.Table) -> pa.Table:
 
 def _classes(parts: int, frequent: np.ndarray, length: int) -> Callable:
     def run(table: pa.Table) -> pa.Table:
-        (h, c, doc, tie, start, more), _ = _gathered(table, ANCHORS, ANCHOR)
+        (h, c, doc, tie, start, more), _ = gathered(table, ANCHORS, ANCHOR)
         later = _later(h, c, doc, tie, start)
-        out = [_rows(_home(doc[later], tie[later], parts), SPANS, [doc[later], tie[later], start[later], more[later].astype(np.uint32) + length], SPAN)]
+        out = [packed_rows(_home(doc[later], tie[later], parts), SPANS, [doc[later], tie[later], start[later], more[later].astype(np.uint32) + length], SPAN)]
         keep = np.ones(len(h), bool)
         keep[later] = False
         h, c, doc, tie, start, more = (x[keep] for x in (h, c, doc, tie, start, more))
@@ -258,8 +212,8 @@ def _classes(parts: int, frequent: np.ndarray, length: int) -> Callable:
         _, which, count = np.unique(h, return_inverse=True, return_counts=True)
         rest = (count[which] > 1) | often
         cols = [x[rest] for x in (h, doc, tie, start, more, often)]
-        out.append(_rows(_home(cols[1], cols[2], parts), WANTED, cols, WANT))
-        return pa.concat_tables([pa.Table.from_batches(out, _SCHEMA), _passed(table).cast(_SCHEMA)])
+        out.append(packed_rows(_home(cols[1], cols[2], parts), WANTED, cols, WANT))
+        return pa.concat_tables([pa.Table.from_batches(out, SCHEMA), _passed(table).cast(SCHEMA)])
 
     return run
 
@@ -272,8 +226,8 @@ def _packed_texts(parts: int) -> Callable:
             for p in np.unique(part):
                 k = np.flatnonzero(part == p)
                 payload = b"".join(data[bounds[i] : bounds[i + 1]].tobytes() for i in k)
-                own = _pack([doc[k], tie[k], none[k], bounds[k + 1] - bounds[k]], TEXT, payload)
-                yield pa.RecordBatch.from_arrays([pa.array([int(p)], pa.int32()), pa.array([TEXTS], pa.int32()), pa.array([own], pa.binary())], schema=_SCHEMA)
+                own = pack([doc[k], tie[k], none[k], bounds[k + 1] - bounds[k]], TEXT, payload)
+                yield pa.RecordBatch.from_arrays([pa.array([int(p)], pa.int32()), pa.array([TEXTS], pa.int32()), pa.array([own], pa.binary())], schema=SCHEMA)
 
     return run
 
@@ -284,7 +238,7 @@ def _places(table: pa.Table) -> tuple[dict[tuple[int, int], memoryview], list[tu
     for k, d in zip(table["kind"].to_pylist(), table["data"], strict=True):
         if k != TEXTS:
             continue
-        (doc, tie, none, size), payload = _unpack(d.as_py(), TEXT)
+        (doc, tie, none, size), payload = unpack(d.as_py(), TEXT)
         at = 0
         for row in zip(doc.tolist(), tie.tolist(), none.tolist(), size.tolist(), strict=True):
             own = payload[at : at + row[3]]
@@ -296,9 +250,9 @@ def _places(table: pa.Table) -> tuple[dict[tuple[int, int], memoryview], list[tu
 
 def _fetched(parts: int, length: int) -> Callable:
     def run(table: pa.Table) -> pa.Table:
-        (h, doc, tie, start, more, often), _ = _gathered(table, WANTED, WANT)
+        (h, doc, tie, start, more, often), _ = gathered(table, WANTED, WANT)
         texts, _ = _places(table)
-        part = (_mixed(h) % np.uint64(parts)).tolist()
+        part = (mixed(h) % np.uint64(parts)).tolist()
         own: dict[int, list] = {}
         least: dict[bytes, tuple[int, int, int]] = {}
         spans = []
@@ -318,11 +272,11 @@ def _fetched(parts: int, length: int) -> Callable:
         out = []
         for p, rows in own.items():
             cols = [np.array(x) for x in list(zip(*(r[:4] for r in rows), strict=True))]
-            out.append({"part": p, "kind": CONTEXTS, "data": _pack(cols, CONTEXT, b"".join(r[4] for r in rows))})
+            out.append({"part": p, "kind": CONTEXTS, "data": pack(cols, CONTEXT, b"".join(r[4] for r in rows))})
         if spans:
             cols = [np.array(x) for x in zip(*spans, strict=True)]
-            out += _rows(_home(cols[0], cols[1], parts), SPANS, cols, SPAN).to_pylist()
-        return pa.Table.from_pylist(out, _SCHEMA)
+            out += packed_rows(_home(cols[0], cols[1], parts), SPANS, cols, SPAN).to_pylist()
+        return pa.Table.from_pylist(out, SCHEMA)
 
     return run
 
@@ -363,8 +317,8 @@ def previous_factors(strings: np.ndarray, place: np.ndarray) -> np.ndarray:
 
 def _factors(parts: int, length: int) -> Callable:
     def run(table: pa.Table) -> pa.Table:
-        (doc, tie, start, more), payloads = _gathered(table, CONTEXTS, CONTEXT)
-        passed = _passed(table).cast(_SCHEMA)
+        (doc, tie, start, more), payloads = gathered(table, CONTEXTS, CONTEXT)
+        passed = _passed(table).cast(SCHEMA)
         if not len(doc):
             return passed
         data = np.frombuffer(b"".join(payloads), np.uint8)
@@ -385,8 +339,8 @@ def _factors(parts: int, length: int) -> Callable:
         first = found[new]
         last = found[np.append(np.flatnonzero(new)[1:], len(found)) - 1] if len(found) else found
         k = which[first]
-        own = _rows(_home(doc[k], tie[k], parts), SPANS, [doc[k], tie[k], start[k] + step[first], last - first + length], SPAN)
-        return pa.concat_tables([pa.Table.from_batches([own], _SCHEMA), passed])
+        own = packed_rows(_home(doc[k], tie[k], parts), SPANS, [doc[k], tie[k], start[k] + step[first], last - first + length], SPAN)
+        return pa.concat_tables([pa.Table.from_batches([own], SCHEMA), passed])
 
     return run
 
@@ -401,7 +355,7 @@ def _merged(start: np.ndarray, size: np.ndarray) -> list[tuple[int, int]]:
 
 def _removed(length: int) -> Callable:
     def run(table: pa.Table) -> pa.Table:
-        (doc, tie, start, size), _ = _gathered(table, SPANS, SPAN)
+        (doc, tie, start, size), _ = gathered(table, SPANS, SPAN)
         order = np.lexsort((tie, doc))
         doc, tie, start, size = (x[order] for x in (doc, tie, start, size))
         cut = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (tie[1:] != tie[:-1]))) if len(doc) else np.zeros(0, np.int64)
@@ -436,7 +390,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     total, ids, count, holes = rows.agg(F.sum(F.octet_length("text")), F.count_distinct("id"), F.count(F.lit(1)), F.count_if(F.col("id").isNull())).first()
     tie = F.lit(0).cast("long") if ids == count and not holes else F.xxhash64("text")
     rows = rows.select(F.coalesce("id", F.lit(-(1 << 63))).alias("doc"), tie.alias("tie"), F.col("id").isNull().cast("byte").alias("none"), "text")
-    parts = max(1, math.ceil(((total or 0) / UNIT) ** POWER))
+    parts = buckets(total)
     sample = rows.where(F.pmod(F.xxhash64("doc", "tie", F.lit(12)), F.lit(SAMPLED)) == 0)
     counts = sample.mapInArrow(_frequent(length), "hash long, n long, anchors long")
     seen = counts.agg(F.sum("anchors")).first()[0] or 0

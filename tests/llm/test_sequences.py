@@ -111,9 +111,10 @@ def planted_texts(seed):
 @pytest.mark.parametrize("unit,seen", [(2_000_000, 64), (300, 4)])
 def test_repeats_match_brute_force(spark, monkeypatch, unit, seen):
     """At the usual size, and with many buckets and many anchors taken for frequent ones."""
+    from cellweave.llm import packed
     from cellweave.llm import repeated_text as R
 
-    monkeypatch.setattr(R, "UNIT", unit)
+    monkeypatch.setattr(packed, "UNIT", unit)
     monkeypatch.setattr(R, "LEAST_SEEN", seen)
     monkeypatch.setattr(R, "SAMPLED", 1 if seen < 64 else 16)
     texts = planted_texts(3)
