@@ -10,7 +10,7 @@
    strings of what was found, and that count decides.
 
 Sets of phrases go to the tasks as bit filters of 16 MB at every size. What a filter lets through by chance is counted exactly,
-like the rest; so a full filter costs work and changes no result. Hashed counts travel packed by bucket, strings as rows.
+like the rest; so a full filter costs work and changes no result. Counts travel packed by bucket. A lang holds no zero character.
 
 Defined results: null or empty text holds no word; null lang is `und`; doc_id is not read, so null and repeated ids and repeated rows
 are ordinary rows; an empty table gives an empty table; other columns are not read. Words keep all characters but A to Z, which become
@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize
-from .packed import PACKED, buckets, gathered, packed_rows
+from .packed import PACKED, SCHEMA, buckets, gathered, pack, packed_rows, unpack
 
 LEAST, LONGEST, TOP = 30, 4, 2000
 #: Score of a cut: floor(SCALE * a / (l + r)). A candidate goes if a longer one that holds it has at least this percentage of its count.
@@ -41,6 +41,8 @@ FILTER_BITS = 27
 BLOCK, GATHERED = 1_000_000, 1_000_000
 #: A packed count: hash and number.
 HASHED = ("<u8", "<u4")
+#: A packed count with its string: words, lang's place among the names before the strings, number and bytes.
+STRING = ("u1", "<u4", "<u4", "<u4")
 COUNTS = "lang string, n int, phrase string, f long"
 #: The marks that end a piece and the spaces between words, fixed by the contract.
 MARKS, SPACES = b".,;:!?\n\x0b\x0c\r", b" \t"
@@ -203,20 +205,27 @@ def _often(least: int) -> Callable:
     return run
 
 
-def _strings(wanted: Callable, longest: int) -> Callable:
-    """Counts of the phrases that a filter holds, as strings, and all words of each lang with n = 0."""
-    kinds = [pa.large_string(), pa.int32(), pa.large_string(), pa.int64()]
-    names_of = ["lang", "n", "phrase", "f"]
+def _strings(wanted: Callable, longest: int, parts: int) -> Callable:
+    """Packed counts of the phrases that a filter holds, with their strings, and all words of each lang with n = 0."""
 
-    def flush(found: list[tuple], names: list[str]) -> Iterator[pa.RecordBatch]:
+    def flush(found: list[tuple], names: list[str]) -> pa.RecordBatch:
         h, n, lang, f = (np.concatenate([x[k] for x in found]) for k in range(4))
-        text = pa.chunked_array([x[4] for x in found])
+        text = pa.chunked_array([x[4] for x in found]).combine_chunks()
         _, first, which = np.unique(h, return_index=True, return_inverse=True)
         f = np.bincount(which, f).astype(np.int64)
-        for a in range(0, len(first), 100_000):
-            k = first[a : a + 100_000]
-            phrase = text.take(pa.array(k)).combine_chunks()
-            yield pa.RecordBatch.from_arrays([pa.array([names[x] for x in lang[k].tolist()], kinds[0]), pa.array(n[k], kinds[1]), phrase.chunk(0) if isinstance(phrase, pa.ChunkedArray) else phrase, pa.array(f[a : a + 100_000])], names=names_of)
+        part = (h[first] >> np.uint64(20)) % np.uint64(parts)
+        order = np.argsort(part, kind="stable")
+        first, f, part = first[order], f[order], part[order]
+        bounds = np.append(np.flatnonzero(np.diff(part, prepend=-1)), len(part)) if len(part) else np.zeros(1, np.int64)
+        data = []
+        for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+            k = first[a:b]
+            own = text.take(pa.array(k))
+            ends = np.frombuffer(own.buffers()[1], np.int64)[: len(own) + 1]
+            tag = "\0".join(names).encode()
+            payload = len(tag).to_bytes(4, "little") + tag + bytes(memoryview(own.buffers()[2] or b"")[: ends[-1]])
+            data.append(pack([n[k], lang[k], f[a:b], np.diff(ends)], STRING, payload))
+        return pa.RecordBatch.from_arrays([pa.array(part[bounds[:-1]].astype(np.int32)), pa.array([0] * len(data), pa.int32()), pa.array(data, pa.binary())], schema=SCHEMA)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = wanted()
@@ -233,12 +242,32 @@ def _strings(wanted: Callable, longest: int) -> Callable:
                 found.append((own, np.full(len(own), n), w.lang[at], f, w.phrases(at, n)))
                 size += len(own)
             if size >= GATHERED:
-                yield from flush(found, names)
+                yield flush(found, names)
                 found, size = [], 0
-        if found:
-            yield from flush(found, names)
         if total:
-            yield pa.RecordBatch.from_arrays([pa.array(list(total), kinds[0]), pa.array([0] * len(total), kinds[1]), pa.array([""] * len(total), kinds[2]), pa.array(list(total.values()), kinds[3])], names=names_of)
+            own = [names.index(x) for x in total]
+            found.append((np.array([_seed(x) for x in total], np.uint64), np.zeros(len(own), int), np.array(own), np.array(list(total.values())), pa.array([""] * len(own), pa.large_string())))
+            yield flush(found, names)
+
+    return run
+
+
+def _summed(least: int) -> Callable:
+    """The strings of a bucket with their counts, from the least one on."""
+
+    def run(table: pa.Table) -> pa.Table:
+        total: dict[tuple[str, int, bytes], int] = {}
+        for d in table["data"]:
+            (n, lang, f, size), payload = unpack(d.as_py(), STRING)
+            tag = 4 + int.from_bytes(payload[:4], "little")
+            names, at, text = bytes(payload[4:tag]).decode().split("\0"), 0, bytes(payload[tag:])
+            for k, x, c, m in zip(n.tolist(), lang.tolist(), f.tolist(), size.tolist(), strict=True):
+                key = names[x], k, text[at : at + m]
+                total[key] = total.get(key, 0) + c
+                at += m
+        kept = [(*k, f) for k, f in total.items() if f >= least or k[1] == 0]
+        lang, n, phrase, f = zip(*kept, strict=True) if kept else ((), (), (), ())
+        return pa.table([pa.array(lang, pa.string()), pa.array(n, pa.int32()), pa.array([x.decode() for x in phrase], pa.string()), pa.array(f, pa.int64())], names=["lang", "n", "phrase", "f"])
 
     return run
 
@@ -275,8 +304,8 @@ def frequent(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, sample
         before, now = now, _filter(proposed, filter_bits)
         fresh = found(texts, "phrases-found", least, now, before)
         every = every.unionByName(fresh)
-    counts = texts.mapInArrow(_strings(_filter(every, filter_bits), longest), COUNTS).groupBy("lang", "n", "phrase").agg(F.sum("f").alias("f"))
-    return materialize(counts.where((F.col("f") >= least) | (F.col("n") == 0)), "phrases-counted")
+    strings = texts.mapInArrow(_strings(_filter(every, filter_bits), longest, parts), PACKED)
+    return materialize(strings.groupBy("part").applyInArrow(_summed(least), COUNTS), "phrases-counted")
 
 
 def _wide(c: Column | str) -> Column:
