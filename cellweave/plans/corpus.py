@@ -25,9 +25,10 @@ def gene_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {_INFO}, n AS (SELECT l_orderkey cell, 'ensrnog' || lpad(CAST(l_partkey AS VARCHAR), 11, '0') || '.' || (l_partkey % 3) gene, sum(l_quantity) count FROM lineitem WHERE l_partkey % 40 > 0 OR l_orderkey % 20 = 0 GROUP BY 1, 2),
-    s AS (SELECT g FROM i WHERE upper(c) = 'Y'), d AS (SELECT g FROM i WHERE b <> 'Brand#3'), e AS (SELECT 'ensrnog' || lpad(CAST(p_partkey AS VARCHAR), 11, '0') || '.1' g FROM part WHERE p_size = 3),
-    k AS (SELECT gene FROM n WHERE upper(split_part(gene, '.', 1)) IN (SELECT g FROM d) AND upper(split_part(gene, '.', 1)) NOT IN (SELECT g FROM s) AND gene NOT IN (SELECT g FROM e) GROUP BY 1 HAVING count(*) >= 3) SELECT cell, gene, count FROM n WHERE gene IN (SELECT gene FROM k)"""
+    f"""WITH {_INFO}, o AS (SELECT DISTINCT l_partkey k FROM lineitem), m AS (SELECT k, 'ensrnog' || lpad(CAST(k AS VARCHAR), 11, '0') || '.' || (k % 3) gene, 'ENSRNOG' || lpad(CAST(k AS VARCHAR), 11, '0') id FROM o),
+    n AS (SELECT l_orderkey cell, l_partkey k, sum(l_quantity) count FROM lineitem WHERE l_partkey % 40 > 0 OR l_orderkey % 20 = 0 GROUP BY 1, 2), t AS (SELECT k FROM n GROUP BY 1 HAVING count(*) >= 3),
+    s AS (SELECT DISTINCT g FROM i WHERE upper(c) = 'Y'), d AS (SELECT DISTINCT g FROM i WHERE b <> 'Brand#3'), e AS (SELECT 'ensrnog' || lpad(CAST(p_partkey AS VARCHAR), 11, '0') || '.1' g FROM part WHERE p_size = 3),
+    k AS (SELECT m.k, m.gene FROM m JOIN t ON t.k = m.k JOIN d ON d.g = m.id LEFT JOIN s ON s.g = m.id LEFT JOIN e ON e.g = m.gene WHERE s.g IS NULL AND e.g IS NULL) SELECT n.cell, k.gene, n.count FROM n JOIN k ON k.k = n.k"""
 )
 def clean_genes(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = lambda k, v: F.concat(F.lit("ensrnog"), F.lpad(k.cast("string"), 11, "0"), F.lit("."), v)

@@ -129,7 +129,7 @@ def covariate_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """WITH s AS (SELECT l_suppkey k, l_partkey g, round(avg(l_discount) - 0.05, 6) v FROM lineitem GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY v DESC, g) r FROM s), b AS (SELECT DISTINCT p_brand n FROM part),
     x AS (SELECT r.k, r.r, b.n, abs(v) w, p.p_partkey IS NOT NULL h FROM r, b LEFT JOIN part p ON p.p_partkey = r.g AND p.p_brand = b.n), t AS (SELECT k, n, count(*) FILTER (h) m, count(*) a, sum(w) FILTER (h) w FROM x GROUP BY 1, 2),
     c AS (SELECT x.k, x.n, t.m, sum(CASE WHEN h THEN x.w / t.w ELSE -1.0 / (t.a - t.m) END) OVER (PARTITION BY x.k, x.n ORDER BY r) e FROM x JOIN t ON t.k = x.k AND t.n = x.n WHERE t.m > 0 AND t.w > 0)
-    SELECT k AS block, n AS name, m AS size, round(CASE WHEN round(max(e), 9) >= -round(min(e), 9) THEN max(e) ELSE min(e) END, 6) AS es FROM c GROUP BY 1, 2, 3"""
+    SELECT k AS block, n AS name, m AS size, round(CASE WHEN round(max(e), 9) >= -round(min(e), 9) THEN round(max(e), 9) ELSE round(min(e), 9) END, 6) AS es FROM c GROUP BY 1, 2, 3"""
 )
 def gene_set_enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
     stats = _t(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("block"), F.col("l_partkey").alias("gene")).agg(F.round(F.avg("l_discount") - 0.05, 6).alias("stat"))

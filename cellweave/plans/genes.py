@@ -231,9 +231,9 @@ def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.aggregate_edges(lines.select(F.col("l_suppkey").alias("tf"), (F.col("l_orderkey") % 50).alias("cell"), (F.col("l_partkey") % 300).alias("target"), (F.col("l_discount") - 0.05 + F.col("l_quantity") / 10000).alias("shift")), 3, 0.1)
 
 
-@query(f"WITH {_EDGES} SELECT tf, target, round(delta, 6) AS delta, support FROM e")
+@query(f"WITH {_EDGES} SELECT tf, target, round(round(delta, 9), 6) AS delta, support FROM e")
 def edge_support(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _edges(spark, sf_dir).select("tf", "target", F.round("delta", 6).alias("delta"), "support")
+    return _edges(spark, sf_dir).select("tf", "target", F.round(F.round("delta", 9), 6).alias("delta"), "support")
 
 
 @query(f"WITH {_EDGES}, r AS (SELECT *, row_number() OVER (PARTITION BY tf ORDER BY abs(round(delta, 9)) DESC, target) r FROM e) SELECT tf, target, round(delta, 6) AS delta, CAST(r AS INTEGER) AS rank FROM r WHERE r <= 10")
@@ -268,12 +268,12 @@ def _int(c: Column) -> Column:
 
 @query(
     """WITH t AS (SELECT o_orderkey k, CAST(o_orderkey % 6 AS INTEGER) m, CAST(o_orderkey % 9 AS INTEGER) n, (o_orderkey % 97 + 1) / 100 p FROM orders), c AS (SELECT n, unnest(range(0, n + 1)) i FROM range(0, 9) r(n)), w AS (SELECT n, i, factorial(CAST(n AS INTEGER)) / factorial(CAST(i AS INTEGER)) / factorial(CAST(n - i AS INTEGER)) w FROM c)
-    SELECT k, CASE WHEN t.n > 0 THEN round(coalesce(sum(CAST(w AS DOUBLE) * p ** i * (1 - p) ** (t.n - i)) FILTER (i >= m), 0), 6) END AS p_upper FROM t JOIN w USING (n) GROUP BY k, t.n"""
+    SELECT k, CASE WHEN t.n > 0 THEN round(round(coalesce(sum(CAST(w AS DOUBLE) * p ** i * (1 - p) ** (t.n - i)) FILTER (i >= m), 0), 9), 6) END AS p_upper FROM t JOIN w USING (n) GROUP BY k, t.n"""
 )
 def binomial_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
     tail = S.binomial_tail(_int(k % 6), _int(k % 9), (k % 97 + 1) / F.lit(100))
-    return _t(spark, sf_dir, "orders").select(k.alias("k"), F.round(tail, 6).alias("p_upper"))
+    return _t(spark, sf_dir, "orders").select(k.alias("k"), F.round(F.round(tail, 9), 6).alias("p_upper"))
 
 
 @query(
