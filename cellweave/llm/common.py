@@ -45,3 +45,16 @@ def words(text: Column) -> Column:
 def let(value: Column, body) -> Column:
     """body(value) with value worked out once for the row, bound as a lambda variable."""
     return F.transform(F.array(value), body)[0]
+
+
+def fresh(columns: list[str], name: str) -> str:
+    """A column name like `name` that none of columns has, upper and lower case alike."""
+    taken, out = {c.lower() for c in columns}, f"_{name}"
+    while out.lower() in taken:
+        out = f"_{out}"
+    return out
+
+
+def quoted(name: str) -> Column:
+    """The column of exactly this name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")

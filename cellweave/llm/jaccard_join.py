@@ -4,11 +4,17 @@ Sets are taken by bands of size, each at most 4/3 of the one below, so linked se
 a pair of neighbouring bands, the universe of shingles is dealt by hash into m segments. Linked sets differ in at most
 H = floor((size + size) / 7) shingles, so
 
-- with m = H + 1 + c segments, they agree in at least c + 1: each set may leave out its c commonest segments (counted
-  over the whole table, ties by hash) and still shares one with every set that it links to. A set that has no more than
-  c segments in common with any others links with nothing and goes;
+- with m = H + 1 + c segments, they agree in at least c + 1. An empty segment tells nothing and is no signature: a set of
+  size s with `full` segments that are not empty, which differs from its partners in at most h(s) shingles, agrees with each in
+  full - h(s) of those. So it may leave out all but h(s) + 1 of them, the commonest first (counted over the whole table, ties
+  by hash), and still shares one with every set that it links to;
 - with m = ceil((H + 1) / 2) segments, they agree in one up to one shingle, so they share a segment or a segment less
-  one shingle (its one-deletion neighbourhood).
+  one shingle (its one-deletion neighbourhood); segments of fewer than two shingles tell nothing here, and a set needs more of
+  the others than h(s) / 2.
+
+A set whose shingles fall into too few segments for that is dealt again by another hash, and again, up to LEVELS times. Two
+linked sets both have the signatures of the first dealing that is good enough for one of them, and so share one. Sets
+for which no dealing is good enough (a few in 10^15 of three shingles) share one signature.
 
 Which of the two a band uses is set by its estimated cost from the number of sets in it: signatures written, and
 candidates expected; deletion neighbourhoods are for small sets, where they stay short. Sets are deduplicated first;
@@ -33,18 +39,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, materialize
+from .common import SPACE, fresh, materialize, quoted
 from .components import components
 from .tokens import release, slices
 
 WORDS = 5
 BLOCK, SMALL = 2_048, 24
+#: Dealings that a set is given to fill enough segments.
+LEVELS = 16
 #: Least and most bits, as powers of two, of the filter that finds candidates' rows before their texts are shuffled.
 FILTER_BITS = (16, 28)
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 
-SIGNATURE = np.dtype([("key", "<u4"), ("group", "u1"), ("set", "<i8")])
-MEMBER = np.dtype([("set", "<i8"), ("group", "u1"), ("sig", "<u8"), ("count", "<u4")])
+SIGNATURE = np.dtype([("key", "<u4"), ("group", "u1"), ("spare", "<u2"), ("set", "<i8")])
+MEMBER = np.dtype([("set", "<i8"), ("group", "u1"), ("spare", "<u2"), ("sig", "<u8"), ("count", "<u4")])
 KEPT = np.dtype([("sig", "<u8"), ("set", "<i8")])
 
 
@@ -123,32 +131,50 @@ def allocate(sets_in_band: dict[int, int], recurring: float = 0.2, per_candidate
     return out
 
 
+def apart(size: np.ndarray, group: int) -> np.ndarray:
+    """h(s): the shingles in which a set of a group and one that links to it differ at most."""
+    return (size + np.minimum(int(EDGES[group + 2]) - 1, 4 * size // 3)) // 7
+
+
 def signatures(sets: list[np.ndarray], names: np.ndarray, plan: dict[int, tuple[int, int, bool]]) -> tuple[np.ndarray, np.ndarray]:
     """Signature hashes and records (without the key) of all sets in both groups of their bands."""
-    sizes = np.array([len(s) for s in sets])
+    sizes = np.array([len(s) for s in sets], np.int64)
     bands, sigs, recs = band(sizes), [], []
-    for g in {int(b) - d for b in np.unique(bands) for d in (0, 1) if b >= d}:
-        segments, _, deletions = plan[g]
-        own = np.flatnonzero((bands == g) | (bands == g + 1))
-        flat = np.concatenate([sets[k] for k in own])
-        row = np.repeat(np.arange(len(own)), sizes[own])
-        segment = (_mix(flat ^ np.uint64((g + 1) * 0x9E37)) >> np.uint64(8)) % np.uint64(segments)
-        weight = _mix(flat + _ODD[2])
-        place = row * segments + segment.astype(np.int64)
-        order = np.argsort(place, kind="stable")
-        at, first = np.unique(place[order], return_index=True)
-        total = np.zeros(len(own) * segments, np.uint64)
-        total[at] = np.add.reduceat(weight[order], first)
-        salt = lambda p: (p % segments + 1).astype(np.uint64) * _ODD[3] + np.array([g], np.uint64) * _ODD[4]
-        parts, rows = [_mix(total + salt(np.arange(len(total))))], [np.repeat(np.arange(len(own)), segments)]
-        if deletions:
-            parts.append(_mix(total[place] - weight + salt(place)))
-            rows.append(row)
-        sig, who = np.concatenate(parts), np.concatenate(rows)
+
+    def add(sig: np.ndarray, group: int, who: np.ndarray, spare: np.ndarray) -> None:
         rec = np.zeros(len(sig), SIGNATURE)
-        rec["group"], rec["set"] = g, names[own][who]
+        rec["group"], rec["set"], rec["spare"] = group, names[who], np.minimum(spare, 65_535)
         sigs.append(sig)
         recs.append(rec)
+
+    for g in {int(b) - d for b in np.unique(bands) for d in (0, 1) if b >= d}:
+        segments, _, deletions = plan[g]
+        own = np.flatnonzero((bands == g) | (bands == g + 1))
+        for level in range(LEVELS):
+            flat = np.concatenate([sets[k] for k in own])
+            row = np.repeat(np.arange(len(own)), sizes[own])
+            dealt = _mix(flat ^ np.uint64((g + 1) * 0x9E37 + (level << 32))) >> np.uint64(8)
+            place = row * segments + (dealt % np.uint64(segments)).astype(np.int64)
+            weight = _mix(flat + _ODD[2])
+            order = np.argsort(place, kind="stable")
+            at, first, filled = np.unique(place[order], return_index=True, return_counts=True)
+            total = np.add.reduceat(weight[order], first)
+            h = apart(sizes[own], g)
+            full = np.bincount((at if not deletions else at[filled > 1]) // segments, minlength=len(own))
+            good = full > (h // 2 if deletions else h)
+            spare = np.where(good, full - h - 1, 0) if not deletions else np.zeros(len(own), np.int64)
+            salt = lambda p: (p % segments + 1).astype(np.uint64) * _ODD[3] + np.array([g + (level << 8)], np.uint64) * _ODD[4]  # noqa: B023, E731
+            add(_mix(total + salt(at)), g, own[at // segments], spare[at // segments])
+            if deletions:
+                size, sums = np.zeros(len(own) * segments, np.int64), np.zeros(len(own) * segments, np.uint64)
+                size[at], sums[at] = filled, total
+                more = size[place] > 1
+                add(_mix(sums[place[more]] - weight[more] + salt(place[more])), g, own[row[more]], np.zeros(int(more.sum()), np.int64))
+            own = own[~good]
+            if not len(own):
+                break
+        else:
+            add(np.full(len(own), _mix(np.array([g], np.uint64))[0]), g, own, np.zeros(len(own), np.int64))
     if not sigs:
         return np.empty(0, np.uint64), np.empty(0, SIGNATURE)
     return np.concatenate(sigs), np.concatenate(recs)
@@ -224,20 +250,20 @@ def families(docs: DataFrame, plan: dict[int, tuple[int, int, bool]], buckets: i
         count = np.repeat(count, count)
         r, count = r[count > 1], count[count > 1]
         out = np.zeros(len(r), MEMBER)
-        out["set"], out["group"], out["count"] = r["set"], r["group"], count
+        out["set"], out["group"], out["spare"], out["count"] = r["set"], r["group"], r["spare"], count
         # A deletion neighbourhood's bucket and key may meet another group's; the group keeps them apart.
         out["sig"] = _mix(r["key"].astype(np.uint64) + (np.uint64(table["bucket"][0].as_py()) << np.uint64(32)) + r["group"] * _ODD[0])
         return pa.Table.from_batches([_blobs(r["set"].astype(np.uint64) % np.uint64(buckets), out)])
 
     def spare(table: pa.Table) -> pa.Table:
-        """Each set leaves out its commonest signatures, as many as its group allows; dealt by signature."""
+        """Each set leaves out its commonest signatures, as many as it may; dealt by signature. Dealings that were not good enough spare none."""
         r = _joined(table, MEMBER)
-        r = r[np.lexsort((r["sig"], r["count"], r["group"], r["set"]))]
+        r = r[np.lexsort((r["sig"], r["count"], r["spare"], r["group"], r["set"]))]
         starts = np.ones(len(r), bool)
-        starts[1:] = (r["set"][1:] != r["set"][:-1]) | (r["group"][1:] != r["group"][:-1])
+        starts[1:] = (r["set"][1:] != r["set"][:-1]) | (r["group"][1:] != r["group"][:-1]) | (r["spare"][1:] != r["spare"][:-1])
         first = np.flatnonzero(starts)
         size = np.diff(np.append(first, len(r)))
-        left = size - np.array([plan[int(g)][1] for g in r["group"][first]], np.int64)
+        left = size - r["spare"][first].astype(np.int64)
         keep = np.arange(len(r)) - np.repeat(first, size) < np.repeat(left, size)
         out = np.zeros(int(keep.sum()), KEPT)
         out["sig"], out["set"] = r["sig"][keep], r["set"][keep]
@@ -412,14 +438,15 @@ def deduplicate(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text
     fold are found by a bit filter first, so that only they, and the few that the filter mistakes, are shuffled.
     """
     columns = docs.columns
-    row = F.xxhash64(*columns, *[F.col(c).isNull() for c in columns])  # the hash alone passes over nulls
+    key, hit, keep = (fresh(columns, c) for c in ("row", "hit", "keep"))
+    row = F.xxhash64(*[quoted(c) for c in columns], *[quoted(c).isNull() for c in columns])  # the hash alone passes over nulls
     per = rooted(docs, percent, id_col=id_col, text_col=text_col, row=row).groupBy("root", "doc_id", "row").agg(F.count(F.lit(1)).alias("copies"))
     per = materialize(per, "dedup-rows")
     first = per.where("root is not null").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("r")).select("root", F.col("r.row").alias("first"))
-    grouped = per.join(first, "root").where("row <> first or copies > 1").select("row", (F.col("row") == F.col("first")).alias("keep"))
-    blank = per.where("root is null and doc_id is not null and copies > 1").select("row", F.lit(True).alias("keep"))
+    grouped = per.join(first, "root").where("row <> first or copies > 1").select(F.col("row").alias(key), (F.col("row") == F.col("first")).alias(keep))
+    blank = per.where("root is null and doc_id is not null and copies > 1").select(F.col("row").alias(key), F.lit(True).alias(keep))
     special = materialize(grouped.unionByName(blank), "dedup-special")
-    place = lambda bits: F.pmod(F.xxhash64("row"), F.lit(bits))
+    place = lambda bits: F.pmod(F.xxhash64(key), F.lit(bits))
     bits, bitmap = bit_filter(special, place)
     sent = docs.sparkSession.sparkContext.broadcast(bitmap)  # of at most 2**28 bits
 
@@ -429,7 +456,8 @@ def deduplicate(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text
         return pa.array((sent.value[x >> 6] >> (x & 63)) & 1 == 1)
 
     alone = F.col(id_col).isNull() & (F.trim(F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.lit(SPACE)) == "")
-    own = docs.withColumn("row", row).withColumn("_hit", marked(place(bits)) & ~alone)
+    own = docs.withColumn(key, row).withColumn(hit, marked(place(bits)) & ~alone)
+    columns = [quoted(c) for c in columns]
     # A row key that occurs twice is among the special ones, so folding loses nothing of the rows met by mistake.
-    met = own.where("_hit").dropDuplicates(["row"]).join(special.hint("shuffle_merge"), "row", "left").where("keep is null or keep")
-    return own.where("not _hit").select(*columns).unionByName(met.select(*columns))
+    met = own.where(hit).dropDuplicates([key]).join(special.hint("shuffle_merge"), key, "left").where(F.coalesce(keep, F.lit(True)))
+    return own.where(~F.col(hit)).select(*columns).unionByName(met.select(*columns))

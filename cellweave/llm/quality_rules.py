@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, let, materialize, words
+from .common import SPACE, fresh, let, materialize, words
 
 #: Rules of a document, fixed by the contract.
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 10, 20, 5
@@ -57,16 +57,17 @@ def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: F.trim(x, F.lit(SPACE)) != "")
     per_words = let(words(F.col(text_col)), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), repeated_words(w).alias("n_repeat_words")))
-    out = docs.withColumn("_w", per_words).withColumn("_lines", let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))))
+    w, n_lines = fresh(docs.columns, "w"), fresh(docs.columns, "lines")
+    out = docs.withColumn(w, per_words).withColumn(n_lines, let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))))
     out = out.withColumns(
         {
-            "n_words": F.col("_w.n_words"),
+            "n_words": F.col(f"{w}.n_words"),
             "word_chars": F.char_length(_without(text, SPACE)).cast("long"),
             "n_symbols": (F.octet_length(text) - F.octet_length(_without(text, SYMBOLS))).cast("long"),
-            "n_dup_lines": F.col("_lines").cast("long"),
-            "n_repeat_words": F.col("_w.n_repeat_words"),
+            "n_dup_lines": F.col(n_lines).cast("long"),
+            "n_repeat_words": F.col(f"{w}.n_repeat_words"),
         }
-    ).drop("_w", "_lines")
+    ).drop(w, n_lines)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     return out.withColumn("base_failed", failed)
 
@@ -104,5 +105,7 @@ def judge(docs: DataFrame, text_col: str = "text", host_col: str = "source", car
         measured = measured.select(*[c for c in carry if c not in names], *([host_col] if host_col not in carry else []), *names)
     measured = materialize(measured, "rules-measured")
     verdict = host_verdicts(measured, host_col, limit)
-    out = measured.join(verdict.select("_host", "host_rate", "host_ok"), F.col(host_col) == F.col("_host"), "left").drop("_host")
+    measured = measured.drop("host_rate", "host_ok")  # a column that bears a result's name gives way to it
+    host = fresh(measured.columns, "host")
+    out = measured.join(verdict.select(F.col("_host").alias(host), "host_rate", "host_ok"), F.col(host_col) == F.col(host), "left").drop(host)
     return out.withColumn("kept", ~F.col("base_failed") & F.coalesce("host_ok", F.lit(True)))
