@@ -221,3 +221,53 @@ def test_collocations_of_nothing_and_long_text(spark):
     n = BLOCK // 8 + 5
     got = {r.phrase: r.f for r in frequent(spark.createDataFrame([("en", "aaa bbb." * n)], "lang string, text string")).collect()}
     assert got == {"": 2 * n, "aaa": n, "bbb": n, "aaa bbb": n}
+
+
+def test_unrelated_sets_share_no_signature():
+    """20,000 sets of 20 to 39 shingles without a common one: empty segments are no signature, so hardly any is held twice."""
+    from cellweave.llm.jaccard_join import allocate, band, signatures
+
+    draw = np.random.default_rng(1)
+    sets = [np.unique(draw.integers(0, 1 << 63, int(n)).astype(np.uint64)) for n in draw.integers(20, 40, 20_000)]
+    plan = allocate(dict(zip(*np.unique(band(np.array([len(s) for s in sets])), return_counts=True), strict=True)))
+    sig, rec = signatures(sets, np.arange(len(sets)), plan)
+    _, held = np.unique(np.stack([sig, rec["group"].astype(np.uint64)]), axis=1, return_counts=True)
+    assert held.max() <= 3
+
+
+@pytest.mark.parametrize("deletions", [False, True])
+def test_linked_small_sets_share_a_kept_signature(deletions):
+    """Every linked pair shares one after both have left out any of as many as they may, for sets of 1 to 24 shingles."""
+    from cellweave.llm.jaccard_join import band, most_apart, signatures
+
+    draw = np.random.default_rng(7)
+    for size in range(1, 25):
+        for _ in range(60):
+            a = draw.integers(0, 1 << 63, size).astype(np.uint64)
+            gone = int(draw.integers(0, size // 7 + 1))
+            b = np.concatenate([a[gone:], draw.integers(0, 1 << 63, gone).astype(np.uint64)])
+            sets = [np.unique(a), np.unique(b)]
+            both = len(np.intersect1d(*sets))
+            if 100 * both < 75 * (len(sets[0]) + len(sets[1]) - both):
+                continue
+            plan = {g: (((h + 2) // 2, 0, True) if deletions and h else (h + 1 + (h + 1) // 2, (h + 1) // 2, False)) for g in range(int(band(size)) + 2) for h in [most_apart(g)]}
+            sig, rec = signatures(sets, np.arange(2), plan)
+            keys = [{(int(r["group"]), int(s)): int(r["spare"]) for s, r in zip(sig, rec, strict=True) if r["set"] == k} for k in (0, 1)]
+            # Each may leave out `spare` signatures of a group, so more than that must be common in one of the groups.
+            common = collections.Counter(k[0] for k in keys[0].keys() & keys[1].keys())
+            assert any(n > max(keys[0][k], keys[1][k]) for g, n in common.items() for k in [next(x for x in keys[0].keys() & keys[1].keys() if x[0] == g)]), size
+
+
+def test_deduplicate_and_judge_keep_columns_of_any_name(spark):
+    from cellweave.llm.jaccard_join import deduplicate
+    from cellweave.llm.quality_rules import judge
+
+    text = "one two three four five six seven eight nine ten eleven twelve"
+    rows = [(1, text, "h", 7, "a"), (2, text, "h", 8, "b"), (3, "quite other words stand in this text here and there now", None, 9, "c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, row long, keep string")
+    for a, b in (("_row", "_hit"), ("row.x", "_host"), ("Hit", "_w"), ("_keep", "_lines"), ("at", "root")):
+        own = docs.withColumnRenamed("row", a).withColumnRenamed("keep", b)
+        got = deduplicate(own)
+        assert got.columns == own.columns and sorted(tuple(r)[3:] for r in got.collect()) == [(7, "a"), (9, "c")]
+        if "." not in a:
+            assert sorted((r[a], r[b], r.kept) for r in judge(own).collect()) == [(7, "a", True), (8, "b", True), (9, "c", True)]
