@@ -11,7 +11,7 @@ explicit stacks.
 
 Defined results: null or empty html gives an empty text; broken markup is read as browsers do (unclosed paragraphs end
 where the next begins, unknown end tags are skipped, an unclosed comment or script runs to the end of the page); null
-and repeated page_ids are ordinary rows; an empty table gives an empty table.
+and repeated page_ids are ordinary rows; an empty table gives an empty table; other columns are not read.
 """
 
 from __future__ import annotations
@@ -26,14 +26,20 @@ from pyspark.sql import functions as F
 
 # Element names of HTML, and words by which class, id and role tell what an element is for.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe svg math object".split())
-NEVER = frozenset("head script style noscript template iframe svg math object nav header footer aside form button select option textarea input label fieldset dialog menu title canvas audio video figure".split())
+RAW = frozenset("script style noscript template textarea title iframe svg object".split())
+NEVER = frozenset("head script style noscript template iframe svg object nav header footer aside form button select option textarea input fieldset dialog menu title canvas audio video".split())
+#: Of these, what an article may have of its own.
+INNER = frozenset("header aside".split())
 BLOCK = frozenset("address article aside blockquote body center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 CLOSES_P = BLOCK - {"html", "body", "td", "th", "tr", "tbody", "thead", "tfoot"}
 PARAGRAPH = frozenset("p pre td blockquote dd li h1 h2 h3 h4 h5 h6".split())
 HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 CONTENT = frozenset("p pre blockquote table ul ol dl details address hr".split())
 UNLIKELY = re.compile(r"(?:^|[\s_-])(?:ad|ads|adv|advert\w*|banner\w*|sponsor\w*|promo\w*|sidebar\w*|side|menu\w*|nav|navbar|navigation|breadcrumb\w*|header|footer|masthead|cookie\w*|consent|gdpr|notice\w*|popup\w*|modal|newsletter\w*|subscribe\w*|social\w*|share\w*|sharing|related\w*|recommend\w*|comments?|comment-\w+|commentlist|disqus\w*|respond|reply|replies|pager|pagination|widget\w*|login|signup|search|tags|toolbar|skip\w*|copyright|legal|disclaimer)(?:$|[\s_-])", re.I)
+#: Parts of hyphenated names that also name an article's own sections (side-effects, promotion-history, notice-board).
+AMBIGUOUS = re.compile(r"^(?:side|promo\w*|notice\w*|header|share\w*|related\w*|tags|legal|search|skip\w*|social\w*|menu\w*|reply|replies|respond|page|disclaimer|copyright|banner\w*|modal|consent|recommend\w*)$", re.I)
+#: Link density above which, and characters below which, an element with such a name is none of the article.
+APART_DENSITY, APART_CHARS = 0.25, 40
 LIKELY = re.compile(r"(?:^|[\s_-])(?:article\w*|body|content|entry|hentry|main|page|post|story|text|blog)(?:$|[\s_-])", re.I)
 UNLIKELY_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 TAG_POINTS = {"article": 10.0, "main": 8.0, "section": 2.0, "div": 5.0, "pre": 3.0, "td": 3.0, "blockquote": 3.0, "ol": -3.0, "ul": -3.0, "dl": -3.0, "li": -3.0, "dd": -3.0, "dt": -3.0, "address": -3.0, "th": -5.0}
@@ -116,9 +122,33 @@ def _close(here: Node, tag: str) -> Node:
     return here
 
 
-def unlikely(node: Node) -> bool:
-    """Whether an element is none of the article by its name, role, class or id."""
-    if node.tag in NEVER:
+def _own_text(node: Node) -> bool:
+    """Whether an element has text of some length of which little is linked."""
+    chars = linked = 0
+    stack: list[tuple[Node | str, bool]] = [(node, False)]
+    while stack:
+        x, in_link = stack.pop()
+        if isinstance(x, str):
+            n = len(x.strip())
+            chars, linked = chars + n, linked + n * in_link
+        elif x.tag not in NEVER or x is node:
+            stack += [(c, in_link or x.tag == "a") for c in x.children]
+    return chars >= APART_CHARS and linked < APART_DENSITY * chars
+
+
+def _only_ambiguous(names: str) -> bool:
+    """Whether what is unlikely about class and id are only parts of longer names that an article's sections may have too."""
+    for token in names.split():
+        parts = re.split(r"[-_]", token)
+        hits = [p for p in parts if UNLIKELY.search(p)]
+        if UNLIKELY.search(token) and (not hits or len(hits) == len(parts) or not all(AMBIGUOUS.match(p) for p in hits)):
+            return False
+    return True
+
+
+def unlikely(node: Node, inside: bool = False) -> bool:
+    """Whether an element is none of the article by its name, role, class or id; inside: it stands in an article element."""
+    if node.tag in NEVER and not (inside and node.tag in INNER and _own_text(node)):
         return True
     a = node.attributes
     if not a or node.tag in ("body", "html", "article", "main"):
@@ -126,15 +156,18 @@ def unlikely(node: Node) -> bool:
     if "hidden" in a or a.get("aria-hidden", "").lower() == "true" or a.get("role", "").lower() in UNLIKELY_ROLES or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", a.get("style", ""), re.I):
         return True
     names = f"{a.get('class', '')} {a.get('id', '')}"
-    return bool(UNLIKELY.search(names)) and not (LIKELY.search(names) and not re.search(r"comment|sidebar|ad[sv]?\b", names, re.I))
+    if not UNLIKELY.search(names) or (LIKELY.search(names) and not re.search(r"comment|sidebar|ad[sv]?\b", names, re.I)):
+        return False
+    return not (inside and _only_ambiguous(names) and _own_text(node))
 
 
 def prune(root: Node) -> None:
-    stack = [root]
+    stack = [(root, False)]
     while stack:
-        node = stack.pop()
-        node.children = [c for c in node.children if isinstance(c, str) or not unlikely(c)]
-        stack += [c for c in node.children if isinstance(c, Node)]
+        node, inside = stack.pop()
+        inside = inside or node.tag == "article"
+        node.children = [c for c in node.children if isinstance(c, str) or not unlikely(c, inside)]
+        stack += [(c, inside) for c in node.children if isinstance(c, Node)]
 
 
 def ordered(root: Node) -> list[Node]:
@@ -260,17 +293,17 @@ def blocks(top: Node) -> Iterator[str]:
     while stack:
         x = stack.pop()
         if isinstance(x, str):
-            run.append(x)
+            run.append(html.unescape(x))  # a reference ends with its text node
             continue
         if x is None or x.tag in BLOCK or x.tag == "br":
-            if text := _SPACE.sub(" ", html.unescape("".join(run))).strip():
+            if text := _SPACE.sub(" ", "".join(run)).strip():
                 yield text
             run = []
         if x is not None:
             if x.tag in BLOCK:
                 stack.append(None)
             stack += reversed(x.children)
-    if text := _SPACE.sub(" ", html.unescape("".join(run))).strip():
+    if text := _SPACE.sub(" ", "".join(run)).strip():
         yield text
 
 
