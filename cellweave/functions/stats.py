@@ -13,39 +13,79 @@ def guarded_corr(x: str, y: str) -> Column:
     return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
 
 
+#: Ranges that the values of a group are dealt to.
+RANGES = 64
+
+
+def dealt_by_range(folded: DataFrame, by: list[str], value: str, ranges: int = RANGES) -> DataFrame:
+    """folded with _range: the place of value among approximate quantiles of its group, so that no task needs a whole group in order.
+
+    folded has a row for each (by, value). Quantiles come from partial aggregates of a fixed size, and equal values are in one range.
+    """
+    cuts = folded.groupBy(*by).agg(F.percentile_approx(value, [k / ranges for k in range(1, ranges)], 1_000).alias("_cuts"))
+    return folded.join(cuts, by).withColumn("_range", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
+
+
+def running_sums(folded: DataFrame, by: list[str], value: str, sums: dict[str, str], keep_range: bool = False) -> DataFrame:
+    """folded(by, value, ...) with, for each item out: column of sums, the sum of the column up to and with this value.
+
+    Ranges of values are summed apart; a range's start is the sum of the ranges before it, RANGES rows for each group. A column
+    _range that folded has already, rising with value, is taken as it is.
+    """
+    dealt = folded if "_range" in folded.columns else dealt_by_range(folded, by, value)
+    whole = dealt.groupBy(*by, "_range").agg(*[F.sum(c).alias(f"_t_{o}") for o, c in sums.items()])
+    earlier = Window.partitionBy(*by).orderBy("_range")
+    starts = whole.select(*by, "_range", *[(F.sum(f"_t_{o}").over(earlier) - F.col(f"_t_{o}")).alias(f"_s_{o}") for o in sums])
+    within = Window.partitionBy(*by, "_range").orderBy(value)
+    inner = dealt.withColumns({o: F.sum(c).over(within) for o, c in sums.items()})
+    out = inner.join(starts, [*by, "_range"])
+    out = out.withColumns({o: F.col(o) + F.col(f"_s_{o}") for o in sums}).drop(*[f"_s_{o}" for o in sums])
+    return out if keep_range else out.drop("_range")
+
+
 def average_rank(df: DataFrame, by: list[str], value: str, out: str) -> DataFrame:
     """Rank of value within by, ties sharing their mean rank.
 
-    Only one row for each distinct value of a group meets the window; rows get the rank by a join on (by, value).
+    Only one row for each distinct value of a group is ranked; rows get the rank by a join on (by, value).
     """
-    counts = df.groupBy(*by, value).agg(F.count("*").alias("_n"))
-    before = F.sum("_n").over(Window.partitionBy(*by).orderBy(value)) - F.col("_n")
-    ranks = counts.select(*by, value, (before + (F.col("_n") + 1) / 2).alias(out))
+    counts = running_sums(df.groupBy(*by, value).agg(F.count("*").alias("_n")), by, value, {"_upto": "_n"})
+    ranks = counts.select(*by, value, (F.col("_upto") - F.col("_n") + (F.col("_n") + 1) / 2).alias(out))
     return df.join(ranks, [*by, value])
 
 
 def spearman(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
-    """by, n and rho: Pearson correlation of average ranks."""
-    pairs = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, x, y)
-    ranked = average_rank(average_rank(pairs, by, x, "_rx"), by, y, "_ry")
-    return ranked.groupBy(*by).agg(F.count("*").alias("n"), guarded_corr("_rx", "_ry").alias("rho"))
+    """by, n and rho: Pearson correlation of average ranks. Equal pairs are folded before they are ranked."""
+    pairs = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*by, x, y).agg(F.count(F.lit(1)).alias("_c"))
+    ranks = {}
+    for v, out in ((x, "_rx"), (y, "_ry")):
+        counts = running_sums(pairs.groupBy(*by, v).agg(F.sum("_c").alias("_n")), by, v, {"_upto": "_n"})
+        ranks[v] = counts.select(*by, v, (F.col("_upto") - F.col("_n") + (F.col("_n") + 1) / 2).alias(out))
+    ranked = pairs.join(ranks[x], [*by, x]).join(ranks[y], [*by, y])
+    n, c = F.sum("_c"), F.col("_c")
+    # Ranks have the mean (n + 1) / 2, and halves are exact, so sums of products lose nothing before the last step.
+    sums = ranked.groupBy(*by).agg(n.alias("n"), F.sum(c * F.col("_rx") * F.col("_rx")).alias("_xx"), F.sum(c * F.col("_ry") * F.col("_ry")).alias("_yy"), F.sum(c * F.col("_rx") * F.col("_ry")).alias("_xy"))
+    mean = F.col("n") * (F.col("n") + 1) * (F.col("n") + 1) / 4.0
+    return sums.select(*by, "n", F.try_divide(F.col("_xy") - mean, F.sqrt((F.col("_xx") - mean) * (F.col("_yy") - mean))).alias("rho"))
 
 
 def benjamini_hochberg(df: DataFrame, by: list[str], p: str, out: str = "fdr", monotone: bool = True) -> DataFrame:
     """Adjusted p values within each family of tests.
 
     With monotone, equal p values rank by their last place and a running minimum from the largest follows; without it,
-    ties share their mean rank. The windows see distinct p values only.
+    ties share their mean rank. Distinct p values are ranked and gone through in ranges.
     """
-    counts = df.where(F.col(p).isNotNull()).groupBy(*by, p).agg(F.count("*").alias("_n"))
-    family = Window.partitionBy(*by)
-    last = F.sum("_n").over(family.orderBy(p))
-    m = F.sum("_n").over(family)
-    place = last if monotone else last - F.col("_n") + (F.col("_n") + 1) / 2
-    raw = counts.select(*by, p, (F.col(p) * m / place).alias("_raw"))
+    small = F.greatest(F.coalesce(15 + F.floor(F.log2(F.col(p) / 0.02)), F.lit(0)), F.lit(0))  # halvings below 0.02, even steps above
+    counts = df.where(F.col(p).isNotNull()).groupBy(*by, p).agg(F.count("*").alias("_n")).withColumn("_range", F.when(F.col(p) >= 0.02, 16 + F.floor(F.col(p) * 48)).otherwise(small))
+    placed = running_sums(counts, by, p, {"_last": "_n"}, keep_range=True)
+    sizes = counts.groupBy(*by).agg(F.sum("_n").alias("_m"))
+    place = F.col("_last") if monotone else F.col("_last") - F.col("_n") + (F.col("_n") + 1) / 2
+    raw = placed.join(sizes, by).select(*by, p, "_range", (F.col(p) * F.col("_m") / place).alias("_raw"))
     if monotone:
-        down = family.orderBy(F.desc(p)).rowsBetween(Window.unboundedPreceding, 0)
-        raw = raw.select(*by, p, F.min("_raw").over(down).alias("_raw"))
+        least = raw.groupBy(*by, "_range").agg(F.min("_raw").alias("_least"))
+        above = Window.partitionBy(*by).orderBy(F.desc("_range")).rowsBetween(Window.unboundedPreceding, -1)
+        later = least.select(*by, "_range", F.min("_least").over(above).alias("_later"))
+        down = Window.partitionBy(*by, "_range").orderBy(F.desc(p)).rowsBetween(Window.unboundedPreceding, 0)
+        raw = raw.withColumn("_own", F.min("_raw").over(down)).join(later, [*by, "_range"]).select(*by, p, F.least("_own", "_later").alias("_raw"))
     adjusted = raw.select(*by, p, F.least(F.col("_raw"), F.lit(1.0)).alias(out))
     return df.join(adjusted, [*by, p], "left")
 
@@ -54,8 +94,7 @@ def auc(df: DataFrame, by: list[str], score: str, label: str) -> DataFrame:
     """by, n_pos, n_neg and auc by the rank sum; null without both classes."""
     own = df.where(F.col(score).isNotNull() & F.col(label).isNotNull())
     counts = own.groupBy(*by, score).agg(F.count("*").alias("_n"), F.count_if(F.col(label) == 1).alias("_p"))
-    before = F.sum("_n").over(Window.partitionBy(*by).orderBy(score)) - F.col("_n")
-    ranked = counts.withColumn("_rank", before + (F.col("_n") + 1) / 2)
+    ranked = running_sums(counts, by, score, {"_upto": "_n"}).withColumn("_rank", F.col("_upto") - F.col("_n") + (F.col("_n") + 1) / 2)
     sums = ranked.groupBy(*by).agg(F.sum("_p").alias("n_pos"), (F.sum("_n") - F.sum("_p")).alias("n_neg"), F.sum(F.col("_rank") * F.col("_p")).alias("_r"))
     wins = F.col("_r") - F.col("n_pos") * (F.col("n_pos") + 1) / 2
     return sums.select(*by, "n_pos", "n_neg", F.try_divide(wins, (F.col("n_pos") * F.col("n_neg")).cast("double")).alias("auc"))

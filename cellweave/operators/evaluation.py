@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.identifiers import ladder
 from ..functions.labels import cosine
-from ..functions.stats import auc, benjamini_hochberg, guarded_corr, spearman
+from ..functions.stats import auc, benjamini_hochberg, guarded_corr, running_sums, spearman
 
 
 def bias_drivers(biased: DataFrame, plain: DataFrame, by: list[str], kind: str, error: str) -> DataFrame:
@@ -88,18 +88,20 @@ def cosine_silhouette(vectors: DataFrame, key: str, vector: str, label: str) ->
     """key, label and silhouette by cosine distance, exact and without pairs of rows.
 
     The mean distance of a unit vector to a class is 1 less its product with the class's sum of unit vectors over the
-    class's size, so rows meet one sum for each class (classes x dimensions, joined by dimension). A row alone in its
-    class has 0; null or zero vectors take no part.
+    class's size. Vectors stay arrays and meet all class sums as one array of them (classes x dimensions), so a row is read once
+    and never exploded by dimension. A row alone in its class has 0; null or zero vectors take no part.
     """
-    long = vectors.where(F.col(label).isNotNull()).select(key, label, F.posexplode(vector).alias("dim", "x"))
-    norms = long.groupBy(key, label).agg(F.sqrt(F.sum(F.col("x").cast("double") ** 2)).alias("_n")).where("_n > 0")
-    unit = long.join(norms.drop(label), key).select(key, label, "dim", (F.col("x").cast("double") / F.col("_n")).alias("u"))
-    sums = unit.groupBy(F.col(label).alias("_class"), "dim").agg(F.sum("u").alias("_s"))
-    sizes = norms.groupBy(F.col(label).alias("_class")).agg(F.count(F.lit(1)).alias("_size"))
-    products = unit.join(sums, "dim").groupBy(key, label, "_class").agg(F.sum(F.col("u") * F.col("_s")).alias("_p")).join(sizes, "_class")
-    own = F.col("_class") == F.col(label)
-    inner = (F.col("_size") - F.col("_p")) / (F.col("_size") - 1)
-    ab = products.groupBy(key, label).agg(F.max(F.when(own & (F.col("_size") > 1), inner)).alias("a"), F.min(F.when(~own, 1 - F.col("_p") / F.col("_size"))).alias("b"))
+    told = vectors.where(F.col(label).isNotNull() & F.col(vector).isNotNull()).withColumn("_v", F.transform(vector, lambda x: x.cast("double")))
+    norm = F.sqrt(F.aggregate("_v", F.lit(0.0), lambda s, x: s + x * x))
+    unit = told.withColumn("_n", norm).where("_n > 0").select(key, label, F.transform("_v", lambda x: x / F.col("_n")).alias("_u"))
+    dims = unit.select(F.col(label).alias("_class"), F.posexplode("_u").alias("dim", "u")).groupBy("_class", "dim").agg(F.sum("u").alias("s"), F.count(F.lit(1)).alias("n"))
+    sums = dims.groupBy("_class").agg(F.max("n").alias("size"), F.transform(F.sort_array(F.collect_list(F.struct("dim", "s"))), lambda d: d["s"]).alias("sum"))
+    every = sums.agg(F.collect_list(F.struct(F.col("_class").alias("class"), "size", "sum")).alias("_all")).withColumn("_", F.lit(0))
+    dot = lambda c: F.aggregate(F.zip_with("_u", c["sum"], lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    met = unit.withColumn("_", F.lit(0)).join(every, "_").withColumn("_p", F.transform("_all", lambda c: F.struct(c["class"].alias("class"), c["size"].alias("size"), dot(c).alias("p"))))
+    own, others = F.filter("_p", lambda c: c["class"] == F.col(label)), F.filter("_p", lambda c: c["class"] != F.col(label))
+    a = F.array_max(F.transform(F.filter(own, lambda c: c["size"] > 1), lambda c: (c["size"] - c["p"]) / (c["size"] - 1)))
+    ab = met.select(key, label, a.alias("a"), F.array_min(F.transform(others, lambda c: 1 - c["p"] / c["size"])).alias("b"))
     return ab.select(key, label, F.when(F.col("b").isNotNull(), F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0))).alias("silhouette"))
 
 
@@ -122,8 +124,8 @@ def signed_rank(pairs: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
     """by, n (pairs that differ), the sum of positive ranks, and z of Wilcoxon's signed-rank test with ties corrected."""
     d = pairs.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, F.round(F.col(x) - F.col(y), 9).alias("_d")).where("_d <> 0").withColumn("_m", F.abs("_d"))
     counts = d.groupBy(*by, "_m").agg(F.count(F.lit(1)).cast("double").alias("_n"), F.count_if(F.col("_d") > 0).alias("_p"))
-    rank = F.sum("_n").over(Window.partitionBy(*by).orderBy("_m")) - F.col("_n") + (F.col("_n") + 1) / 2
-    s = counts.withColumn("_r", rank).groupBy(*by).agg(F.sum("_n").alias("n"), F.sum(F.col("_r") * F.col("_p")).alias("w_plus"), F.sum(F.pow("_n", F.lit(3)) - F.col("_n")).alias("_t"))
+    rank = F.col("_upto") - F.col("_n") + (F.col("_n") + 1) / 2
+    s = running_sums(counts, by, "_m", {"_upto": "_n"}).withColumn("_r", rank).groupBy(*by).agg(F.sum("_n").alias("n"), F.sum(F.col("_r") * F.col("_p")).alias("w_plus"), F.sum(F.pow("_n", F.lit(3)) - F.col("_n")).alias("_t"))
     n = F.col("n")
     spread = F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.col("_t") / 48)
     return s.select(*by, n.cast("long").alias("n"), "w_plus", F.try_divide(F.col("w_plus") - n * (n + 1) / 4, spread).alias("z"))
@@ -155,10 +157,7 @@ def signed_z(p: Column, effect: Column, floor: float = 1e-300) -> Column:
 
 
 def scenario_flips(tests: DataFrame, p: str, scenarios: dict[str, Column], alpha: float = 0.05) -> DataFrame:
-    """scenario, tests, significant ones, and those gained and lost against all tests adjusted together.
-
-    Adjusted values need the distinct p values of a scenario in one task; tests without p take no part.
-    """
+    """scenario, tests, significant ones, and those gained and lost against all tests adjusted together; tests without p take no part."""
     own = tests.where(F.col(p).isNotNull()).withColumn("_family", F.lit("all"))
     base = benjamini_hochberg(own, ["_family"], p, "_all")
     flags = F.array(*[F.when(keep, F.lit(name)) for name, keep in scenarios.items()])

@@ -116,9 +116,9 @@ def coexpression_pairs(counts: DataFrame, n_cells: int, least_share: float = 0.0
 
 
 def normalize_total(counts: DataFrame, target: float = 10_000.0) -> DataFrame:
-    """Counts scaled so that each cell sums to target; an empty library stays 0."""
+    """cell, gene, count and value: counts scaled so that each cell sums to target; an empty library stays 0."""
     library = counts.groupBy("cell").agg(F.sum("count").alias("_lib"))
-    return counts.join(library, "cell").select("cell", "gene", F.coalesce(F.try_divide(F.col("count") * target, F.col("_lib")), F.lit(0.0)).alias("value"))
+    return counts.join(library, "cell").select("cell", "gene", "count", F.coalesce(F.try_divide(F.col("count") * target, F.col("_lib")), F.lit(0.0)).alias("value"))
 
 
 def project(counts: DataFrame, mapping: DataFrame) -> DataFrame:

@@ -170,8 +170,7 @@ def reverse_normalization(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_COUNTS}, l AS (SELECT cell, sum(count) s FROM counts GROUP BY 1) SELECT cell, gene, round(log2(1 + 1000000 * count / s), 6) AS log2_cpm, round(ln(1 + count), 6) AS log1p FROM counts JOIN l USING (cell)")
 def log_cpm(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = E.normalize_total(_counts(spark, sf_dir), 1_000_000.0)
-    own = _counts(spark, sf_dir).select("cell", "gene", F.round(F.log1p("count"), 6).alias("log1p"))
-    return out.join(own, ["cell", "gene"]).select("cell", "gene", F.round(F.log2(1 + F.col("value")), 6).alias("log2_cpm"), "log1p")
+    return out.select("cell", "gene", F.round(F.log2(1 + F.col("value")), 6).alias("log2_cpm"), F.round(F.log1p("count"), 6).alias("log1p"))
 
 
 @query("WITH m AS (SELECT l_suppkey, avg(l_extendedprice) m, stddev_pop(l_extendedprice) s FROM lineitem GROUP BY 1) SELECT l_orderkey, l_linenumber, l_suppkey, round(greatest(-2, least(2, CASE WHEN s > 1e-12 THEN (l_extendedprice - m) / s ELSE 0 END)), 6) AS z FROM lineitem JOIN m USING (l_suppkey)")

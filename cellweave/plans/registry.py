@@ -165,7 +165,7 @@ def coexpression_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_COUNTS} SELECT cell, gene, round(count * 10000 / sum(count) OVER (PARTITION BY cell), 6) AS value FROM counts")
 def normalize_total(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.normalize_total(_counts(spark, sf_dir)).withColumn("value", F.round("value", 6))
+    return E.normalize_total(_counts(spark, sf_dir)).select("cell", "gene", F.round("value", 6).alias("value"))
 
 
 @query(f"WITH {_COUNTS}, l AS (SELECT cell, sum(count) library_size FROM counts GROUP BY 1) SELECT cell, gene // 3 AS target, sum(count) AS count, library_size, round(sum(count) / library_size, 6) AS fraction FROM counts JOIN l USING (cell) WHERE gene % 5 <> 0 GROUP BY cell, gene // 3, library_size")
