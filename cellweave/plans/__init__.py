@@ -1,4 +1,4 @@
 """plans of the engine: importing any of them registers all queries."""
 
 from . import registry  # noqa: F401  isort: skip
-from . import corpus, evaluation, files, genes, linear, metadata, naming, ranked, reports, representation, studies  # noqa: F401
+from . import corpus, evaluation, files, genes, linear, metadata, naming, ranked, records, reports, representation, studies  # noqa: F401
