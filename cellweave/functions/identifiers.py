@@ -123,10 +123,21 @@ def biotype(raw: Column) -> Column:
     return ladder([*known, *((c, F.lit(v)) for c, v in near)], key)
 
 
-def accession(name: Column) -> Column:
-    """First study accession in a file name; null if there is none."""
-    found = F.regexp_extract(name, r"(GSE\d+|E-[A-Z]{4}-\d+)", 1)
-    return F.when(found != "", found)
+# Letters that file names of labels spell out.
+SPELLED = {
+    "α": "alpha", "β": "beta", "γ": "gamma", "δ": "delta", "ε": "epsilon", "κ": "kappa", "λ": "lambda", "μ": "mu", "π": "pi", "σ": "sigma", "τ": "tau", "ω": "omega",
+    "ä": "a", "å": "a", "ç": "c", "è": "e", "é": "e", "í": "i", "ñ": "n", "ö": "o", "ü": "u", "Ä": "A", "Ö": "O", "Ü": "U",
+}
+
+
+def file_name(label: Column) -> Column:
+    """A label as the stem of a file name: known letters spelled out, then as safe_label, without underscores at its ends."""
+    one = {k: v for k, v in SPELLED.items() if len(v) == 1}
+    out = F.translate(label, "".join(one), "".join(one.values()))
+    for k, v in SPELLED.items():
+        if len(v) > 1:
+            out = F.replace(out, F.lit(k), F.lit(v))
+    return F.regexp_replace(safe_label(out), "^_+|_+$", "")
 
 
 def safe_label(label: Column) -> Column:

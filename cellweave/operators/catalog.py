@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.identifiers import ladder, non_gene, normalize_ensembl
+from ..functions.identifiers import ladder, normalize_ensembl, rejected
 
 
 def first_wins(df: DataFrame, key: Column, position: str, last: bool = False) -> DataFrame:
@@ -20,13 +20,13 @@ def resolve(raw: DataFrame, genes: DataFrame, synonyms: DataFrame) -> DataFrame:
     genes(gene_id, symbol, pos) and synonyms(alias, gene_id, pos) are dimensions; of equal names the first wins, and
     the optimizer picks a broadcast by their size.
     """
-    own = raw.select("raw_id", normalize_ensembl(F.col("raw_id")).alias("_id"), F.lower(F.trim("raw_id")).alias("_name"), non_gene(F.col("raw_id")).alias("_junk"))
+    own = raw.select("raw_id", normalize_ensembl(F.col("raw_id")).alias("_id"), F.lower(F.trim("raw_id")).alias("_name"), rejected(F.trim("raw_id")).alias("_junk"))
     ids = genes.select(F.col("gene_id").alias("_id"), F.col("gene_id").alias("_direct")).distinct()
     symbols = first_wins(genes.where("symbol is not null"), F.lower("symbol"), "pos").select(F.lower("symbol").alias("_name"), F.col("gene_id").alias("_symbol"))
     alias = first_wins(synonyms, F.lower("alias"), "pos").select(F.lower("alias").alias("_name"), F.col("gene_id").alias("_synonym"))
     joined = own.join(ids, "_id", "left").join(symbols, "_name", "left").join(alias, "_name", "left")
     foreign = F.col("_id").rlike(r"^ENS[A-Z]*G\d{11}$")
-    method = ladder([(F.col("_junk").isNotNull(), F.lit("non_gene")), (F.col("_direct").isNotNull(), F.lit("direct")), (foreign, F.lit("foreign")), (F.col("_symbol").isNotNull(), F.lit("symbol")), (F.col("_synonym").isNotNull(), F.lit("synonym"))], F.lit("unresolved"))
+    method = ladder([(F.col("_junk"), F.lit("non_gene")), (F.col("_direct").isNotNull(), F.lit("direct")), (foreign, F.lit("foreign")), (F.col("_symbol").isNotNull(), F.lit("symbol")), (F.col("_synonym").isNotNull(), F.lit("synonym"))], F.lit("unresolved"))
     found = F.when(method == "direct", F.col("_direct")).when(method == "symbol", F.col("_symbol")).when(method == "synonym", F.col("_synonym"))
     return joined.select("raw_id", found.alias("gene_id"), method.alias("method"))
 

@@ -230,3 +230,112 @@ def accession_on_path(path: Column, patterns: Sequence[str] = (r"^GSE\d+$", r"^E
     folders = F.reverse(F.slice(F.split(path, "/"), 1, F.greatest(F.size(F.split(path, "/")) - 1, F.lit(1))))
     fits = F.get(F.filter(folders, lambda t: F.rlike(t, F.lit("|".join(f"(?:{p})" for p in patterns)))), F.lit(0))
     return F.coalesce(accession_of(path, patterns), fits)
+
+
+def signed_markers(sheet: DataFrame, genes: DataFrame) -> DataFrame:
+    """tissue, cell_type, the sorted genes of its positive and negative symbols, and how many of each were mapped, of how many.
+
+    sheet(tissue, cell_type, positive, negative, place) with comma lists, of which the last row of a type counts; genes(symbol,
+    gene, place), of which the last one of a symbol counts. A symbol that a list repeats is mapped as often.
+    """
+    last = sheet.groupBy(F.trim("tissue").alias("tissue"), F.trim("cell_type").alias("cell_type")).agg(F.max_by(F.struct("positive", "negative"), "place").alias("r"))
+    symbols = genes.where("trim(symbol) <> ''").groupBy(F.upper(F.trim("symbol")).alias("symbol")).agg(F.max_by("gene", "place").alias("gene"))
+    listed = lambda c: F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), ","), lambda x: F.upper(F.trim(x))), lambda x: x != "")
+    sides = last.select("tissue", "cell_type", F.explode(F.array(F.struct(F.lit("positive").alias("side"), listed(F.col("r.positive")).alias("l")), F.struct(F.lit("negative").alias("side"), listed(F.col("r.negative")).alias("l")))).alias("s"))
+    each = sides.select("tissue", "cell_type", "s.side", F.explode_outer("s.l").alias("symbol")).join(symbols, "symbol", "left")
+    side = lambda n: F.when(F.col("side") == n, F.col("gene"))
+    total = lambda n: F.count(F.when(F.col("side") == n, F.col("symbol")))
+    return each.groupBy("tissue", "cell_type").agg(
+        *[F.array_sort(F.collect_set(side(n))).alias(n) for n in ("positive", "negative")], *[F.count(side(n)).alias(f"n_{n}_mapped") for n in ("positive", "negative")], *[total(n).alias(f"n_{n}_total") for n in ("positive", "negative")]
+    )
+
+
+def species_blocks(ours: DataFrame, human: DataFrame, key: Sequence[str], hotspot_q: float = 0.05, auc: float = 0.6, p: float = 0.05) -> DataFrame:
+    """key with both species' scores, whether ours is a hotspot, the difference of AUC, and what became of it; hotspots first, then by AUC.
+
+    ours(key, auc, p, q), human(key, auc, p).
+    """
+    side = lambda df, tag: df.select(*key, *[F.col(c).alias(f"{c}_{tag}") for c in df.columns if c not in key])
+    both = side(ours, "ours").join(side(human, "human"), list(key), "left")
+    status = ladder([(F.col("auc_human").isNull(), F.lit("no_human_block")), ((F.col("auc_human") >= auc) & (F.col("p_human") < p), F.lit("PRESERVED")), (F.col("auc_human") >= auc, F.lit("WEAKENED"))], F.lit("LOST"))
+    return both.withColumn("is_hotspot", F.col("q_ours") < hotspot_q).withColumn("delta_auc", F.col("auc_human") - F.col("auc_ours")).withColumn("status", status)
+
+
+def family_starts(tokens: DataFrame, vectors: DataFrame, families: DataFrame) -> DataFrame:
+    """token, vector and start of every token: its own vector, else the mean of those of its families' members, else none."""
+    dims = families.join(vectors, "token").select("family", F.posexplode("vector").alias("d", "x")).groupBy("family", "d").agg(F.sum("x").alias("s"), F.count(F.lit(1)).alias("n"))
+    bare = tokens.join(vectors.select("token"), "token", "left_anti")
+    sums = bare.join(families, "token").join(dims, "family").groupBy("token", "d").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+    means = sums.groupBy("token").agg(F.transform(F.sort_array(F.collect_list(F.struct("d", (F.col("s") / F.col("n")).alias("m")))), lambda x: x["m"]).alias("_mean"))
+    out = tokens.join(vectors.select("token", F.col("vector").cast("array<double>").alias("_own")), "token", "left").join(means, "token", "left")
+    return out.select("token", F.coalesce("_own", "_mean").alias("vector"), ladder([(F.col("_own").isNotNull(), F.lit("own")), (F.col("_mean").isNotNull(), F.lit("family"))], F.lit("none")).alias("start"))
+
+
+def sample_table(cells: DataFrame, labels: DataFrame, phenotypes: DataFrame) -> DataFrame:
+    """cells(tissue, sample, ...) with the label at the sample's number in labels(tissue, place, label), and its sex, group and weeks from phenotypes(label, sex, group); NA where unknown."""
+    place = F.regexp_replace("sample", r"\D", "").try_cast("long")
+    first = phenotypes.groupBy("label").agg(F.min(F.struct("sex", "group")).alias("p"))
+    out = cells.withColumn("place", place).join(labels, ["tissue", "place"], "left").join(first, "label", "left")
+    group = F.coalesce(F.col("p.group"), F.lit("NA"))
+    weeks = F.when(F.lower(group).contains("control"), 0).otherwise(F.regexp_extract(group, r"(\d+)", 1).try_cast("int"))
+    return out.select(*cells.columns, "label", F.coalesce(F.col("p.sex"), F.lit("NA")).alias("sex"), group.alias("group"), weeks.alias("weeks"))
+
+
+def inventory(samples: DataFrame, sources: Sequence[tuple[str, DataFrame]], fields: Sequence[str], key: str = "sample") -> DataFrame:
+    """samples with each field from the first source that tells it, and the name of that source (none where no source does).
+
+    sources: pairs of a name and a table(key, fields...), in order of precedence; of a source's rows for one key the least counts.
+    """
+    out = samples
+    for name, df in sources:
+        have = [f for f in fields if f in df.columns]
+        out = out.join(df.groupBy(key).agg(*[F.min(F.nullif(F.trim(f), F.lit(""))).alias(f"_{name}_{f}") for f in have]), key, "left")
+    picked = []
+    for f in fields:
+        told = [(name, F.col(f"_{name}_{f}")) for name, df in sources if f in df.columns]
+        picked += [F.coalesce(*[c for _, c in told]).alias(f), ladder([(c.isNotNull(), F.lit(n)) for n, c in told], F.lit("none")).alias(f"{f}_source")]
+    return out.select(*samples.columns, *picked)
+
+
+def review_statistics(reviews: DataFrame, flags: dict[str, Column]) -> DataFrame:
+    """One row: reviews, successful and failed ones, and how many of the successful ones each flag holds for."""
+    ok = F.coalesce(F.col("success"), F.lit(False))
+    return reviews.agg(F.count(F.lit(1)).alias("total"), F.count_if(ok).alias("successful"), F.count_if(~ok).alias("failed"), *[F.count_if(ok & F.coalesce(c, F.lit(False))).alias(n) for n, c in flags.items()])
+
+
+def quoted_cells(line: Column, separator: str = ",") -> Column:
+    """The cells of one delimited line: a separator inside quotes separates nothing, quotes around a cell go and doubled ones are one."""
+    s = "\\t" if separator == "\t" else "\\" + separator
+    cells = F.regexp_extract_all(F.concat(F.lit(separator), line), F.lit(rf'{s}((?:"(?:[^"]|"")*+")|[^{s}]*+)'), F.lit(1))
+    return F.transform(cells, lambda c: F.when(F.rlike(c, F.lit('^".*"$')), F.replace(F.substring(c, F.lit(2), F.char_length(c) - 2), F.lit('""'), F.lit('"'))).otherwise(c))
+
+
+def matrix_candidate(name: Column, skip: Sequence[str], patterns: Sequence[str], extensions: Sequence[str]) -> Column:
+    """Whether a file is likely a matrix of counts: never with a word of skip in its name, else by a word of patterns or its ending."""
+    low = F.lower(F.element_at(F.split(name, "/"), -1))
+    has = lambda words, test: ladder([(test(w), F.lit(True)) for w in words], F.lit(False))
+    return ~has(skip, low.contains) & (has(patterns, low.contains) | has(extensions, low.endswith))
+
+
+def refined_selection(selected: DataFrame, tissue: str, include: str | None = None, pinned: Sequence[str] = (), failed: DataFrame | None = None) -> DataFrame:
+    """Samples of a selection whose tissue is told so, whose title the pattern finds, without those that failed quality control, and of pinned ids only.
+
+    A pinned id that is not among them is an error, as a build would silently do without it.
+    """
+    out = selected.where(F.lower(F.trim("tissue")) == tissue.lower())
+    if include is not None:
+        out = out.where(F.rlike(F.coalesce("title", F.lit("")), F.lit(f"(?i){include}")))
+    if failed is not None:
+        out = out.join(failed.select("sample_id"), "sample_id", "left_anti")
+    if pinned:
+        out = out.where(F.col("sample_id").isin(*pinned))
+        found = {r[0] for r in out.select("sample_id").distinct().collect()}  # pinned ids at most
+        if missing := sorted(set(pinned) - found):
+            raise ValueError(f"pinned samples are not selectable: {missing}")
+    return out
+
+
+def split_summary(rows: DataFrame, by: Sequence[str], purity: str, value: str, at: float = 0.5) -> DataFrame:
+    """n, median and mean of a value below and from a purity on."""
+    side = F.when(F.col(purity) >= at, "high").otherwise("low").alias("purity_side")
+    return rows.where(F.col(value).isNotNull()).groupBy(*by, side).agg(F.count(F.lit(1)).alias("n"), F.median(value).alias("median"), F.avg(value).alias("mean"))

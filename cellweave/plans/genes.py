@@ -108,6 +108,11 @@ def tier_crosstab(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mapped(spark, sf_dir).groupBy("tier", "biotype").agg(F.count(F.lit(1)).alias("n_genes"), F.count("token_id").alias("n_tokens"), F.round(F.avg("identity"), 6).alias("mean_identity"))
 
 
+@query(f"WITH {_TIERS}, s AS (SELECT token_id, count(*) c FROM mapped WHERE token_id IS NOT NULL AND left(tier, 2) IN ('T1', 'T2') GROUP BY 1) SELECT tier, lower(biotype) AS biotype, count(*) AS n_genes, count(DISTINCT token_id) AS n_distinct FROM mapped GROUP BY 1, 2")
+def tier_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mapped(spark, sf_dir).groupBy("tier", F.lower("biotype").alias("biotype")).agg(F.count(F.lit(1)).alias("n_genes"), F.count_distinct("token_id").alias("n_distinct"))
+
+
 @query(f"WITH {_TIERS} SELECT token_id, count(*) AS n_genes, string_agg(gene, ';' ORDER BY gene) AS genes FROM mapped WHERE left(tier, 2) IN ('T1', 'T2') GROUP BY 1 HAVING count(*) > 1")
 def token_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return O.collision_report(_mapped(spark, sf_dir))

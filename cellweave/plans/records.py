@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import labels as N
+from ..functions.identifiers import file_name
 from ..operators import records as K
 from ..operators import terms as T
 from .registry import _t, query
@@ -204,3 +206,105 @@ def accessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def marker_tissues(spark: SparkSession, sf_dir: str) -> DataFrame:
     types = [("MACHINERY", ("Muscle", "Heart")), ("house", ("Liver",)), ("building site", ("Brain",)), ("auto", ("Kidney",))]
     return _t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.array_join(T.tissue_types(F.col("c_mktsegment"), types, ("Immune system",)), ";").alias("types"))
+
+
+@query("WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[^ ]+ [^ ]+')) l FROM documents) SELECT l AS label, regexp_replace(regexp_replace(translate(l, 'äåçèéíñöüÄÖÜ', 'aaceeinouAOU'), '[^A-Za-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS stem FROM w WHERE NOT regexp_matches(l, '[αβγδεκλμπστω]')")
+def label_file_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = _t(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all("text", F.lit("[^ ]+ [^ ]+"), F.lit(0))).alias("label")).distinct()
+    return pairs.where(~F.rlike("label", F.lit("[αβγδεκλμπστω]"))).select("label", file_name(F.col("label")).alias("stem"))
+
+
+@query(
+    """WITH s AS (SELECT p_brand t, 'type ' || p_size c, p_partkey k, p_name || (p_partkey % 9) || ', ' || p_name || (p_partkey % 4) || ',,' p, CASE WHEN p_partkey % 3 > 0 THEN p_name || (p_partkey % 6) END n FROM part), l AS (SELECT t, c, arg_max(p, k) p, arg_max(n, k) n, arg_max(k, k) k FROM s GROUP BY 1, 2),
+    q AS (SELECT t, c, CASE WHEN k % 3 > 0 THEN n END n, p FROM l), g AS (SELECT upper(p_name) || (p_partkey % 5) y, arg_max('g' || p_partkey, p_partkey) g FROM part GROUP BY 1), e AS (SELECT t, c, 'p' s, unnest(list_filter(list_transform(string_split(p, ','), lambda x: upper(trim(x))), lambda x: x <> '')) y FROM q UNION ALL SELECT t, c, 'n', upper(trim(n)) FROM q WHERE n IS NOT NULL)
+    SELECT t AS tissue, c AS cell_type, coalesce(string_agg(DISTINCT g.g, ';' ORDER BY g.g) FILTER (s = 'p' AND g.g IS NOT NULL), '') AS positive, coalesce(string_agg(DISTINCT g.g, ';' ORDER BY g.g) FILTER (s = 'n' AND g.g IS NOT NULL), '') AS negative, count(g.g) FILTER (s = 'p') AS n_positive_mapped, count(g.g) FILTER (s = 'n') AS n_negative_mapped, count(*) FILTER (s = 'p') AS n_positive_total, count(*) FILTER (s = 'n') AS n_negative_total FROM e LEFT JOIN g ON g.y = e.y GROUP BY 1, 2"""
+)
+def signed_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part, k = _t(spark, sf_dir, "part"), F.col("p_partkey")
+    name = lambda m: F.concat("p_name", (k % m).cast("string"))
+    sheet = part.select(F.concat(F.lit(" "), "p_brand").alias("tissue"), F.concat(F.lit("type "), F.col("p_size").cast("string")).alias("cell_type"), F.concat(name(9), F.lit(", "), name(4), F.lit(",,")).alias("positive"), F.when(k % 3 > 0, name(6)).alias("negative"), k.alias("place"))
+    genes = part.select(name(5).alias("symbol"), F.concat(F.lit("g"), k.cast("string")).alias("gene"), k.alias("place"))
+    out = K.signed_markers(sheet, genes)
+    return out.withColumn("positive", F.array_join("positive", ";")).withColumn("negative", F.array_join("negative", ";"))
+
+
+_BLOCKS = "SELECT l_suppkey k, l_linenumber c, round(avg(l_quantity) / 50, 9) a, round(avg(l_tax), 9) p, round(avg(l_discount), 9) q FROM lineitem WHERE l_returnflag = {f} GROUP BY 1, 2"
+
+
+@query(f"WITH o AS ({_BLOCKS.format(f=chr(39) + 'R' + chr(39))}), h AS ({_BLOCKS.format(f=chr(39) + 'A' + chr(39))}) SELECT o.k AS tissue, o.c AS cell_type, o.a AS auc_ours, h.a AS auc_human, o.q < 0.045 AS is_hotspot, round(h.a - o.a, 9) AS delta_auc, CASE WHEN h.a IS NULL THEN 'no_human_block' WHEN h.a >= 0.5 AND h.p < 0.04 THEN 'PRESERVED' WHEN h.a >= 0.5 THEN 'WEAKENED' ELSE 'LOST' END AS status FROM o LEFT JOIN h ON h.k = o.k AND h.c = o.c")
+def species_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _t(spark, sf_dir, "lineitem")
+    mean = lambda c, n, by=1: F.round(F.avg(c) / by, 9).alias(n)
+    side = lambda flag: rows.where(F.col("l_returnflag") == flag).groupBy(F.col("l_suppkey").alias("tissue"), F.col("l_linenumber").alias("cell_type"))
+    ours, human = side("R").agg(mean("l_quantity", "auc", 50), mean("l_tax", "p"), mean("l_discount", "q")), side("A").agg(mean("l_quantity", "auc", 50), mean("l_tax", "p"))
+    out = K.species_blocks(ours, human, ["tissue", "cell_type"], hotspot_q=0.045, auc=0.5, p=0.04)
+    return out.select("tissue", "cell_type", "auc_ours", "auc_human", "is_hotspot", F.round("delta_auc", 9).alias("delta_auc"), "status")
+
+
+@query(
+    """WITH v AS (SELECT vec_id k, CAST(embedding AS DOUBLE[]) e FROM embeddings WHERE vec_id % 3 > 0), f AS (SELECT vec_id k, vec_id // 5 f FROM embeddings WHERE vec_id % 7 > 0), x AS (SELECT f, unnest(range(len(e))) d, unnest(e) x FROM f JOIN v USING (k)), m AS (SELECT f, d, avg(x) m FROM x GROUP BY 1, 2), t AS (SELECT vec_id k FROM embeddings),
+    r AS (SELECT t.k, CASE WHEN v.k IS NOT NULL THEN 'own' WHEN g.f IS NOT NULL THEN 'family' ELSE 'none' END s, coalesce(v.e[1], (SELECT m FROM m WHERE m.f = g.f AND d = 0)) a, coalesce(v.e[64], (SELECT m FROM m WHERE m.f = g.f AND d = 63)) z FROM t LEFT JOIN v ON v.k = t.k LEFT JOIN (SELECT DISTINCT f.k, f.f FROM f JOIN m ON m.f = f.f) g ON g.k = t.k) SELECT k AS token, s AS start, round(a, 9) AS first, round(z, 9) AS last FROM r"""
+)
+def family_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, k = _t(spark, sf_dir, "embeddings"), F.col("vec_id")
+    vectors = rows.where("vec_id % 3 > 0").select(k.alias("token"), F.col("embedding").cast("array<double>").alias("vector"))
+    out = K.family_starts(rows.select(k.alias("token")), vectors, rows.where("vec_id % 7 > 0").select(k.alias("token"), F.floor(k / 5).alias("family")))
+    return out.select("token", "start", F.round(F.get("vector", F.lit(0)), 9).alias("first"), F.round(F.get("vector", F.lit(63)), 9).alias("last"))
+
+
+@query("WITH l AS (SELECT c_nationkey t, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) p, c_custkey c, c_mktsegment m FROM customer) SELECT o_orderkey AS cell, o_custkey % 25 AS tissue, 'mix' || (o_orderkey % 80) AS sample, c AS label, coalesce(CASE WHEN c % 4 > 0 THEN CASE WHEN c % 2 = 0 THEN 'F' ELSE 'M' END END, 'NA') AS sex, CASE WHEN c % 4 > 0 THEN CASE WHEN c % 3 = 0 THEN 'Control' ELSE (c % 3 * 4) || 'w' END ELSE 'NA' END AS \"group\", CASE WHEN c % 4 > 0 THEN CASE WHEN c % 3 = 0 THEN 0 ELSE c % 3 * 4 END END AS weeks FROM orders LEFT JOIN l ON t = o_custkey % 25 AND p = o_orderkey % 80")
+def sample_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    cells = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("cell"), (F.col("o_custkey") % 25).alias("tissue"), F.concat(F.lit("mix"), (F.col("o_orderkey") % 80).cast("string")).alias("sample"))
+    customers, c = _t(spark, sf_dir, "customer"), F.col("c_custkey")
+    labels = customers.select(F.col("c_nationkey").alias("tissue"), F.row_number().over(Window.partitionBy("c_nationkey").orderBy("c_custkey")).cast("long").alias("place"), c.alias("label"))
+    phenotypes = customers.where("c_custkey % 4 > 0").select(c.alias("label"), F.when(c % 2 == 0, "F").otherwise("M").alias("sex"), F.when(c % 3 == 0, "Control").otherwise(F.concat((c % 3 * 4).cast("string"), F.lit("w"))).alias("group"))
+    return K.sample_table(cells, labels, phenotypes)
+
+
+@query("SELECT c_custkey AS sample, CASE WHEN c_custkey % 3 = 0 THEN c_mktsegment WHEN c_custkey % 5 > 0 THEN 'file ' || c_nationkey END AS tissue, CASE WHEN c_custkey % 3 = 0 THEN 'series' WHEN c_custkey % 5 > 0 THEN 'file' ELSE 'none' END AS tissue_source, CASE WHEN c_custkey % 7 > 0 THEN 's' || c_custkey % 2 END AS sex, CASE WHEN c_custkey % 7 > 0 THEN 'review' ELSE 'none' END AS sex_source FROM customer")
+def sample_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, c = _t(spark, sf_dir, "customer"), F.col("c_custkey")
+    own = rows.select(c.alias("sample"))
+    series = rows.select(c.alias("sample"), F.when(c % 3 == 0, F.col("c_mktsegment")).otherwise(" ").alias("tissue"))
+    files = rows.where("c_custkey % 5 > 0").select(c.alias("sample"), F.concat(F.lit("file "), F.col("c_nationkey").cast("string")).alias("tissue"), F.lit("").alias("sex"))
+    reviews = rows.where("c_custkey % 7 > 0").select(c.alias("sample"), F.concat(F.lit("s"), (c % 2).cast("string")).alias("sex"))
+    return K.inventory(own, [("series", series), ("file", files), ("review", reviews)], ["tissue", "sex"])
+
+
+@query("SELECT count(*) AS total, count(*) FILTER (event_id % 5 > 0) AS successful, count(*) FILTER (event_id % 5 = 0) AS failed, count(*) FILTER (event_id % 5 > 0 AND event_type = 'click') AS clicks, count(*) FILTER (event_id % 5 > 0 AND value > 10) AS large FROM events")
+def review_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _t(spark, sf_dir, "events").withColumn("success", F.when(F.col("event_id") % 5 > 0, True))
+    return K.review_statistics(rows, {"clicks": F.col("event_type") == "click", "large": F.col("value") > 10})
+
+
+@query("SELECT event_id AS k, CAST(4 AS INTEGER) AS n, event_type || ', x' AS first, user_id || ' \"' || event_type || '\"' AS second, '' AS third, props AS last FROM events")
+def quoted_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, u = _t(spark, sf_dir, "events"), F.col("user_id").cast("string")
+    line = F.concat(F.lit('"'), "event_type", F.lit(', x","'), u, F.lit(' ""'), "event_type", F.lit('""",,"'), F.replace("props", F.lit('"'), F.lit('""')), F.lit('"'))
+    cells = rows.select(F.col("event_id").alias("k"), K.quoted_cells(line).alias("c"))
+    return cells.select("k", F.size("c").alias("n"), F.col("c")[0].alias("first"), F.col("c")[1].alias("second"), F.col("c")[2].alias("third"), F.col("c")[3].alias("last"))
+
+
+@query("SELECT page_id, NOT (contains(u, 'ad') OR contains(u, 'meta')) AND (contains(u, 'an') OR u LIKE '%e') AS is_matrix FROM (SELECT page_id, lower(regexp_extract(url, '[^/]*$')) u FROM pages)")
+def matrix_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "pages").select("page_id", K.matrix_candidate(F.col("url"), ("ad", "meta"), ("an",), ("e",)).alias("is_matrix"))
+
+
+@query("SELECT o_orderkey AS sample_id FROM orders WHERE o_orderstatus = 'F' AND lower(o_orderpriority) LIKE '%high%' AND o_custkey % 7 > 0")
+def refined_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("sample_id"), F.concat(F.lit(" "), "o_orderstatus").alias("tissue"), F.col("o_orderpriority").alias("title"), "o_custkey")
+    return K.refined_selection(rows, "f", include="high", failed=rows.where("o_custkey % 7 = 0")).select("sample_id")
+
+
+@query("SELECT l_suppkey AS kind, CASE WHEN l_discount >= 0.05 THEN 'high' ELSE 'low' END AS purity_side, count(*) AS n, round(median(l_quantity), 6) AS median, round(avg(l_quantity), 6) AS mean FROM lineitem GROUP BY 1, 2")
+def purity_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _t(spark, sf_dir, "lineitem").withColumnRenamed("l_suppkey", "kind")
+    return K.split_summary(rows, ["kind"], "l_discount", "l_quantity", at=0.05).select("kind", "purity_side", "n", F.round("median", 6).alias("median"), F.round("mean", 6).alias("mean"))
+
+
+@query("SELECT l_orderkey, l_linenumber, round(sign(l_discount - 0.05) * -log10(greatest(l_tax * l_tax / 100, 1e-300)), 6) + 0.0 AS stat FROM lineitem")
+def signed_log_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = F.col("l_tax") * F.col("l_tax") / 100
+    return _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.round(N.signed_log_p(p, F.col("l_discount") - 0.05), 6) + 0.0).alias("stat"))
