@@ -93,15 +93,15 @@ def cosine_silhouette(vectors: DataFrame, key: str, vector: str, label: str) ->
     """
     told = vectors.where(F.col(label).isNotNull() & F.col(vector).isNotNull()).withColumn("_v", F.transform(vector, lambda x: x.cast("double")))
     norm = F.sqrt(F.aggregate("_v", F.lit(0.0), lambda s, x: s + x * x))
-    unit = told.withColumn("_n", norm).where("_n > 0").select(key, label, F.transform("_v", lambda x: x / F.col("_n")).alias("_u"))
+    unit = told.withColumn("_n", norm).where("_n > 0").select(key, label, F.transform("_v", lambda x: F.try_divide(x, F.col("_n"))).alias("_u"))
     dims = unit.select(F.col(label).alias("_class"), F.posexplode("_u").alias("dim", "u")).groupBy("_class", "dim").agg(F.sum("u").alias("s"), F.count(F.lit(1)).alias("n"))
     sums = dims.groupBy("_class").agg(F.max("n").alias("size"), F.transform(F.sort_array(F.collect_list(F.struct("dim", "s"))), lambda d: d["s"]).alias("sum"))
     every = sums.agg(F.collect_list(F.struct(F.col("_class").alias("class"), "size", "sum")).alias("_all")).withColumn("_", F.lit(0))
     dot = lambda c: F.aggregate(F.zip_with("_u", c["sum"], lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     met = unit.withColumn("_", F.lit(0)).join(every, "_").withColumn("_p", F.transform("_all", lambda c: F.struct(c["class"].alias("class"), c["size"].alias("size"), dot(c).alias("p"))))
     own, others = F.filter("_p", lambda c: c["class"] == F.col(label)), F.filter("_p", lambda c: c["class"] != F.col(label))
-    a = F.array_max(F.transform(F.filter(own, lambda c: c["size"] > 1), lambda c: (c["size"] - c["p"]) / (c["size"] - 1)))
-    ab = met.select(key, label, a.alias("a"), F.array_min(F.transform(others, lambda c: 1 - c["p"] / c["size"])).alias("b"))
+    a = F.array_max(F.transform(F.filter(own, lambda c: c["size"] > 1), lambda c: F.try_divide(c["size"] - c["p"], (c["size"] - 1).cast("double"))))
+    ab = met.select(key, label, a.alias("a"), F.array_min(F.transform(others, lambda c: 1 - F.try_divide(c["p"], c["size"].cast("double")))).alias("b"))
     return ab.select(key, label, F.when(F.col("b").isNotNull(), F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0))).alias("silhouette"))
 
 
