@@ -88,6 +88,18 @@ def soft(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return series, samples
 
 
+def archive_listing(spark: SparkSession, path: str) -> DataFrame:
+    """file, line, kind, name, time, size, type and archive (the last Archive line before a File line) of lists of archives' files.
+
+    Header lines and lines of fewer than five cells are passed over; a size that is no number is 0.
+    """
+    lines = numbered_lines(spark, path).where("not startswith(text, '#') and not startswith(text, 'Archive/File')").withColumn("c", F.transform(F.split("text", "\t"), lambda x: F.trim(x))).where("size(c) >= 5")
+    cells = lines.select("file", "line", *[F.col("c")[i].alias(n) for i, n in enumerate(("kind", "name", "time", "size", "type"))]).withColumn("size", F.coalesce(F.col("size").try_cast("long"), F.lit(0)))
+    running = Window.partitionBy("file").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
+    owner = F.last(F.when(F.col("kind") == "Archive", F.col("name")), ignorenulls=True).over(running)
+    return cells.withColumn("archive", F.when(F.col("kind") == "File", owner))
+
+
 def catalog(spark: SparkSession, path: str, rows: str, key: str = "accession") -> DataFrame:
     """The rows under one field of JSON files, one for each key: the last of its file, and of the last file."""
     found = spark.read.json(path, multiLine=True).select(F.col("_metadata.file_path").alias("_file"), F.posexplode(rows).alias("_pos", "_row"))
