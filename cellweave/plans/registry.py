@@ -114,13 +114,13 @@ def gene_median_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {_COUNTS} SELECT gene, count(*) AS n_nonzero, round(avg(count), 5) AS mean_nonzero, round(var_pop(count), 5) AS var_nonzero, round(stddev_pop(count), 5) AS std_nonzero,
-    round(sum(count) / (SELECT count(DISTINCT cell) FROM counts), 5) AS mean_all, round(1 - count(*) / (SELECT count(DISTINCT cell) FROM counts), 5) AS zero_fraction FROM counts WHERE count > 0 GROUP BY gene"""
+    f"""WITH {_COUNTS} SELECT gene, count(*) AS n_nonzero, round(round(avg(count), 8), 5) AS mean_nonzero, round(round(var_pop(count), 8), 5) AS var_nonzero, round(round(stddev_pop(count), 8), 5) AS std_nonzero,
+    round(round(sum(count) / (SELECT count(DISTINCT cell) FROM counts), 8), 5) AS mean_all, round(round(1 - count(*) / (SELECT count(DISTINCT cell) FROM counts), 8), 5) AS zero_fraction FROM counts WHERE count > 0 GROUP BY gene"""
 )
 def derived_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = _counts(spark, sf_dir)
     out = E.derived_stats(counts, counts.select("cell").distinct().count())
-    return out.select("gene", "n_nonzero", *[F.round(c, 5).alias(c) for c in ("mean_nonzero", "var_nonzero", "std_nonzero", "mean_all", "zero_fraction")])
+    return out.select("gene", "n_nonzero", *[F.round(F.round(c, 8), 5).alias(c) for c in ("mean_nonzero", "var_nonzero", "std_nonzero", "mean_all", "zero_fraction")])
 
 
 @query(f"WITH {_COUNTS}, {_MEDIANS} SELECT p_type AS biotype, count(*) AS n_genes, round(quantile_cont(median, 0.5), 6) AS median_of_medians, min(median) AS least, max(median) AS most FROM medians JOIN part ON gene = p_partkey GROUP BY 1")

@@ -259,11 +259,11 @@ def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""WITH {_PAIRS}, q AS (SELECT g, truth, est, round(est, 6) e6 FROM p), r AS (SELECT *, rank() OVER (PARTITION BY g ORDER BY truth) + (count(*) OVER (PARTITION BY g, truth) - 1) / 2 a, rank() OVER (PARTITION BY g ORDER BY e6) + (count(*) OVER (PARTITION BY g, e6) - 1) / 2 b FROM q)
-    SELECT g, count(*) AS n, round(corr(truth, est), 6) AS pearson, round(corr(a, b), 6) AS spearman, round(sqrt(avg((est - truth) ** 2)), 6) AS rmse, round(avg(est - truth), 6) AS bias, round(avg(truth), 6) AS true_mean, round(avg(est), 6) AS est_mean FROM r GROUP BY 1"""
+    SELECT g, count(*) AS n, round(corr(truth, est), 6) AS pearson, round(corr(a, b), 6) AS spearman, round(sqrt(avg((est - truth) ** 2)), 6) AS rmse, round(round(avg(est - truth), 9), 6) AS bias, round(round(avg(truth), 9), 6) AS true_mean, round(round(avg(est), 9), 6) AS est_mean FROM r GROUP BY 1"""
 )
 def deconvolution_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = S.estimate_scores(_pairs(spark, sf_dir).withColumn("estimate", F.round("estimate", 6)), ["g"])
-    return out.select("g", "n", *[F.round(c, 6).alias(c) for c in ("pearson", "spearman", "rmse", "bias", "true_mean", "est_mean")])
+    return out.select("g", "n", *[F.round(c, 6).alias(c) for c in ("pearson", "spearman", "rmse")], *[F.round(F.round(c, 9), 6).alias(c) for c in ("bias", "true_mean", "est_mean")])
 
 
 @query(
@@ -300,11 +300,11 @@ def permuted_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     """WITH o AS (SELECT o_custkey c, o_orderkey k, o_totalprice v, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 p, count(*) OVER (PARTITION BY o_custkey) n FROM orders),
     d AS (SELECT c, k, n, b, CAST('0x' || substring(md5('0|' || b || '|' || k), 1, 12) AS BIGINT) % n p FROM o, range(1, 11) t(b)), m AS (SELECT d.c, d.b, avg(o.v) m FROM d JOIN o ON o.c = d.c AND o.p = d.p GROUP BY 1, 2), s AS (SELECT c, stddev_pop(m) sd FROM m GROUP BY 1)
-    SELECT o.c AS o_custkey, count(*) AS n, round(avg(v), 4) AS point, round(max(sd), 4) AS sd, round(CASE WHEN max(sd) > 1e-12 THEN avg(v) / max(sd) ELSE 0 END, 4) AS z FROM o JOIN s ON s.c = o.c GROUP BY 1"""
+    SELECT o.c AS o_custkey, count(*) AS n, round(avg(v), 6) AS point, round(round(max(sd), 7), 4) AS sd, round(round(CASE WHEN max(sd) > 1e-12 THEN avg(v) / max(sd) ELSE 0 END, 8), 4) AS z FROM o JOIN s ON s.c = o.c GROUP BY 1"""
 )
 def bootstrap_z(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = S.bootstrap_z(_t(spark, sf_dir, "orders"), ["o_custkey"], "o_orderkey", "o_totalprice", 10)
-    return out.select("o_custkey", "n", *[F.round(c, 4).alias(c) for c in ("point", "sd", "z")])
+    return out.select("o_custkey", "n", F.round("point", 6).alias("point"), *[F.round(F.round(c, n), 4).alias(c) for c, n in (("sd", 7), ("z", 8))])
 
 
 @query(
