@@ -202,3 +202,17 @@ def test_pipeline_stages_against_brute_force(spark, tmp_path):
     assert packed.groupby("sequence_id")["length"].sum().max() <= 2048
     out = corpus_pipeline.run(spark, sf)
     assert out.count() > 0 and set(np.unique(out.select("doc_id").toPandas()["doc_id"])) <= kept
+
+
+def test_scratch_deletes_what_operators_wrote(spark):
+    import pathlib
+
+    from cellweave.llm.common import materialize, scratch, shared_path
+
+    kept = shared_path(spark, "kept")
+    with scratch(spark):
+        table = materialize(spark.range(5).toDF("k"), "inner")
+        where = pathlib.Path(table.inputFiles()[0].removeprefix("file:")).parent
+        table.write.parquet(kept)
+        assert where.exists()
+    assert not where.exists() and spark.read.parquet(kept).count() == 5
