@@ -54,13 +54,19 @@ def average_rank(df: DataFrame, by: list[str], value: str, out: str) -> DataFram
 
 
 def spearman(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
-    """by, n and rho: Pearson correlation of average ranks. Equal pairs are folded before they are ranked."""
+    """by, n and rho: Pearson correlation of average ranks.
+
+    Equal pairs are folded first; both rankings are then made in one exchange by group, each by a sort that can spill. A group is
+    one task's work, as its genes or blocks are few next to the table.
+    """
     pairs = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*by, x, y).agg(F.count(F.lit(1)).alias("_c"))
-    ranks = {}
-    for v, out in ((x, "_rx"), (y, "_ry")):
-        counts = running_sums(pairs.groupBy(*by, v).agg(F.sum("_c").alias("_n")), by, v, {"_upto": "_n"})
-        ranks[v] = counts.select(*by, v, (F.col("_upto") - F.col("_n") + (F.col("_n") + 1) / 2).alias(out))
-    ranked = pairs.join(ranks[x], [*by, x]).join(ranks[y], [*by, y])
+
+    def rank(v: str) -> Column:
+        order = Window.partitionBy(*by).orderBy(v)
+        own = F.sum("_c").over(order.rangeBetween(Window.currentRow, Window.currentRow))
+        return F.sum("_c").over(order) - (own - 1) / 2.0
+
+    ranked = pairs.withColumn("_rx", rank(x)).withColumn("_ry", rank(y))
     n, c = F.sum("_c"), F.col("_c")
     # Ranks have the mean (n + 1) / 2, and halves are exact, so sums of products lose nothing before the last step.
     sums = ranked.groupBy(*by).agg(n.alias("n"), F.sum(c * F.col("_rx") * F.col("_rx")).alias("_xx"), F.sum(c * F.col("_ry") * F.col("_ry")).alias("_yy"), F.sum(c * F.col("_rx") * F.col("_ry")).alias("_xy"))
