@@ -18,34 +18,90 @@ from .scoring import draw_order, permutation_p
 
 #: Vectors of one packed block.
 BLOCK = 512
-_NEAR = "key long, near long, distance double"
+#: Groups of queries at least, if blocks allow: each is one task's work and meets every block once.
+GROUPS = 32
+#: Blocks of queries in a group at most, so that a task holds few vectors at any size.
+MOST = 32
+_NEAR = "key long, near long, distance double, rank int"
 
 
 def _blocks(vectors: DataFrame, blocks: int) -> DataFrame:
     """block, ids and their vectors one after another, about BLOCK rows to a block."""
-    row = F.struct(F.col("key").alias("key"), F.transform("vector", lambda x: x.cast("double")).alias("vector"))
+    row = F.struct(F.col("key").alias("key"), F.col("vector").alias("vector"))
     packed = vectors.withColumn("block", F.pmod(F.xxhash64("key"), F.lit(blocks))).groupBy("block").agg(F.sort_array(F.collect_list(row)).alias("rows"))
     return packed.select("block", F.transform("rows", lambda r: r["key"]).alias("ids"), F.flatten(F.transform("rows", lambda r: r["vector"])).alias("data"))
 
 
+class _Best:
+    """The k nearest so far of the vectors of one group, as blocks pass by."""
+
+    def __init__(self, ids: np.ndarray, data: np.ndarray, k: int, metric: str):
+        self.ids, self.k, self.cosine = ids, k, metric == "cosine"
+        self.x = self.unit(data)
+        self.own = (self.x * self.x).sum(1)
+        self.d, self.near = np.full((len(ids), k), np.inf), np.full((len(ids), k), np.iinfo(np.int64).max)
+
+    def unit(self, x: np.ndarray) -> np.ndarray:
+        return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300) if self.cosine else x
+
+    def meet(self, others: np.ndarray, data: np.ndarray) -> None:
+        y = self.unit(data)
+        norm = (y * y).sum(1)
+        for a in range(0, len(self.ids), BLOCK):
+            part = slice(a, a + BLOCK)
+            rough = self.x[part] @ y.T
+            d = 1 - rough if self.cosine else np.maximum(self.own[part, None] + norm - 2 * rough, 0.0)
+            d = np.round(d, 9) if len(others) <= self.k else self._rounded_where_near(d, self.d[part, -1])
+            d[self.ids[part, None] == others] = np.inf
+            rows, cols = np.nonzero((d < np.inf) & (d <= self.d[part, -1:]))
+            if len(rows):
+                self._merge(a, rows, others[cols], d[rows, cols])
+
+    def _rounded_where_near(self, d: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """d rounded, and without what cannot be among the nearest: beyond the k nearest of before or of this block."""
+        least = np.minimum(np.partition(d, self.k, axis=1)[:, self.k] if np.isinf(last).any() else np.inf, last)
+        near = d <= least[:, None] + 2e-9
+        out = np.full(d.shape, np.inf)
+        out[near] = np.round(d[near], 9)
+        return out
+
+    def _merge(self, a: int, rows: np.ndarray, near: np.ndarray, d: np.ndarray) -> None:
+        touched = np.unique(rows)
+        at = a + touched
+        r = np.concatenate([np.repeat(np.arange(len(at)), self.k), np.searchsorted(touched, rows)])
+        n, d = np.concatenate([self.near[at].ravel(), near]), np.concatenate([self.d[at].ravel(), d])
+        order = np.lexsort((n, d, r))
+        r, n, d = r[order], n[order], d[order]
+        place = np.arange(len(r)) - np.searchsorted(r, r)
+        keep = place < self.k
+        self.near[at], self.d[at] = n[keep].reshape(-1, self.k), d[keep].reshape(-1, self.k)
+
+    def rows(self) -> pa.RecordBatch:
+        ok = np.isfinite(self.d)
+        rank = np.broadcast_to(np.arange(1, self.k + 1, dtype=np.int32), ok.shape)
+        return pa.RecordBatch.from_arrays([pa.array(np.repeat(self.ids, ok.sum(1))), pa.array(self.near[ok]), pa.array(self.d[ok]), pa.array(rank[ok])], names=["key", "near", "distance", "rank"])
+
+
 def _nearest(k: int, metric: str) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, best, group = [], None, None
         for batch in batches:
-            for r in batch.to_pylist():
-                a, b = (np.array(r[c]).reshape(len(r[i]), -1) for c, i in (("data", "ids"), ("other", "other_ids")))
-                if metric == "cosine":
-                    a, b = (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300) for x in (a, b))
-                    d = 1 - a @ b.T
+            at = {c: batch.column(c) for c in ("group", "query", "ids", "data")}
+            for i in range(batch.num_rows):
+                if at["group"][i].as_py() != group:
+                    if best is not None:
+                        yield best.rows()
+                    held, best, group = [], None, at["group"][i].as_py()
+                ids = at["ids"][i].values.to_numpy()
+                data = at["data"][i].values.to_numpy().astype(float).reshape(len(ids), -1)
+                if at["query"][i].as_py():
+                    held.append((ids, data))
                 else:
-                    d = np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1) - 2 * a @ b.T, 0.0)
-                d = np.round(d, 9)
-                ids, others = np.array(r["ids"]), np.array(r["other_ids"])
-                d[ids[:, None] == others] = np.inf
-                order = np.argsort(d, axis=1, kind="stable")[:, :k]  # others are in the order of their ids
-                rows = np.repeat(np.arange(len(ids)), order.shape[1])
-                flat = order.ravel()
-                ok = np.isfinite(d[rows, flat])
-                yield pa.RecordBatch.from_arrays([pa.array(ids[rows[ok]]), pa.array(others[flat[ok]]), pa.array(d[rows, flat][ok])], names=["key", "near", "distance"])
+                    if best is None:
+                        best = _Best(*(np.concatenate(v) for v in zip(*held, strict=True)), k, metric)
+                    best.meet(ids, data)
+        if best is not None:
+            yield best.rows()
 
     return run
 
@@ -53,17 +109,19 @@ def _nearest(k: int, metric: str) -> Callable:
 def nearest(vectors: DataFrame, k: int, metric: str = "euclidean", block: int = BLOCK) -> DataFrame:
     """key, near, distance and rank: the k nearest other rows of each of vectors(key, vector), exactly.
 
-    Every block meets every other by a join on the other's number; a pair of blocks gives k rows a vector. Distances (squared
-    ones, or 1 - cosine) are rounded to 9 places and ties go to the smaller key. Keys are distinct longs.
+    Vectors are packed to blocks and blocks to groups of queries. Every block is sent once to each group, whose task holds the
+    group's vectors and the nearest so far and lets the blocks pass by, so what is sent grows with groups, not with pairs of
+    blocks, and only the k nearest leave a task. Distances (squared ones, or 1 - cosine) are rounded to 9 places and ties go to
+    the smaller key. Keys are distinct longs.
     """
     n = vectors.count()
     count = max(1, -(-n // block))
-    left = _blocks(vectors, count)
-    right = left.select(F.col("block").alias("to"), F.col("ids").alias("other_ids"), F.col("data").alias("other"))
-    pairs = left.withColumn("to", F.explode(F.sequence(F.lit(0), F.lit(count - 1)))).withColumn("to", F.col("to").cast("long")).join(right, "to")
-    near = pairs.select("ids", "data", "other_ids", "other").repartition(F.col("ids")[0], F.col("other_ids")[0]).mapInArrow(_nearest(k, metric), _NEAR)
-    order = Window.partitionBy("key").orderBy("distance", "near")
-    return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    groups = max(min(count, GROUPS), -(-count // MOST))
+    packed = _blocks(vectors, count)
+    queries = packed.select(F.pmod(F.col("block"), F.lit(groups)).cast("int").alias("group"), F.lit(True).alias("query"), "ids", "data")
+    passing = packed.select(F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"), F.lit(False).alias("query"), "ids", "data")
+    both = queries.unionByName(passing).repartitionById(groups, "group").sortWithinPartitions("group", F.desc("query"))
+    return both.mapInArrow(_nearest(k, metric), _NEAR)
 
 
 def neighbour_purity(vectors: DataFrame, k: int = 15, metric: str = "euclidean") -> DataFrame:

@@ -34,3 +34,17 @@ def test_fits_of_a_batch_of_genes_are_products_of_matrices():
     x = np.array([[1, k % 2, k % 3] for k in range(6)], float)
     want = np.linalg.solve(x.T @ (5 * x), x.T @ s[7])[2]
     assert out["n"][7] == 30 and out["df"][7] == 27 and abs(out["estimate"][7] - want) < 1e-9 and abs(out["mean"][7] - 1 - s[7].sum() / 30) < 1e-12
+
+
+def test_nearest_sends_blocks_to_groups_not_to_blocks(spark, monkeypatch):
+    from cellweave.operators import representation as R
+
+    x = np.random.default_rng(3).normal(size=(300, 4))
+    table = spark.createDataFrame([(int(k), [float(v) for v in x[k // 2 * 2]]) for k in range(300)], "key long, vector array<double>")
+    sent, run = [], type(table).mapInArrow
+    monkeypatch.setattr(type(table), "mapInArrow", lambda self, f, schema: sent.append(self.count()) or run(self, f, schema))
+    got = {(r.key, r["rank"]): r.near for r in R.nearest(table, 5, block=3).collect()}
+    d = np.round(((x[None, ::2] - x[::2, None]) ** 2).sum(-1), 9).repeat(2, 0).repeat(2, 1)
+    np.fill_diagonal(d, np.inf)
+    want = {(k, r + 1): int(j) for k in range(300) for r, j in enumerate(np.argsort(d[k], kind="stable")[:5])}
+    assert got == want and sent[0] <= 100 * 33  # 10,000 pairs of blocks before
