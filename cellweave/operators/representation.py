@@ -22,6 +22,8 @@ BLOCK = 512
 GROUPS = 32
 #: Blocks of queries in a group at most, so that a task holds few vectors at any size.
 MOST = 32
+#: Parts that the genes of a family are dealt to before they are paired.
+PARTS = 8
 _NEAR = "key long, near long, distance double, rank int"
 
 
@@ -301,6 +303,16 @@ def family_check(vectors: DataFrame, families: DataFrame, seed: str = "0") -> Da
 
 
 def family_pairs(families: DataFrame) -> DataFrame:
-    """a and b, distinct: every pair of genes that share a family, the smaller first."""
-    other = families.select("family", F.col("gene").alias("b"))
-    return families.select("family", F.col("gene").alias("a")).join(other, "family").where("a < b").select("a", "b").distinct()
+    """a and b, distinct: every pair of genes that share a family, the smaller first.
+
+    A pair is told by the least family that both genes are in, which each gene's own list decides, so the pairs themselves are
+    neither shuffled nor held. Families are dealt out in parts, so a large one is not one task's work.
+    """
+    several = families.where("family is not null and gene is not null").distinct()
+    lists = several.groupBy("gene").agg(F.array_sort(F.collect_list("family")).alias("all"))
+    own = several.join(lists, "gene").select("family", "gene", F.when(F.size("all") > 1, F.col("all")).alias("all"))
+    part = F.pmod(F.xxhash64("gene"), F.lit(PARTS)).cast("int")
+    left = own.select("family", part.alias("part"), F.col("gene").alias("a"), F.col("all").alias("l"))
+    right = own.select("family", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"), F.col("gene").alias("b"), F.col("all").alias("r"))
+    first = F.col("l").isNull() | F.col("r").isNull() | (F.array_intersect("l", "r")[0] == F.col("family"))
+    return left.join(right, ["family", "part"]).where((F.col("a") < F.col("b")) & first).select("a", "b")

@@ -48,3 +48,14 @@ def test_nearest_sends_blocks_to_groups_not_to_blocks(spark, monkeypatch):
     np.fill_diagonal(d, np.inf)
     want = {(k, r + 1): int(j) for k in range(300) for r, j in enumerate(np.argsort(d[k], kind="stable")[:5])}
     assert got == want and sent[0] <= 100 * 33  # 10,000 pairs of blocks before
+
+
+def test_pairs_of_families_are_told_once_without_a_shuffle_of_pairs(spark):
+    from cellweave.operators import representation as R
+
+    rows = [(f, g) for f in range(6) for g in range(40) if (g * 7 + f) % 5 < 2 or g == 3] + [(0, 3), (None, 1), (2, None)]
+    out = R.family_pairs(spark.createDataFrame(rows, "family int, gene int"))
+    known = {(f, g) for f, g in rows if f is not None and g is not None}
+    want = sorted({(a, b) for f, a in known for h, b in known if f == h and a < b})
+    assert sorted(map(tuple, out.collect())) == want
+    assert not out._jdf.queryExecution().optimizedPlan().toString().startswith("Aggregate")
