@@ -200,11 +200,10 @@ def collision_bands(mapped: DataFrame) -> DataFrame:
     return per.groupBy(band.alias("band")).agg(F.count(F.lit(1)).alias("n_tokens"))
 
 
-def human_size(size: Column) -> Column:
-    """A number of bytes in the largest unit that leaves it at one or more, with one decimal."""
-    units = ("B", "KB", "MB", "GB", "TB")
+def human_size(size: Column, units: Sequence[str] = ("B", "KB", "MB", "GB", "TB", "PB")) -> Column:
+    """A number of bytes in the largest of units that leaves it at one or more, with one decimal."""
     told = lambda k, u: F.concat(F.format_string("%.1f", F.bround(size.cast("double") / float(1024**k), 1)), F.lit(f" {u}"))
-    return ladder([(size < 1024 ** (k + 1), told(k, u)) for k, u in enumerate(units)], told(5, "PB"))
+    return ladder([(size < 1024 ** (k + 1), told(k, u)) for k, u in enumerate(units[:-1])], told(len(units) - 1, units[-1]))
 
 
 def nested(json: Column, *keys: str) -> Column:

@@ -59,3 +59,12 @@ def test_pairs_of_families_are_told_once_without_a_shuffle_of_pairs(spark):
     want = sorted({(a, b) for f, a in known for h, b in known if f == h and a < b})
     assert sorted(map(tuple, out.collect())) == want
     assert not out._jdf.queryExecution().optimizedPlan().toString().startswith("Aggregate")
+
+
+def test_sizes_end_with_the_largest_unit_given(spark):
+    from pyspark.sql import functions as F
+
+    from cellweave.operators import records as K
+
+    row = spark.range(1).select(K.human_size(F.lit(5 * 1024.0**4), ("B", "KB", "MB", "GB")).alias("a"), K.human_size(F.lit(5 * 1024.0**4)).alias("b"), K.human_size(F.lit(3 * 1024.0**6)).alias("c")).first()
+    assert tuple(row) == ("5120.0 GB", "5.0 TB", "3072.0 PB")
