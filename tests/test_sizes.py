@@ -4,6 +4,7 @@ import time
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from cellweave.functions import tails
 from cellweave.operators import linear as L
@@ -62,8 +63,6 @@ def test_pairs_of_families_are_told_once_without_a_shuffle_of_pairs(spark):
 
 
 def test_sizes_end_with_the_largest_unit_given(spark):
-    from pyspark.sql import functions as F
-
     from cellweave.operators import records as K
 
     row = spark.range(1).select(K.human_size(F.lit(5 * 1024.0**4), ("B", "KB", "MB", "GB")).alias("a"), K.human_size(F.lit(5 * 1024.0**4)).alias("b"), K.human_size(F.lit(3 * 1024.0**6)).alias("c")).first()
@@ -79,3 +78,14 @@ def test_suppliers_beyond_the_pretrained_ids_are_of_the_stage(spark, tmp_path):
     one("embeddings", "SELECT id AS vec_id, array(cast(id AS float)) AS embedding FROM range(200)")
     got = {r.id: (r.token, r.source, r["first"]) for r in registry.QUERIES["embedding_table"](spark, str(tmp_path)).collect()}
     assert (got[99], got[100], got[101], got[102], got[151]) == (("h99", "pretrained", 99.0), ("h100", "stage", 390.0), ("h101", "stage", 393.9), ("h102", "zero", 0.0), ("r151", "stage", 588.9))
+
+
+def test_ties_of_rounding_are_those_of_sql(spark):
+    import duckdb
+
+    from cellweave.functions.stats import half_up
+
+    values = [k + 0.00005 + j / 10_000 for k in range(20_000, 20_400) for j in range(20)] + [-2.00005, 0.0]
+    told = duckdb.sql(f"SELECT round(round(v, 7), 4) r FROM (SELECT unnest({values}::DOUBLE[]) v)").fetchall()
+    got = spark.createDataFrame([(k, v) for k, v in enumerate(values)], "k int, v double").orderBy("k").select(half_up(half_up(F.col("v"), 7), 4).alias("r")).collect()
+    assert [r.r for r in got] == [r for (r,) in told]
