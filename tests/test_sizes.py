@@ -89,3 +89,16 @@ def test_ties_of_rounding_are_those_of_sql(spark):
     told = duckdb.sql(f"SELECT round(round(v, 7), 4) r FROM (SELECT unnest({values}::DOUBLE[]) v)").fetchall()
     got = spark.createDataFrame([(k, v) for k, v in enumerate(values)], "k int, v double").orderBy("k").select(half_up(half_up(F.col("v"), 7), 4).alias("r")).collect()
     assert [r.r for r in got] == [r for (r,) in told]
+
+
+def test_shards_are_padded_as_they_are_written(spark, tmp_path, monkeypatch):
+    from cellweave.operators import expression as E
+    from cellweave.sources import sinks
+
+    ranked = spark.createDataFrame([(c, r, 10 * c + r, 0.5 * r) for c in range(20) for r in range(1, 1 + c % 4 + 1)], "cell long, rank int, gene long, value double")
+    monkeypatch.setattr(sinks, "new_folder", lambda spark, name: str(tmp_path / name))
+    sinks.token_shards(E.token_lists(ranked), str(tmp_path / "shards"), 7, "cell", lambda rows: E.padded(rows, 64))
+    parts, shards = (spark.read.parquet(str(tmp_path / n)) for n in ("parts", "shards"))
+    assert parts.agg(F.max(F.size("input_ids"))).first()[0] == 4  # sorted and stored at full length before
+    assert [tuple(r) for r in shards.orderBy("cell").select("cell", "cell_index", F.size("input_ids"), F.size("values"), "n_tokens").collect()] == [(c, c, 64, 64, c % 4 + 1) for c in range(20)]
+    assert shards.orderBy("cell").select("input_ids", "values", "n_tokens").exceptAll(E.pad_tokens(ranked, 64).select("input_ids", "values", "n_tokens")).count() == 0
