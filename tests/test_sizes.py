@@ -102,3 +102,30 @@ def test_shards_are_padded_as_they_are_written(spark, tmp_path, monkeypatch):
     assert parts.agg(F.max(F.size("input_ids"))).first()[0] == 4  # sorted and stored at full length before
     assert [tuple(r) for r in shards.orderBy("cell").select("cell", "cell_index", F.size("input_ids"), F.size("values"), "n_tokens").collect()] == [(c, c, 64, 64, c % 4 + 1) for c in range(20)]
     assert shards.orderBy("cell").select("input_ids", "values", "n_tokens").exceptAll(E.pad_tokens(ranked, 64).select("input_ids", "values", "n_tokens")).count() == 0
+
+
+def test_gene_vectors_share_pairs_among_tasks_and_cosines_are_made_once(spark, monkeypatch):
+    from cellweave.operators import evaluation as V
+    from cellweave.operators import representation as R
+
+    told, made = [], R.Word2Vec
+    monkeypatch.setattr(R, "Word2Vec", lambda **k: told.append(k["numPartitions"]) or made(**k))
+    monkeypatch.setattr(R, "TRAINED", 100, raising=False)
+    families = spark.createDataFrame([(f"f{g // 8}", f"g{g:03d}") for g in range(64)], "family string, gene string")
+    vectors = R.gene_vectors(R.family_pairs(families), size=8, epochs=2)
+    assert told == [3] and vectors.count() == 64  # 224 pairs; one task had them all
+    seen = spark.sparkContext.accumulator(0)
+    passed = F.udf(lambda a: seen.add(1) or a, "long").asNondeterministic()
+    x = np.random.default_rng(5).normal(size=(40, 6))
+    x[7] = 0
+    table = spark.createDataFrame([(int(k), [float(v) for v in r]) for k, r in enumerate(x)], "key long, vector array<double>")
+    keys = table.select(F.col("key").alias("a"), (F.col("key") * 3 % 40).alias("b")).localCheckpoint()
+    out = V.paired_auc(table, keys.where("a < 20").withColumn("a", passed("a")), keys.where("a >= 20")).first()
+    assert seen.value == 20  # each cosine was made for means, ranges, their sums and ranks
+    u = x / np.maximum(np.linalg.norm(x, axis=1), 1e-300)[:, None]
+    pairs = [(a, a * 3 % 40) for a in range(40) if 7 not in (a, a * 3 % 40)]
+    c = {k: np.array([round(float(u[a] @ u[b]), 9) for a, b in pairs if (a < 20) == k]) for k in (True, False)}
+    wins = (c[True][:, None] > c[False]).sum() + (c[True][:, None] == c[False]).sum() / 2
+    assert (out.n_pos, out.n_neg) == (len(c[True]), len(c[False])) and abs(out.auc - wins / len(c[True]) / len(c[False])) < 1e-12
+    assert abs(out.mean_real - c[True].mean()) < 1e-9 and abs(out.mean_null - c[False].mean()) < 1e-9
+    assert V.paired_auc(table, keys.where("a < 0"), keys.where("a < 0")).count() == 0
