@@ -71,13 +71,24 @@ def rank_tokens(counts: DataFrame, medians: DataFrame, longest: int = 2048) -> D
 
     medians(gene, median) is a gene dimension; genes without a positive median have no token.
     """
-    on = counts.where("count > 0").join(medians.where("median > 0").select("gene", "median"), "gene")
-    valued = on.select("cell", "gene", F.log2(1 + F.col("count") / F.col("median")).alias("value"))
+    valued = _valued(counts, medians)
     # Ties are decided on rounded values, so that the order does not hang on the last bits of the logarithm.
     order = Window.partitionBy("cell").orderBy(F.desc(F.round("value", 6)), "gene")
     return valued.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= longest).select("cell", "rank", "gene", "value")
 
 
+def _valued(counts: DataFrame, medians: DataFrame) -> DataFrame:
+    on = counts.where("count > 0").join(medians.where("median > 0").select("gene", "median"), "gene")
+    return on.select("cell", "gene", F.log2(1 + F.col("count") / F.col("median")).alias("value"))
+
+
+def ranked_lists(counts: DataFrame, medians: DataFrame, longest: int = 2048) -> DataFrame:
+    """token_lists of rank_tokens, without a rank for each row: a cell's tokens are gathered once and put in order as an array."""
+    last = F.struct(~F.isnan("value"), (-F.round("value", 6)).alias("o"), "gene", "value")  # as in rank_tokens, the largest first
+    rows = _valued(counts, medians).groupBy("cell").agg(F.slice(F.array_sort(F.collect_list(last)), 1, longest).alias("t"))
+    return rows.select("cell", F.col("t.gene").alias("input_ids"), F.col("t.value").alias("values"), F.size("t").alias("n_tokens"))
+
+
 def pad_tokens(ranked: DataFrame, length: int = 2048) -> DataFrame:
     """cell, input_ids and values of fixed length (0 beyond the tokens), and n_tokens."""
     return padded(token_lists(ranked), length)
