@@ -113,12 +113,13 @@ def promote_priority(ranked: DataFrame, priority: DataFrame, base: int, window:
     """
     marked = ranked.where(F.col("rank") <= window).join(priority.select("gene", F.lit(True).alias("_p")), "gene", "left")
     marked = marked.withColumn("_p", F.coalesce("_p", F.lit(False))).withColumn("_in", F.col("rank") <= base)
-    cell = Window.partitionBy("cell")
+    # One order serves both counts and both places: the place from the end is the count less what lies before.
+    upto = Window.partitionBy("cell").orderBy("rank")
+    cell = upto.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     wanted, spare = F.col("_p") & ~F.col("_in"), ~F.col("_p") & F.col("_in")
-    k = F.least(F.count_if(wanted).over(cell), F.count_if(spare).over(cell))
-    nth_wanted = F.count_if(wanted).over(cell.orderBy("rank"))
-    nth_spare = F.count_if(spare).over(cell.orderBy(F.desc("rank")))
-    judged = marked.withColumn("_keep", F.when(wanted, nth_wanted <= k).when(spare, nth_spare > k).otherwise(F.col("_in")))
+    told = marked.withColumns({"_w": F.count_if(wanted).over(cell), "_s": F.count_if(spare).over(cell), "_nw": F.count_if(wanted).over(upto), "_ns": F.count_if(spare).over(upto)})
+    k = F.least("_w", "_s")
+    judged = told.withColumn("_keep", F.when(wanted, F.col("_nw") <= k).when(spare, F.col("_s") - F.col("_ns") + 1 > k).otherwise(F.col("_in")))
     return judged.where("_keep").select("cell", "rank", "gene", "value", F.col("_p").alias("is_priority"))
 
 

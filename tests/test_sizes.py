@@ -144,3 +144,19 @@ def test_token_lists_are_gathered_without_a_window(spark):
     for name in ("tokenize_padded", "masked_tokens"):
         plan = registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
         assert "Window" not in plan and "filter(" not in plan  # each was sorted, ranked and gathered; zeros went one by one through a lambda
+
+
+def test_promotion_counts_in_one_order(spark):
+    from cellweave.operators import expression as E
+
+    rows = [(c, r, (c * 13 + r * 7) % 50) for c in range(25) for r in range(1, 2 + c)]
+    ranked = spark.createDataFrame(rows, "cell long, rank int, gene long").withColumn("value", F.lit(1.0))
+    out = E.promote_priority(ranked, spark.createDataFrame([(g,) for g in range(0, 50, 3)], "gene long"), base=6, window=15)
+    want = set()
+    for c in range(25):
+        own = [(r, g) for k, r, g in rows if k == c and r <= 15]
+        new, old = [r for r, g in own if r > 6 and g % 3 == 0], [r for r, g in own if r <= 6 and g % 3]
+        k = min(len(new), len(old))
+        want |= {(c, r) for r, g in own if r in new[:k] or (r <= 6 and r not in old[len(old) - k :])}
+    assert {(r.cell, r.rank) for r in out.collect()} == want
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Window [") == 1  # three windows and two sorts before
