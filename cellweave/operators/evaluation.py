@@ -67,13 +67,18 @@ def conserved_edges(ours: DataFrame, theirs: DataFrame, orthologs: DataFrame, le
     ours(tf, target, delta, z), theirs(tf, target, delta), orthologs(gene, target) maps our targets. A factor's edges of
     |z| >= least_z are used where there are least_shared of them, else all; shifts of one mapped target are averaged.
     """
+    strong, delta = F.abs("z") >= least_z, F.col("delta")
     mapped = ours.join(orthologs.select(F.col("gene").alias("target"), F.col("target").alias("_t")), "target")
-    strong = F.abs("z") >= least_z
-    counts = mapped.groupBy("tf").agg((F.count_if(strong) >= least_shared).alias("_only"))
-    used = mapped.join(counts, "tf").where(~F.col("_only") | strong)
-    mean = lambda df, key, out: df.groupBy("tf", key.alias("_t")).agg(F.avg("delta").alias(out))
-    both = mean(used, F.col("_t"), "_a").join(mean(theirs, F.col("target"), "_b"), ["tf", "_t"])
-    return spearman(both.withColumn("_a", F.round("_a", 9)).withColumn("_b", F.round("_b", 9)), ["tf"], "_a", "_b").where(F.col("n") >= least_shared).select("tf", F.col("n").alias("n_shared"), "rho")
+    # Both species' edges are stacked and folded by (tf, target) at once: edges are neither joined with their own counts nor with the other side.
+    mine = mapped.select("tf", "_t", delta.alias("_d"), F.when(strong, delta).alias("_z"), strong.cast("int").alias("_k"), F.lit(None).cast("double").alias("_o"))
+    other = theirs.select("tf", F.col("target").alias("_t"), F.lit(None).cast("double").alias("_d"), F.lit(None).cast("double").alias("_z"), F.lit(None).cast("int").alias("_k"), delta.cast("double").alias("_o"))
+    # They go to their factor's task unfolded, as few of them fold, and in a fixed number of parts: neither map sides nor merged parts hold them in bulk.
+    parts = int(ours.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = mine.unionByName(other).where("tf is not null and _t is not null").repartition(parts, "tf")
+    per = dealt.groupBy("tf", "_t").agg(*[F.avg(c).alias(c) for c in ("_d", "_z", "_o")], F.sum("_k").alias("_k"))
+    only = F.coalesce(F.sum("_k").over(Window.partitionBy("tf")), F.lit(0)) >= least_shared
+    both = per.select("tf", F.round(F.when(only, F.col("_z")).otherwise(F.col("_d")), 9).alias("_a"), F.round("_o", 9).alias("_b"))
+    return spearman(both, ["tf"], "_a", "_b").where(F.col("n") >= least_shared).select("tf", F.col("n").alias("n_shared"), "rho")
 
 
 def conservation(per_tf: DataFrame, by: list[str]) -> DataFrame:

@@ -160,3 +160,20 @@ def test_promotion_counts_in_one_order(spark):
         want |= {(c, r) for r, g in own if r in new[:k] or (r <= 6 and r not in old[len(old) - k :])}
     assert {(r.cell, r.rank) for r in out.collect()} == want
     assert out._jdf.queryExecution().optimizedPlan().toString().count("Window [") == 1  # three windows and two sorts before
+
+
+def test_edges_of_both_species_are_folded_together(spark):
+    from cellweave.operators import evaluation as V
+
+    ours = [(f, t, float((f * 5 + t * 3) % 11), float((t * 7 + f) % 5 - 2) * (f % 2 + 0.5)) for f in range(4) for t in range(30)] + [(9, 1, 1.0, None), (None, 2, 1.0, 3.0)]
+    theirs = [(f, t, float((f + t * t) % 13)) for f in range(4) for t in range(2, 14)] + [(None, 3, 1.0)]
+    out = V.conserved_edges(spark.createDataFrame(ours, "tf int, target int, delta double, z double"), spark.createDataFrame(theirs, "tf int, target int, delta double"), spark.createDataFrame([(g, g // 2) for g in range(28)], "gene int, target int"))
+    want = {}
+    for f in range(4):
+        own = [(t // 2, d, abs(z) >= 2) for k, t, d, z in ours if k == f and t < 28]
+        used = [(t, d) for t, d, s in own if s or sum(s for *_, s in own) < 8]
+        pairs = [(np.mean([d for u, d in used if u == t]), y) for k, t, y in theirs if k == f and any(u == t for u, _ in used)]
+        x, y = (np.array([(np.array(v) < a).sum() + ((np.array(v) == a).sum() + 1) / 2 for a in v]) for v in zip(*pairs, strict=True))
+        want[f] = (len(pairs), round(float(np.corrcoef(x, y)[0, 1]), 9))
+    assert {r.tf: (r.n_shared, round(r.rho, 9)) for r in out.collect()} == {f: v for f, v in want.items() if v[0] >= 8}
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1  # edges met their own counts and the other side's means before
