@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.identifiers import normalize_ensembl
+from ..functions.identifiers import kmers, normalize_ensembl
 from .scoring import capped_sample
 
 
@@ -189,3 +189,16 @@ def derived_families(members: DataFrame, orthologs: DataFrame, least: int = 2) -
     own = members.select("family", "gene").join(orthologs, "gene").select("family", F.col("target").alias("gene")).distinct()
     enough = own.groupBy("family").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= least).select("family")
     return own.join(enough, "family", "left_semi")
+
+
+def kmer_counts(rows: DataFrame, key: str, sequence: str, k: int = 6) -> DataFrame:
+    """kmer, n (all occurrences in rows(key, sequence)) and n_keys, the distinct keys that it occurs in; a null key is none.
+
+    A key's sequences are brought together and its k-mers told apart there, so that no task holds the distinct pairs of k-mers and keys.
+    """
+    apart = F.when(F.col(key).isNull(), F.xxhash64(sequence))
+    own = rows.where(F.col(sequence).isNotNull()).groupBy(key, apart.alias("_a")).agg(F.collect_list(sequence).alias("_s"))
+    every = own.select(key, F.flatten(F.transform("_s", lambda s: kmers(s, k))).alias("_k"))
+    told = lambda a, n, m: F.transform(a, lambda x: F.struct(x.alias("kmer"), n.alias("n"), m.alias("m")))
+    both = F.concat(told("_k", F.lit(1), F.lit(0)), told(F.array_distinct("_k"), F.lit(0), F.col(key).isNotNull().cast("int")))
+    return every.select(F.inline(both)).groupBy("kmer").agg(F.sum("n").alias("n"), F.sum("m").alias("n_keys"))

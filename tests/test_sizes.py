@@ -177,3 +177,15 @@ def test_edges_of_both_species_are_folded_together(spark):
         want[f] = (len(pairs), round(float(np.corrcoef(x, y)[0, 1]), 9))
     assert {r.tf: (r.n_shared, round(r.rho, 9)) for r in out.collect()} == {f: v for f, v in want.items() if v[0] >= 8}
     assert out._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1  # edges met their own counts and the other side's means before
+
+
+def test_kmers_are_told_apart_by_key_before_they_are_counted(spark):
+    from cellweave.operators import corpus as K
+    from cellweave.plans import registry
+
+    rows = [(1, "ACGTACGT"), (1, "ACGT"), (2, "ACG"), (2, "AC"), (3, None), (None, "ACGT"), (None, "ACGT")]
+    got = {r.kmer: (r.n, r.n_keys) for r in K.kmer_counts(spark.createDataFrame(rows, "key long, s string"), "key", "s", 3).collect()}
+    assert got == {"ACG": (6, 2), "CGT": (5, 1), "GTA": (1, 1), "TAC": (1, 1)}
+    plan = registry.QUERIES["kmer_tokens"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "distinct" not in plan.replace("array_distinct", "") and plan.count("p_partkey") > 0  # all pairs of k-mers and parts were in one hash table before
+    assert not any("kmer" in line and "p_partkey" in line.split("functions")[0] for line in plan.splitlines() if "HashAggregate(keys" in line)
