@@ -60,9 +60,13 @@ def adopt_labels(ours: DataFrame, authors: DataFrame, least_share: float = 0.3)
 
     ours(sample, barcode) and authors(author_sample, barcode) meet on the barcode only; ties go to the smaller name.
     """
-    a, b = ours.select("sample", "barcode").distinct(), authors.select("author_sample", "barcode").distinct()
-    pairs = a.join(b, "barcode").groupBy("sample", "author_sample").agg(F.count(F.lit(1)).alias("overlap"))
-    best = pairs.groupBy("sample").agg(F.max("overlap").alias("overlap")).join(pairs, ["sample", "overlap"]).groupBy("sample", "overlap").agg(F.min("author_sample").alias("author_sample"))
+    a = ours.where("sample is not null").select("sample", "barcode").distinct()
+    lists = authors.select("author_sample", "barcode").distinct().groupBy("barcode").agg(F.array_sort(F.collect_list(F.struct("author_sample"))).alias("_s"))
+    # A barcode's samples go to each of ours as one list, which is shorter to send than pairs; pairs are made and counted there.
+    met = a.join(lists, "barcode").select("sample", "_s").repartition("sample")
+    pairs = met.select("sample", F.inline("_s")).groupBy("sample", "author_sample").agg(F.count(F.lit(1)).alias("overlap"))
+    first = F.struct((-F.col("overlap")).alias("o"), F.col("author_sample").isNull().alias("none"), "author_sample")
+    best = pairs.groupBy("sample").agg(F.min(first).alias("_b")).select("sample", F.col("_b.author_sample").alias("author_sample"), (-F.col("_b.o")).alias("overlap"))
     sizes = a.groupBy("sample").agg(F.count(F.lit(1)).alias("n"))
     return best.join(sizes, "sample").select("sample", "author_sample", "overlap", (F.col("overlap") / F.col("n")).alias("share")).where(F.col("share") >= least_share)
 

@@ -189,3 +189,18 @@ def test_kmers_are_told_apart_by_key_before_they_are_counted(spark):
     plan = registry.QUERIES["kmer_tokens"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "distinct" not in plan.replace("array_distinct", "") and plan.count("p_partkey") > 0  # all pairs of k-mers and parts were in one hash table before
     assert not any("kmer" in line and "p_partkey" in line.split("functions")[0] for line in plan.splitlines() if "HashAggregate(keys" in line)
+
+
+def test_barcodes_send_lists_of_samples_not_pairs(spark):
+    from cellweave.operators import annotation as A
+
+    ours = spark.createDataFrame([(s, b) for s in range(4) for b in range(s, 10)] * 2 + [(None, 1), (8, 99)], "sample int, barcode int")
+    authors = spark.createDataFrame([(s, b) for s in range(6) for b in range(10) if (b + s) % 3] + [(None, b) for b in range(10) if (b + 1) % 3], "author_sample int, barcode int")
+    out = A.adopt_labels(ours, authors)
+    want = {}
+    for s in range(4):
+        over = {t: sum((b + t) % 3 > 0 for b in range(s, 10)) for t in range(6)}
+        t = min(over, key=lambda t: (-over[t], t))
+        want[s] = (t, over[t], over[t] / (10 - s))
+    assert {r["sample"]: (r.author_sample, r.overlap, r.share) for r in out.collect()} == want
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 2  # pairs were shuffled for their counts, twice
