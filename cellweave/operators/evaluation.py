@@ -47,16 +47,16 @@ def expression_scores(profiles: DataFrame, kind: str, sample: str, least_share:
     sample's truth reaches the least share.
     """
     own = profiles.withColumn("estimate", F.coalesce("estimate", F.lit(0.0)))
-    logs = lambda df: df.withColumn("_lt", F.log1p("truth")).withColumn("_le", F.log1p(F.greatest("estimate", F.lit(0.0))))
 
     def scores(df: DataFrame, by: list[str]) -> DataFrame:
-        return spearman(df, by, "truth", "estimate").join(logs(df).groupBy(*by).agg(guarded_corr("_lt", "_le").alias("logpearson")), by)
+        logs = df.withColumn("_lt", F.log1p("truth")).withColumn("_le", F.log1p(F.greatest("estimate", F.lit(0.0)))).groupBy(*by).agg(guarded_corr("_lt", "_le").alias("logpearson"), F.sum("truth").alias("_t"))
+        return spearman(df, by, "truth", "estimate", large=True).join(logs, by)
 
+    # Samples are told by their share after they are scored: one row for each, so profiles need not meet their own sums.
+    each = scores(own, [kind, sample]).withColumn("_all", F.sum("_t").over(Window.partitionBy(sample)))
+    enough = each.where((F.col("_all") > 0) & (F.col("_t") >= least_share * F.col("_all")))
+    per = enough.groupBy(kind).agg(F.median("rho").alias("ps_spearman"), F.median("logpearson").alias("ps_logpearson"), F.count(F.lit(1)).alias("n_samples"))
     whole = own.groupBy(kind, "gene").agg(F.sum("truth").alias("truth"), F.sum("estimate").alias("estimate"))
-    share = own.groupBy(kind, sample).agg(F.sum("truth").alias("_t"))
-    total = share.groupBy(sample).agg(F.sum("_t").alias("_all"))
-    enough = share.join(total, sample).where((F.col("_all") > 0) & (F.col("_t") >= least_share * F.col("_all"))).select(kind, sample)
-    per = scores(own.join(enough, [kind, sample], "left_semi"), [kind, sample]).groupBy(kind).agg(F.median("rho").alias("ps_spearman"), F.median("logpearson").alias("ps_logpearson"), F.count(F.lit(1)).alias("n_samples"))
     out = scores(whole, [kind]).select(kind, F.col("n").alias("n_genes"), F.col("rho").alias("agg_spearman"), F.col("logpearson").alias("agg_logpearson"))
     return out.join(per, kind, "left").withColumn("n_samples", F.coalesce("n_samples", F.lit(0)))
 

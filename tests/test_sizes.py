@@ -204,3 +204,24 @@ def test_barcodes_send_lists_of_samples_not_pairs(spark):
         want[s] = (t, over[t], over[t] / (10 - s))
     assert {r["sample"]: (r.author_sample, r.overlap, r.share) for r in out.collect()} == want
     assert out._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 2  # pairs were shuffled for their counts, twice
+
+
+def test_large_groups_are_ranked_in_ranges(spark):
+    from cellweave.functions import stats as S
+    from cellweave.operators import evaluation as V
+
+    draw = np.random.default_rng(7)
+    x = np.where(draw.random(6_000) < 0.4, 0.0, draw.normal(size=6_000))  # one value holds many rows with different partners
+    y = np.where(draw.random(6_000) < 0.3, 5.0, np.round(x + draw.normal(size=6_000), 3))
+    rows = [("g" if k < 5_000 else "h", float(a), float(b)) for k, (a, b) in enumerate(zip(x, y, strict=True))]
+    table = spark.createDataFrame(rows * 2 + [("flat", 1.0, float(k)) for k in range(9)] + [(None, float(k), float(k * k % 7)) for k in range(9)] + [("g", None, 1.0), ("h", 1.0, None)], "kind string, truth double, estimate double")
+    got = {r.kind: (r.n, r.rho) for r in S.spearman(table, ["kind"], "truth", "estimate", large=True).collect()}
+    assert {k: (n, rho and round(rho, 12)) for k, (n, rho) in got.items()} == {r.kind: (r.n, r.rho and round(r.rho, 12)) for r in S.spearman(table, ["kind"], "truth", "estimate").collect()}
+    rank = lambda v: (np.sort(v).searchsorted(v, "left") + np.sort(v).searchsorted(v, "right") + 1) / 2
+    assert got["g"][0] == 10_000 and abs(got["g"][1] - np.corrcoef(rank(x[:5_000]), rank(y[:5_000]))[0, 1]) < 1e-12 and got["flat"] == (9, None)
+    dealt = S.dealt_pairs(table.where("kind = 'g' and truth is not null").distinct().withColumn("_c", F.lit(1)), ["kind"], "truth", "estimate").cache()
+    assert max(dealt.groupBy(f"_b{v}", f"_s{v}").count().agg(F.max("count")).first()[0] for v in "xy") < 0.06 * dealt.count()  # a whole group was one task's
+    dealt.unpersist()
+    profiles = table.selectExpr("kind", "cast(rand(1) * 3 as int) AS sample", "cast(rand(2) * 900 as int) AS gene", "abs(truth) AS truth", "estimate")
+    plan = V.expression_scores(profiles, "kind", "sample")._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" not in plan and plan.count("RepartitionByExpression") == 4  # all rows met their own sums by kind and sample
