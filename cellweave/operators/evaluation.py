@@ -191,14 +191,16 @@ def enrichment_score(stats: DataFrame, sets: DataFrame, by: list[str], least: in
     with its place among all genes; equal statistics go by gene. Places need one task for each ranking (by), and its
     genes.
     """
-    told = stats.where(F.col("stat").isNotNull())
+    # The number of parts is fixed: parts that look small as they are shuffled are else merged, and rows in order take several times as much.
+    parts = int(stats.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    told = stats.where(F.col("stat").isNotNull()).repartition(parts, *by)
     order = Window.partitionBy(*by).orderBy(F.desc("stat"), "gene")
     ranked = told.withColumn("_place", F.row_number().over(order)).withColumn("_all", F.count(F.lit(1)).over(Window.partitionBy(*by)))
-    hits = ranked.join(sets.select("name", "gene").distinct(), "gene")
+    hits = ranked.join(sets.select("name", "gene").distinct(), "gene").select(*by, "name", "_place", "_all", F.abs("stat").alias("_a")).repartition(parts, *by, "name")
     own = Window.partitionBy(*by, "name")
-    run = own.orderBy("_place")
-    w = F.abs("stat")
-    h = hits.withColumn("_n", F.count(F.lit(1)).over(own)).withColumn("_w", F.sum(w).over(own)).withColumn("_k", F.row_number().over(run)).withColumn("_h", F.sum(w).over(run))
+    run, w = own.orderBy("_place"), F.col("_a")
+    # Running sums come first: their order serves the sums of a set as well, so hits are sorted once.
+    h = hits.withColumn("_k", F.row_number().over(run)).withColumn("_h", F.sum(w).over(run)).withColumn("_n", F.count(F.lit(1)).over(own)).withColumn("_w", F.sum(w).over(own))
     h = h.where(F.col("_n").between(least, most))
     missed = F.coalesce(F.try_divide(F.col("_place") - F.col("_k"), F.col("_all") - F.col("_n")), F.lit(0.0))
     h = h.withColumn("_at", F.try_divide("_h", "_w") - missed).withColumn("_before", F.try_divide(F.col("_h") - w, F.col("_w")) - missed)

@@ -95,7 +95,7 @@ def background_scores(values: DataFrame, markers: DataFrame, clusters: DataFrame
 def _extremes(hits: DataFrame, own: Sequence[str]) -> DataFrame:
     """own, size and es of hits(own, _place, _w, _all): the running sum is extreme just before or at a hit."""
     whole, run = Window.partitionBy(*own), Window.partitionBy(*own).orderBy("_place")
-    h = hits.withColumn("_n", F.count(F.lit(1)).over(whole)).withColumn("_s", F.sum("_w").over(whole)).withColumn("_k", F.row_number().over(run)).withColumn("_h", F.sum("_w").over(run))
+    h = hits.withColumn("_k", F.row_number().over(run)).withColumn("_h", F.sum("_w").over(run)).withColumn("_n", F.count(F.lit(1)).over(whole)).withColumn("_s", F.sum("_w").over(whole))
     missed = F.coalesce(F.try_divide(F.col("_place") - F.col("_k"), F.col("_all") - F.col("_n")), F.lit(0.0))
     h = h.withColumn("_at", F.try_divide("_h", "_s") - missed).withColumn("_before", F.try_divide(F.col("_h") - F.col("_w"), F.col("_s")) - missed)
     ends = h.groupBy(*own).agg(F.max("_n").alias("size"), F.round(F.max("_at"), 9).alias("up"), F.round(F.min("_before"), 9).alias("down"))

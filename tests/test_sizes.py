@@ -225,3 +225,26 @@ def test_large_groups_are_ranked_in_ranges(spark):
     profiles = table.selectExpr("kind", "cast(rand(1) * 3 as int) AS sample", "cast(rand(2) * 900 as int) AS gene", "abs(truth) AS truth", "estimate")
     plan = V.expression_scores(profiles, "kind", "sample")._jdf.queryExecution().optimizedPlan().toString()
     assert "LeftSemi" not in plan and plan.count("RepartitionByExpression") == 4  # all rows met their own sums by kind and sample
+
+
+def test_hits_of_sets_are_sorted_once_in_a_fixed_number_of_parts(spark):
+    from cellweave.operators import evaluation as V
+
+    stats = [(b, g, float((g * 7 + b * 3) % 11 - 5) / 4) for b in range(9) for g in range(60)] + [(3, 99, None), (None, 1, 1.0)]
+    sets = [(f"s{g % 5}", g) for g in range(60)] * 2 + [("rare", 7), ("none", 999)]
+    out = V.enrichment_score(spark.createDataFrame(stats, "block int, gene int, stat double"), spark.createDataFrame(sets, "name string, gene int"), ["block"], least=1, most=12)
+    want = {}
+    for b in range(9):
+        order = sorted(((v, g) for k, g, v in stats if k == b and v is not None), key=lambda r: (-r[0], r[1]))
+        for name in {n for n, _ in sets}:
+            own = {g for n, g in sets if n == name}
+            w, n = sum(abs(v) for v, g in order if g in own), sum(g in own for _, g in order)
+            if n and w:
+                run = np.cumsum([abs(v) / w if g in own else -1 / (len(order) - n) for v, g in order])
+                up, down = round(max(run), 9), round(min(run), 9)
+                want[b, name] = (n, up if up >= -down else down)
+    got = {(r.block, r.name): (r["size"], r.es) for r in out.where("block is not null and es is not null").collect()}
+    assert got.keys() == want.keys() and all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) < 1e-8 for k in want)
+    plan = out._jdf.queryExecution()
+    assert plan.optimizedPlan().toString().count("RepartitionByExpression") == 2  # small parts were merged into a few large tasks
+    assert sum("Sort [" in line and "name" in line for line in plan.executedPlan().toString().splitlines()) == 1  # hits were sorted by set, and again by place
