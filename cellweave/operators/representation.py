@@ -312,11 +312,11 @@ def family_pairs(families: DataFrame) -> DataFrame:
     A pair is told by the least family that both genes are in, which each gene's own list decides, so the pairs themselves are
     neither shuffled nor held. Families are dealt out in parts, so a large one is not one task's work.
     """
-    several = families.where("family is not null and gene is not null").distinct()
-    lists = several.groupBy("gene").agg(F.array_sort(F.collect_list("family")).alias("all"))
-    own = several.join(lists, "gene").select("family", "gene", F.when(F.size("all") > 1, F.col("all")).alias("all"))
+    lists = families.where("family is not null and gene is not null").groupBy("gene").agg(F.array_sort(F.collect_set("family")).alias("all"))
+    own = lists.select(F.explode("all").alias("family"), "gene", F.when(F.size("all") > 1, F.col("all")).alias("all"))
     part = F.pmod(F.xxhash64("gene"), F.lit(PARTS)).cast("int")
     left = own.select("family", part.alias("part"), F.col("gene").alias("a"), F.col("all").alias("l"))
     right = own.select("family", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"), F.col("gene").alias("b"), F.col("all").alias("r"))
     first = F.col("l").isNull() | F.col("r").isNull() | (F.array_intersect("l", "r")[0] == F.col("family"))
-    return left.join(right, ["family", "part"]).where((F.col("a") < F.col("b")) & first).select("a", "b")
+    # Both sides have every gene, however small the file that they come from looks: neither is sent to the driver to be broadcast.
+    return left.join(right.hint("merge"), ["family", "part"]).where((F.col("a") < F.col("b")) & first).select("a", "b")

@@ -25,3 +25,11 @@ def test_gene_vectors_are_of_all_pairs_of_all_families(spark, monkeypatch):
     told = spark.read.parquet(f"{sf}/lineitem.parquet").groupBy("l_suppkey").agg(F.collect_set("l_partkey").alias("g")).collect()
     pairs = {p for r in told for p in combinations(sorted(r.g), 2)}
     assert registry.QUERIES["gene_vector_check"](spark, sf).first().n_pos == len(pairs)  # a tenth of the parts of a supplier before
+
+
+def test_family_pairs_send_no_side_to_the_driver(spark, tmp_path):
+    from cellweave.plans import registry
+
+    spark.range(3_000).selectExpr("id AS p_partkey", "'b' AS p_brand", "cast(id % 300 AS int) AS p_size").write.parquet(str(tmp_path / "part.parquet"))
+    out = registry.QUERIES["family_pairs"](spark, str(tmp_path))
+    assert out.count() == 300 * 45 and "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
