@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,18 +64,48 @@ def difference(a: DataFrame, b: DataFrame, key: list[str], value: str) -> DataFr
     return both.select(*key, (F.coalesce("_a", F.lit(0.0)) - F.coalesce("_b", F.lit(0.0))).alias("delta"), (F.col("_a").isNotNull() & F.col("_b").isNotNull()).alias("in_both"))
 
 
+#: Ranges of values that genes are dealt to.
+BINS = 128
+
+
+def _count_bin(within: float) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """n and below of each focal gene in one range: matched genes, and those of a smaller shift. A range that matches whole is only searched by shift."""
+
+    def run(genes: pa.Table, asked: pa.Table) -> pa.Table:
+        v, s = (genes[c].to_numpy().astype(float) for c in ("value", "shift"))
+        fv, fs = (asked[c].to_numpy().astype(float) for c in ("fv", "fs"))
+        n, below = np.full(len(fv), len(v)), np.where(np.isnan(fs), 0, np.searchsorted(np.sort(s), fs))
+        for k in np.flatnonzero(~asked["whole"].to_numpy()):
+            met = np.abs(v - fv[k]) < within * fv[k]
+            n[k], below[k] = np.count_nonzero(met), np.count_nonzero(met & (s < fs[k]))
+        own = pc.index_in(asked["focal"], value_set=genes["gene"].combine_chunks()).combine_chunks()  # a gene is not matched with itself
+        at = np.flatnonzero(own.is_valid().to_numpy(zero_copy_only=False))
+        g = own.drop_null().to_numpy()
+        met = np.abs(v[g] - fv[at]) < within * fv[at]
+        n[at] -= met
+        below[at] -= met & (s[g] < fs[at])
+        return pa.table({"focal": asked["focal"], "n": pa.array(n), "below": pa.array(below)})
+
+    return run
+
+
 def matched_null(genes: DataFrame, focal: DataFrame, within: float = 0.15) -> DataFrame:
     """focal gene, matched genes and the percentile of its shift among those whose mean value is within a share of its own.
 
-    genes and focal (gene, value, shift). The band join runs on logarithmic bins of the value: a gene meets the focal
-    genes of its bin and the two beside it, and the exact test follows.
+    genes and focal (gene, value, shift), a row for each gene. No pair is made: genes are dealt to ranges of the value, a focal gene asks each range
+    that its band meets for two counts, and only the ranges at the ends of the band are gone through.
     """
     if not 0 < within < 1:
         raise ValueError("within is a share")
-    step = F.log(F.lit((1 + within) / (1 - within)))
-    bin_ = lambda v: F.floor(F.log(v) / step)
-    near = F.explode(F.sequence(F.lit(-1), F.lit(1)))
-    f = focal.where("value > 0").select(F.col("gene").alias("focal"), F.col("value").alias("fv"), F.col("shift").alias("fs"), near.alias("_d")).withColumn("bin", bin_(F.col("fv")) + F.col("_d")).drop("_d")
-    g = genes.where("value > 0").withColumn("bin", bin_(F.col("value")))
-    met = g.join(f, "bin").where((F.abs(F.col("value") - F.col("fv")) < within * F.col("fv")) & (F.col("gene") != F.col("focal")))
-    return met.groupBy("focal").agg(F.count(F.lit(1)).alias("n_matched"), (100 * F.avg(F.when(F.col("shift") < F.col("fs"), 1.0).otherwise(0.0))).alias("percentile"))
+    told = genes.where("value > 0").select("gene", F.col("value").cast("double").alias("value"), F.col("shift").cast("double").alias("shift"))
+    cuts = told.agg(F.percentile_approx("value", [k / BINS for k in range(1, BINS)], 10_000).alias("c")).first().c or []
+    g = told.withColumn("bin", F.size(F.filter(F.lit(sorted(set(cuts))).cast("array<double>"), lambda c: c < F.col("value"))))
+    ranges = g.groupBy("bin").agg(F.min("value").alias("low"), F.max("value").alias("high"))
+    f = focal.where("value > 0").select(F.col("gene").alias("focal"), F.col("value").cast("double").alias("fv"), F.col("shift").cast("double").alias("fs"))
+    inside = lambda c: F.abs(F.col(c) - F.col("fv")) < within * F.col("fv")
+    meets = (F.col("low") <= F.col("fv") * (1 + within) * (1 + 1e-9)) & (F.col("high") >= F.col("fv") * (1 - within) * (1 - 1e-9))
+    asked = f.join(F.broadcast(ranges), meets).select("bin", "focal", "fv", "fs", (inside("low") & inside("high")).alias("whole"))
+    kind = f.schema["focal"].dataType.simpleString()
+    counts = g.toDF(*g.columns).groupBy("bin").cogroup(asked.groupBy("bin")).applyInArrow(_count_bin(within), f"focal {kind}, n long, below long")
+    n = F.sum("n")
+    return counts.groupBy("focal").agg(n.alias("n_matched"), (100 * (F.sum("below") / n)).alias("percentile")).where("n_matched > 0")

@@ -33,3 +33,22 @@ def test_family_pairs_send_no_side_to_the_driver(spark, tmp_path):
     spark.range(3_000).selectExpr("id AS p_partkey", "'b' AS p_brand", "cast(id % 300 AS int) AS p_size").write.parquet(str(tmp_path / "part.parquet"))
     out = registry.QUERIES["family_pairs"](spark, str(tmp_path))
     assert out.count() == 300 * 45 and "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_matched_null_counts_without_making_pairs(spark):
+    import numpy as np
+
+    from cellweave.operators import regulation as R
+
+    draw = np.random.default_rng(2)
+    rows = [(k, float(v), float(s)) for k, (v, s) in enumerate(zip(np.round(draw.gamma(4, 5, 900), 1), np.round(draw.normal(size=900), 1), strict=True))] + [(900, 0.0, 1.0), (901, 20.0, None), (902, 1e6, 0.0)]
+    genes = spark.createDataFrame(rows, "gene long, value double, shift double")
+    out = R.matched_null(genes, genes.where("gene % 7 = 1 or gene >= 900"))
+    want = {}
+    for f, fv, fs in rows:
+        met = [s for g, v, s in rows if (f % 7 == 1 or f >= 900) and fv > 0 and v > 0 and g != f and abs(v - fv) < 0.15 * fv]
+        if met:
+            want[f] = (len(met), sum(s is not None and fs is not None and s < fs for s in met) / len(met) * 100)
+    got = {r.focal: (r.n_matched, r.percentile) for r in out.collect()}
+    assert got.keys() == want.keys() and all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) < 1e-9 for k in want)
+    assert "bin" in out._jdf.queryExecution().optimizedPlan().toString() and "FlatMapCoGroups" in out._jdf.queryExecution().optimizedPlan().toString()  # a join of pairs before
