@@ -263,8 +263,13 @@ def differential_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT f.gene AS focal, count(*) AS n_matched, round(100 * avg(CASE WHEN g.s < f.s THEN 1.0 ELSE 0.0 END), 6) AS percentile FROM f JOIN g ON abs(g.v - f.v) < 0.15 * f.v AND g.gene <> f.gene GROUP BY 1"""
 )
 def matched_null(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shifts are summed in the order of the table's rows, so that genes tie as in the SQL read in order, however the table is split among tasks."""
+    rows = _t(spark, sf_dir, "lineitem")
+    file = F.array_position(F.lit(sorted(rows.select("_metadata.file_path").distinct().toPandas()["file_path"])), F.col("_metadata.file_path"))
+    placed = rows.select(F.col("l_partkey").alias("gene"), F.col("l_quantity").alias("q"), F.when(F.col("l_discount").isNotNull(), F.struct(file.cast("int").alias("file"), F.col("_metadata.row_index").alias("row"), F.col("l_discount").alias("d"))).alias("s"))
+    lists = placed.groupBy("gene").agg(F.avg("q").alias("value"), F.array_sort(F.collect_list("s")).alias("s"))
     path = new_folder(spark, "genes")  # read several times, made once
-    _t(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("gene")).agg(F.avg("l_quantity").alias("value"), F.avg("l_discount").alias("shift")).write.parquet(path)
+    lists.select("gene", "value", F.try_divide(F.aggregate("s", F.lit(0.0), lambda t, x: t + x["d"]), F.size("s")).alias("shift")).write.parquet(path)
     genes = spark.read.parquet(path)
     return R.matched_null(genes, genes.where("gene % 50 = 7")).withColumn("percentile", F.round("percentile", 6))
 

@@ -52,3 +52,23 @@ def test_matched_null_counts_without_making_pairs(spark):
     got = {r.focal: (r.n_matched, r.percentile) for r in out.collect()}
     assert got.keys() == want.keys() and all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) < 1e-9 for k in want)
     assert "bin" in out._jdf.queryExecution().optimizedPlan().toString() and "FlatMapCoGroups" in out._jdf.queryExecution().optimizedPlan().toString()  # a join of pairs before
+
+
+def test_shifts_are_summed_in_the_order_of_rows(spark, tmp_path):
+    import duckdb
+
+    from cellweave.plans import registry
+
+    con = duckdb.connect()
+    con.sql("SET threads = 1")  # with more, DuckDB itself adds up in another order in each run
+    for k in range(4):
+        con.sql(f"COPY (SELECT CAST(i % 150 AS BIGINT) l_partkey, 20.0 + i % 5 l_quantity, (i // 150 + i % 150 * 3) % 80 % 11 / 100 l_discount FROM range({k * 3000}, {k * 3000 + 3000}) t(i)) TO '{tmp_path}/p{k}.parquet' (FORMAT parquet)")
+    con.sql(f"COPY (FROM '{tmp_path}/p*.parquet') TO '{tmp_path}/lineitem.parquet' (FORMAT parquet, ROW_GROUP_SIZE 2048)")
+    con.sql(f"CREATE VIEW lineitem AS FROM '{tmp_path}/lineitem.parquet'")
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8192")  # several tasks read the table
+    try:
+        got = sorted(map(tuple, registry.QUERIES["matched_null"](spark, str(tmp_path)).collect()))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    assert got == sorted(con.sql(registry.SQL["matched_null"]).fetchall())
